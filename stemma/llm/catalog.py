@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, secrets, urlrules
+from . import language, media, mixing, secrets, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder_is(mod: int, rest: int) -> Column:
+    """crc32(doc_id as text) mod ``mod`` is ``rest``; false for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
+
+
+def learned_from(mod: int, rest: int) -> Column:
+    """The rows to learn from: those with a doc_id that aren't held out."""
+    return F.col("doc_id").isNotNull() & ~remainder_is(mod, rest)
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.store(table(spark, sf_dir, "documents")))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -22,12 +37,24 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs, learned_from(4, 2)))
+    return found.select("doc_id", remainder_is(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_secret_scans": op7_secret_scans, "op8_url_filters": op8_url_filters, "op10_mixing": op10_mixing}
+    return {
+        "op2_media_columns": op2_media_columns,
+        "op7_secret_scans": op7_secret_scans,
+        "op8_url_filters": op8_url_filters,
+        "op9_language_id": op9_language_id,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
