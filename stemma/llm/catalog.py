@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, media, mixing, neardup, secrets, urlrules
+from . import decontaminate, language, media, mixing, neardup, quality, secrets, toxicity, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,22 @@ def learned_from(mod: int, rest: int) -> Column:
     return F.col("doc_id").isNotNull() & ~remainder_is(mod, rest)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs, toxicity.fit(docs, labels, learned_from(3, 1)))
+    return found.select("doc_id", remainder_is(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(table(spark, sf_dir, "documents")))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.score(docs, quality.fit(docs, labels, learned_from(3, 1)))
+    return found.select("doc_id", remainder_is(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(table(spark, sf_dir, "documents"))
 
@@ -57,7 +69,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_media_columns": op2_media_columns,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_secret_scans": op7_secret_scans,
