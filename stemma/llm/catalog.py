@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, media, mixing, neardup, quality, secrets, toxicity, urlrules
+from . import decontaminate, katz, language, media, mixing, neardup, quality, secrets, toxicity, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.col("doc_id").isNull() | remainder_is(7, 2)
+    scores, _, m = katz.score(table(spark, sf_dir, "documents"), held)
+    return scores.select("doc_id", (F.col("held_out") & F.col("doc_id").isNotNull()).alias("held_out"), "n_tokens", "n_known", F.lit(m.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media_columns": op2_media_columns,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_secret_scans": op7_secret_scans,
         "op8_url_filters": op8_url_filters,

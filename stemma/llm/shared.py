@@ -22,11 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return a scan of it."""
+def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, in folders by the columns ``by``, and return a scan of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stemma/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by or []).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stemma_path = path
     return out
