@@ -15,7 +15,10 @@ ever expanded into all its pairs:
    met in most bands);
 2. every class with its other hubs, where the components still differ;
 3. in buckets whose classes still lie in different components, the classes
-   outside the most frequent one with all others of other components.
+   outside the most frequent one with all others of other components. Both sides
+   are dealt into blocks of about ``BLOCK``; a task holds one block of each, counts
+   intersections through the block's inverted list, and gives one link for
+   a class and component, so no pairs are written out.
 
 After that every pair that shares a bucket is linked, was held against each
 other, or lies in one component already, so components are those of all links
@@ -46,6 +49,7 @@ from .textops import GRAPHIC, chained, hashed_words, mix, slices
 
 HASHES, ROWS = 126, 3
 PERCENT = 80
+BLOCK = 256
 
 _RNG = np.random.default_rng(17)
 _FACTORS = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,6 +140,62 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def split_buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, class, root, minor (not of the bucket's most frequent component), n, minors: rows of buckets of several components."""
+    placed = shared.join(roots, shared["class"] == roots["node"], "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
+    placed = materialize(placed, "placed")
+    counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    split = counts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("n"), F.count("*").alias("several")).where("several > 1")
+    split = split.select("bucket", F.col("x.root").alias("major"), "n", (F.col("n") - F.col("x.n")).alias("minors"))
+    return placed.join(split, "bucket").select("bucket", "class", "root", (F.col("root") != F.col("major")).alias("minor"), "n", "minors")
+
+
+def block_links(rows: DataFrame, texts: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between classes of a bucket in different components, one for each minor class and component in a block."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            own = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for x in shingle_sets(part.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(own, pa.binary())], names=["class", "shingles"])
+
+    def opened(x: bytes) -> np.ndarray:
+        wide = np.zeros((len(x) // 6, 8), np.uint8)
+        wide[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+        return wide.view(np.uint64).ravel()
+
+    def compare(found: pa.Table) -> pa.Table:
+        rows = sorted(found.to_pylist(), key=lambda r: r["class"])
+        asked, held = [r for r in rows if r["asks"]], [r for r in rows if not r["asks"]]
+        a, b = [], []
+        if asked and held:
+            own = [opened(r["shingles"]) for r in held]
+            size = np.array([len(x) for x in own])
+            root = np.array([r["root"] for r in held])
+            keys, who = np.concatenate(own), np.repeat(np.arange(len(own)), size)
+            order = np.argsort(keys, kind="stable")
+            keys, who = keys[order], who[order]
+            for r in asked:
+                x = opened(r["shingles"])
+                lo, n = np.searchsorted(keys, x), np.searchsorted(keys, x, "right")
+                n = n - lo
+                hit = who[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                both = np.bincount(hit, minlength=len(own))
+                near = np.flatnonzero((root != r["root"]) & (both > 0) & (100 * both >= percent * (len(x) + size - both)))
+                for i in near[np.unique(root[near], return_index=True)[1]]:
+                    a.append(r["class"])
+                    b.append(held[i]["class"])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    own = texts.select("class", "text").mapInArrow(sets, "class long, shingles binary")
+    of = lambda n: F.ceil(F.col(n) / block).cast("int")
+    deal = lambda role, n: F.pmod(F.xxhash64("class", F.lit(role)), of(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), of(n) - 1))
+    asks = rows.where("minor").select("bucket", "class", "root", deal("asks", "minors").alias("ask_block"), each("n").alias("held_block"), F.lit(True).alias("asks"))
+    held = rows.select("bucket", "class", "root", each("minors").alias("ask_block"), deal("held", "n").alias("held_block"), F.lit(False).alias("asks"))
+    dealt = asks.unionByName(held).join(own, "class")
+    return dealt.groupBy("bucket", "ask_block", "held_block").applyInArrow(compare, "a long, b long")
+
+
 def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class, root (the component's smallest class), component_id of every row of ``docs``."""
     signed = materialize(signatures(docs, k), "signatures")
@@ -166,22 +226,14 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     links.append(materialize(confirmed(second, texts, k, percent), "links"))
     roots = materialize(components(links[0].union(links[1])), "roots")
 
-    placed = shared.join(roots, shared["class"] == roots["node"], "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
-    counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    split = counts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("x.root").alias("major"))
-    mixed = materialize(placed.join(split, "bucket"), "mixed")
-    minor = mixed.where("root <> major").select("bucket", F.col("class").alias("x"), F.col("root").alias("root_x"))
-    third = minor.join(mixed.select("bucket", F.col("class").alias("y"), F.col("root").alias("root_y")), "bucket").where("root_x <> root_y")
-    third = third.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    third = third.join(tried, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    links.append(materialize(confirmed(third, texts, k, percent), "links"))
+    links.append(materialize(block_links(split_buckets(shared, roots), texts, k, percent), "links"))
     if links[2].limit(1).count():
         roots = components(links[0].union(links[1]).union(links[2]))
 
     named = owner.join(roots, owner["class"] == roots["node"], "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialize(named.join(lowest, "root").select(F.col("class").alias("__class"), "root", "component_id"), "components")
-    for done in (texts, shared, mixed, met):
+    for done in (texts, shared, met):
         discard(done)
     out = signed.join(named, (signed["class"] == named["__class"]) & (signed["n_shingles"] > 0), "left")
     return out.select("doc_id", "n_shingles", "class", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

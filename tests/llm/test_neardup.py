@@ -87,3 +87,16 @@ def test_empty(spark):
 def test_components_of_a_path(spark, n):
     links = spark.createDataFrame([(i + 1, i) for i in range(n)], "a long, b long")
     assert sorted(tuple(r) for r in components(links).collect()) == [(i, 0) for i in range(n + 1)]
+
+
+def test_blocks_find_what_hubs_miss(spark):
+    """A bucket of many classes in blocks of two: all links between components come out."""
+    texts = chain(9, 6) + [f"other {i} " * 3 for i in range(4)]
+    sets = [neardup.shingle_sets(neardup.pa.array([t]), 2)[0] for t in texts]
+    rows = [(1, i, i, i != 0, len(texts), len(texts) - 1) for i in range(len(texts))]
+    rows = spark.createDataFrame(rows, "bucket long, class long, root long, minor boolean, n long, minors long")
+    own = spark.createDataFrame(list(enumerate(texts)), "class long, text string")
+    got = {(min(r), max(r)) for r in map(tuple, neardup.block_links(rows, own, 2, 80, block=2).collect())}
+    size = lambda a, b: (len(set(sets[a].tolist()) & set(sets[b].tolist())), len(set(sets[a].tolist()) | set(sets[b].tolist())))
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if 100 * size(i, j)[0] >= 80 * size(i, j)[1]}
+    assert got == want and len(want) >= 8
