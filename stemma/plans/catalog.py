@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import graph, metrics, mutate, resolve, rules, state, temporal
+from ..operators import graph, metrics, mutate, resolve, rules, sensing, state, temporal
 from .derived import EARLY, MIDDLE, MOVED, NOW, derived, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -608,6 +608,97 @@ def _(spark, sf_dir):
     return mutate.split(derived(spark, sf_dir, "entities"), derived(spark, sf_dir, "hierarchy_edges"), specs, NOW)["opened"].select("child_id", "parent_id")
 
 
+_PICKED = "(SELECT 'customer:' || c_custkey AS uid FROM customer WHERE c_custkey % 21 = 0)"
+
+
+def _picked(spark, sf_dir, name="uid"):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 21 = 0")
+    return c.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias(name))
+
+
+@query("m1_create_entity", "SELECT uid, entity_type, lifecycle_status FROM entities UNION ALL SELECT 'new:' || r_regionkey, 'organ', 'active' FROM region")
+def _(spark, sf_dir):
+    new = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.concat(F.lit("new:"), F.col("r_regionkey").cast("string")).alias("uid"), F.lit("organ").alias("entity_type"))
+    return mutate.create(derived(spark, sf_dir, "entities"), new).select("uid", "entity_type", "lifecycle_status")
+
+
+@query("m2_update_lifecycle", f"SELECT uid, CASE WHEN uid IN {_PICKED} THEN 'archived' ELSE lifecycle_status END AS lifecycle_status FROM entities")
+def _(spark, sf_dir):
+    return mutate.set_status(derived(spark, sf_dir, "entities"), _picked(spark, sf_dir), "archived").select("uid", "lifecycle_status")
+
+
+@query("m3_rename", f"SELECT entity_id, display_name, CAST(CASE WHEN entity_id IN {_PICKED} AND is_primary AND {ACT(NOW)} THEN TIMESTAMP '{NOW}' ELSE valid_to END AS VARCHAR) AS valid_to, is_primary AND NOT (entity_id IN {_PICKED} AND {ACT(NOW)}) AS is_primary FROM names UNION ALL SELECT uid, 'New ' || uid, NULL, true FROM {_PICKED}")
+def _(spark, sf_dir):
+    changes = _picked(spark, sf_dir, "entity_id").withColumn("display_name", F.concat(F.lit("New "), F.col("entity_id")))
+    return mutate.rename(derived(spark, sf_dir, "names"), changes, NOW).select("entity_id", "display_name", F.col("valid_to").cast("string").alias("valid_to"), "is_primary")
+
+
+@query("m4_retire_name", f"SELECT seq, CAST(CASE WHEN entity_id IN {_PICKED} AND display_name LIKE 'Customer%' AND {ACT(NOW)} THEN TIMESTAMP '{NOW}' ELSE valid_to END AS VARCHAR) AS valid_to FROM names")
+def _(spark, sf_dir):
+    n = derived(spark, sf_dir, "names")
+    gone = n.join(_picked(spark, sf_dir, "entity_id"), "entity_id", "left_semi").where("display_name like 'Customer%'")
+    return mutate.retire_name(n, gone, NOW).select("seq", F.col("valid_to").cast("string").alias("valid_to"))
+
+
+@query("m6_retire_edges", f"WITH f AS (SELECT child_id, parent_id, min(seq) AS seq FROM hierarchy_edges WHERE {ACT(NOW)} AND child_id IN {_PICKED} GROUP BY 1, 2) SELECT seq, CAST(CASE WHEN seq IN (SELECT seq FROM f) THEN TIMESTAMP '{NOW}' ELSE valid_to END AS VARCHAR) AS valid_to FROM hierarchy_edges")
+def _(spark, sf_dir):
+    h = derived(spark, sf_dir, "hierarchy_edges")
+    gone = h.join(_picked(spark, sf_dir, "child_id"), "child_id", "left_semi")
+    return mutate.retire_edges(h, gone, ["parent_id", "child_id"], NOW).select("seq", F.col("valid_to").cast("string").alias("valid_to"))
+
+
+@query("m9_reclassify", f"SELECT uid, CASE WHEN uid IN {_PICKED} THEN 'repo' ELSE entity_type END AS entity_type FROM entities")
+def _(spark, sf_dir):
+    return mutate.reclassify(derived(spark, sf_dir, "entities"), _picked(spark, sf_dir).withColumn("entity_type", F.lit("repo"))).select("uid", "entity_type")
+
+
+@query("m13_split_ctx", "SELECT uid, CASE WHEN uid IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_custkey % 21 = 0) THEN 'split' ELSE lifecycle_status END AS lifecycle_status FROM entities UNION ALL SELECT 'customer:' || c_custkey || '/x', 'active' FROM customer WHERE c_custkey % 21 = 0")
+def _(spark, sf_dir):
+    specs = _picked(spark, sf_dir, "source_uid").withColumn("descendant", F.concat("source_uid", F.lit("/x")))
+    return mutate.split(derived(spark, sf_dir, "entities"), derived(spark, sf_dir, "hierarchy_edges"), specs, NOW, "ctx")["entities"].select("uid", "lifecycle_status")
+
+
+@query("r1_resolve_slug", f"SELECT {SLUG} AS key, entity_id, min(seq) AS seq FROM names WHERE {SLUG} LIKE 'alias-%' GROUP BY 1, 2")
+@_t("names")
+def _(n):
+    return resolve.by_key(n, "slug").where("key like 'alias-%'")
+
+
+@query("r2_resolve_display_name", "SELECT lower(display_name) AS key, entity_id, min(seq) AS seq FROM names WHERE lower(display_name) LIKE 'alias %' GROUP BY 1, 2")
+@_t("names")
+def _(n):
+    return resolve.by_key(n, "lowered").where("key like 'alias %'")
+
+
+@query("e5_filesystem_changes", "SELECT entity_id, 'file_created' AS signal_type FROM (SELECT entity_id FROM snapshot_after EXCEPT SELECT entity_id FROM snapshot_before) UNION ALL SELECT entity_id, 'file_deleted' FROM (SELECT entity_id FROM snapshot_before EXCEPT SELECT entity_id FROM snapshot_after)")
+@_t("snapshot_before", "snapshot_after")
+def _(a, b):
+    return sensing.filesystem_signals(a, b).select("entity_id", "signal_type")
+
+
+@query("e6_ci_flips", "SELECT entity_id, coalesce(a.size > 25, false)::VARCHAR AS previous_value, coalesce(b.size > 25, false)::VARCHAR AS value FROM snapshot_before a FULL JOIN snapshot_after b USING (entity_id) WHERE coalesce(a.size > 25, false) <> coalesce(b.size > 25, false)")
+@_t("snapshot_before", "snapshot_after")
+def _(a, b):
+    of = lambda df: df.select("entity_id", (F.col("size") > 25).alias("has_ci"))
+    return sensing.ci_signals(of(a), of(b)).select("entity_id", "previous_value", "value")
+
+
+_REL = "SELECT DISTINCT source_id AS entity_id, target_id, relation_type FROM relation_edges WHERE {}".format
+
+
+@query("t12_relation_changes", f"SELECT *, 'edge_added' AS signal_type FROM ({_REL(ACT(MIDDLE))} EXCEPT {_REL(ACT(EARLY))}) UNION ALL SELECT *, 'edge_removed' FROM ({_REL(ACT(EARLY))} EXCEPT {_REL(ACT(MIDDLE))})")
+@_t("relation_edges")
+def _(r):
+    of = lambda at: temporal.as_of(r, at).withColumnRenamed("source_id", "entity_id")
+    return sensing.relation_changes(of(EARLY), of(MIDDLE))
+
+
+@query("t6_status_history", "WITH x AS (SELECT *, max(CASE WHEN event_type = 'entity.created' THEN seq END) OVER w AS born, last_value(CASE event_type WHEN 'entity.created' THEN 'active' WHEN 'entity.deprecated' THEN 'deprecated' WHEN 'entity.archived' THEN 'archived' END IGNORE NULLS) OVER w AS status FROM event_log WINDOW w AS (PARTITION BY subject_entity ORDER BY seq)), y AS (SELECT seq, subject_entity AS uid, last_value(CASE event_type WHEN 'entity.created' THEN 'active' WHEN 'entity.deprecated' THEN 'deprecated' WHEN 'entity.archived' THEN 'archived' END IGNORE NULLS) OVER (PARTITION BY subject_entity ORDER BY seq) AS status FROM x WHERE born IS NOT NULL) SELECT seq, uid, status FROM y")
+@_t("event_log")
+def _(ev):
+    return state.last_status_window(ev)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
