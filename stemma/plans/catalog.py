@@ -20,20 +20,25 @@ ACT = "(valid_from <= TIMESTAMP '{0}' AND (valid_to IS NULL OR valid_to > TIMEST
 PARENT = "parent AS (SELECT child_id, arg_max(parent_id, seq) AS parent_id FROM hierarchy_edges WHERE {} GROUP BY child_id)".format
 NAMED = "named AS (SELECT entity_id, arg_max(display_name, (CASE WHEN is_primary THEN 1000000000000 ELSE 0 END) + seq) AS display_name, bool_or(is_primary) AS is_primary FROM names WHERE {} GROUP BY entity_id)".format
 SLUG = r"trim(regexp_replace(regexp_replace(lower(display_name), '[^a-z0-9-]+', '-', 'g'), '-{3,}', '--', 'g'), '-')"
-#: Routing rules in order (id, match, target).
+#: Routing rules in order, first match wins. The conditions are fixed values; a deployment reads its own law with ``sources.law``.
 RULES = [
-    {"id": 1, "match": {"security": "sovereign"}, "target": "custodia-securitatis"},
-    {"id": 2, "match": {"security": "secret"}, "target": "custodia-securitatis"},
-    {"id": 3, "match": {"scope": "personal", "pattern": "daemon"}, "target": "domus-semper-palingenesis"},
-    {"id": 4, "match": {"scope": "personal", "pattern": "config-file"}, "target": "domus-semper-palingenesis/dot_config/"},
-    {"id": 5, "match": {"scope": "personal", "material": "credential"}, "target": "domus-semper-palingenesis"},
+    {"id": 1, "match": {"security": "sovereign"}, "target": "vault"},
+    {"id": 2, "match": {"security": "secret"}, "target": "vault"},
+    {"id": 3, "match": {"scope": "personal", "pattern": "daemon"}, "target": "home"},
+    {"id": 4, "match": {"scope": "personal", "pattern": "config-file"}, "target": "home/config/"},
+    {"id": 5, "match": {"scope": "personal", "material": "credential"}, "target": "home"},
     {"id": 6, "match": {"scope": "system", "function": "govern"}, "target": "engine"},
-    {"id": 7, "match": {"scope": "system", "function": "validate"}, "target": "schema-definitions"},
-    {"id": 10, "match": {"material": "prompt", "function": "store"}, "target": "prompt-registry/"},
-    {"id": 11, "match": {"material": "atom"}, "target": "prompt-registry/"},
-    {"id": 12, "match": {"material": "email", "function": "sort"}, "target": "domus-semper-palingenesis"},
-    {"id": 14, "match": {"scope": "organ", "pattern": "api"}, "target": "ergon"},
-    {"id": 15, "match": {"scope": "organ", "pattern": "cli"}, "target": "taxis"},
+    {"id": 7, "match": {"scope": "system", "function": "validate"}, "target": "schemas"},
+    {"id": 8, "match": {"scope": "system", "function": "classify"}, "target": "registry"},
+    {"id": 9, "match": {"function": "transform"}, "target": "transforms"},
+    {"id": 10, "match": {"material": "prompt", "function": "store"}, "target": "prompts/"},
+    {"id": 11, "match": {"material": "atom"}, "target": "prompts/"},
+    {"id": 12, "match": {"material": "email", "function": "sort"}, "target": "home"},
+    {"id": 13, "match": {"material": "document", "scope": "system"}, "target": "corpus"},
+    {"id": 14, "match": {"scope": "organ", "pattern": "api"}, "target": "services"},
+    {"id": 15, "match": {"scope": "organ", "pattern": "cli"}, "target": "tools"},
+    {"id": 16, "match": {"scope": "public", "material": "document"}, "target": "discourse"},
+    {"id": 17, "match": {"scope": "public", "pattern": "api"}, "target": "commerce"},
     {"id": 18, "match": {"material": "repo", "function": "classify"}, "target": "engine"},
     {"id": 19, "match": {}, "target": "intake/"},
 ]
