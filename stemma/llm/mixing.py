@@ -3,9 +3,11 @@
 Every source has a share of the mix by its weight, held below ``most`` times its
 own size; what is cut off goes to the other sources by weight (water filling).
 A document of a source with repetition rate r = target / size is taken floor(r)
-times, and once more if the hash of its id, read as a number in [0, 1), is below
-the fraction of r. So reruns agree, no document needs to know of another, and
-nothing but the sums of sources is gathered.
+times, and once more if a hash of its id, read as a number in [0, 1), is below
+the fraction of r. The hash has ``SEEDS`` seeds; a source uses the one whose total
+comes nearest its target, as chance alone leaves a source of few documents far
+off. So reruns agree, no document needs to know of another, and nothing but sums
+of sources is gathered.
 
 Nulls: a null text has size 0; null sources are one source, the last; a null
 doc_id draws as the empty id. Repeated rows each count and draw alike. An empty
@@ -22,6 +24,7 @@ from .shared import materialize
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
+SEEDS = 16
 
 
 def word_count(text: Column) -> Column:
@@ -52,11 +55,29 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return out.select("__source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"))
 
 
-def copies(doc_id: Column, rate: Column, seed: str = "mix") -> Column:
+def draws(doc_id: Column) -> Column:
+    """``SEEDS`` numbers in [0, 1) from the id: eight of each of two SHA-256 hashes."""
+    text = F.coalesce(doc_id.cast("string"), F.lit(""))
+    digest = F.concat(*[F.sha2(F.concat(text, F.lit(f":mix{i}")).cast("binary"), 256) for i in range(SEEDS // 8)])
+    return F.transform(F.sequence(F.lit(0), F.lit(SEEDS - 1)), lambda i: F.conv(F.substring(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("long") / F.lit(4294967296.0))
+
+
+def copies(doc_id: Column, rate: Column, seed: Column) -> Column:
     """floor(rate), and one more with the fraction's probability."""
-    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":" + seed))
-    draw = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    return (F.floor(rate) + F.when(F.element_at(draws(doc_id), seed + 1) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+
+
+def seeded(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The table of ``targets`` with __seed, the seed whose total is nearest the target (the first of equals)."""
+    per = materialize(targets(sizes, weights, share, most), "targets")
+    joined = sizes.select("doc_id", "source", "size").join(per, F.col("source").eqNullSafe(F.col("__source")))
+    extra = joined.select("__source", "size", (F.col("__rate") - F.floor("__rate")).alias("part"), draws(F.col("doc_id")).alias("draws"))
+    sums = [F.sum(F.when(F.col("draws")[i] < F.col("part"), F.col("size")).otherwise(0)).alias(f"s{i}") for i in range(SEEDS)]
+    found = extra.groupBy("__source").agg(*sums).withColumnRenamed("__source", "__own")
+    rows = per.join(found, F.col("__source").eqNullSafe(F.col("__own")))
+    off = lambda i: F.abs(F.floor("__rate") * F.col("source_size") + F.col(f"s{i}") - F.col("target"))
+    best = F.least(*[F.struct(off(i).alias("off"), F.lit(i).alias("seed")) for i in range(SEEDS)])
+    return materialize(rows.select("__source", "source_size", "target", "__rate", best["seed"].alias("__seed")), "seeds")
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -66,19 +87,20 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     sources is joined by whatever way its measured size allows.
     """
     sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    per = targets(sizes, weights, share, most)
+    per = seeded(sizes, weights, share, most)
     joined = sizes.join(per, F.col("source").eqNullSafe(F.col("__source")), "left")
-    made = joined.withColumn("copies", copies(F.col("doc_id"), F.col("__rate")))
+    made = joined.withColumn("copies", copies(F.col("doc_id"), F.col("__rate"), F.col("__seed")))
     return made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, copy_column: str = "mix_copy") -> DataFrame:
     """The mix itself: each document's row as often as it is taken, numbered from 1 in ``copy_column``."""
-    text, source = docs["text"], docs["source"]
-    per = materialize(targets(docs.select(source.alias("source"), word_count(text).alias("size")), weights, share, most), "targets")
+    source = docs["source"]
+    sizes = materialize(docs.select(docs["doc_id"].alias("doc_id"), source.alias("source"), word_count(docs["text"]).alias("size")), "sizes")
+    per = seeded(sizes, weights, share, most)
     per = per.select(*[F.col(c).alias(f"__mix_{c}") for c in per.columns])
     joined = docs.join(per, source.eqNullSafe(F.col("__mix___source")), "left")
-    number = copies(docs["doc_id"], F.col("__mix___rate"))
+    number = copies(docs["doc_id"], F.col("__mix___rate"), F.col("__mix___seed"))
     again = F.explode(F.when(number > 0, F.sequence(F.lit(1).cast("long"), number)).otherwise(F.expr("array()").cast("array<bigint>")))
     return joined.select(*[docs[c] for c in docs.columns], again.alias(copy_column))
 
@@ -103,9 +125,18 @@ WITH sizes AS (
   FROM leveled
 ), rated AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0 END AS rate FROM goal
+), draw AS (
+  SELECT doc_id, k, ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, '') || ':mix' || (k // 8)::VARCHAR), ((k % 8) * 8 + 1)::INTEGER, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
+  FROM (SELECT DISTINCT doc_id FROM documents), range(16) t(k)
+), total AS (
+  SELECT r.source, k, abs(floor(any_value(r.rate)) * any_value(r.source_size) + sum(CASE WHEN u < r.rate - floor(r.rate) THEN s.size ELSE 0 END) - any_value(r.target)) AS off
+  FROM sizes s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source JOIN draw d ON d.doc_id IS NOT DISTINCT FROM s.doc_id
+  GROUP BY r.source, k
+), seed AS (
+  SELECT source, k FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, k) AS n FROM total) WHERE n = 1
 )
 SELECT s.doc_id, s.size, r.source_size, r.target,
-       (s.size * (floor(r.rate) + CASE WHEN ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '') || ':mix'), 1, 8))::BIGINT::DOUBLE
-         / 4294967296.0::DOUBLE < r.rate - floor(r.rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM sizes s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
+       (s.size * (floor(r.rate) + CASE WHEN d.u < r.rate - floor(r.rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM sizes s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source JOIN seed e ON e.source IS NOT DISTINCT FROM r.source
+JOIN draw d ON d.doc_id IS NOT DISTINCT FROM s.doc_id AND d.k = e.k
 """
