@@ -83,33 +83,47 @@ def _encoding(token: Column) -> Column:
     )
 
 
-def p_value(token: Column, encoding: Column) -> Column:
-    """The battery's p-value for the hypothesis that ``token`` is random."""
-    text = F.translate(F.when(encoding == "hex", F.lower(token)).otherwise(token), "-_=", "+/")
-    alphabet = F.coalesce(*[F.when(encoding == k, F.lit(v)) for k, v in ALPHABETS.items()])
-    letters = F.split(text, "")
-    size = F.length(text).cast("double")
-    kinds = F.length(alphabet).cast("double")
-    squares = F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda a, c: a + F.pow(size - F.length(F.replace(text, c, F.lit(""))), F.lit(2.0)))
-    free = kinds - 1.0
-    ratio = (kinds / size * squares - size) / free
-    chi = _tail((F.pow(F.greatest(ratio, F.lit(0.0)), F.lit(1.0 / 3)) - (1.0 - 2.0 / (9.0 * free))) / F.sqrt(2.0 / (9.0 * free)))
-    codes = F.transform(letters, lambda c: F.instr(alphabet, c).cast("double"))
-    n = F.size(letters)
-    left, right = F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1)
-    middle = kinds / 2.0
+def _with(array: str, **fields):
+    """The array of structs with fields added, each a function of the element. One step at a time keeps expressions small:
+    a later step names what an earlier one computed instead of repeating it."""
+    return lambda rows: rows.withColumn(array, F.transform(array, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), *[f(x).alias(k) for k, f in fields.items()])))
+
+
+def battery(rows: DataFrame, array: str) -> DataFrame:
+    """Turns the array's tokens (start, end, token) into p: the p-value of the hypothesis that the token is random."""
+    same = lambda k: lambda x: x[k]
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    runs = 1.0 + total(F.zip_with(left, right, lambda a, b: F.when((a > middle) != (b > middle), 1.0).otherwise(0.0)))
-    high = total(F.transform(codes, lambda a: F.when(a > middle, 1.0).otherwise(0.0)))
-    low = size - high
-    double = 2.0 * high * low
-    spread = F.sqrt(F.greatest(double * (double - size) / (size * size * (size - 1.0)), F.lit(1e-9)))
-    run = 2.0 * _tail(F.abs((runs - (double / size + 1.0)) / spread))
-    mean = total(codes) / size
-    variance = F.greatest(total(F.transform(codes, lambda a: (a - mean) * (a - mean))), F.lit(1e-9))
-    serial = total(F.zip_with(left, right, lambda a, b: (a - mean) * (b - mean))) / variance
-    lag = 2.0 * _tail(F.abs((serial + 1.0 / size) * F.sqrt(size)))
-    return F.least(F.lit(1.0), 3.0 * F.least(chi, run, lag))
+    kept = {k: same(k) for k in ("size", "kinds")}
+    steps = [
+        _with(array, token=same("token"), encoding=lambda x: _encoding(x["token"])),
+        _with(
+            array, text=lambda x: F.translate(F.when(x["encoding"] == "hex", F.lower(x["token"])).otherwise(x["token"]), "-_=", "+/"),
+            alphabet=lambda x: F.coalesce(*[F.when(x["encoding"] == k, F.lit(v)) for k, v in ALPHABETS.items()]),
+        ),
+        _with(array, text=same("text"), alphabet=same("alphabet"), letters=lambda x: F.split(x["text"], "")),
+        _with(
+            array, size=lambda x: F.size(x["letters"]).cast("double"), kinds=lambda x: F.length(x["alphabet"]).cast("double"),
+            squares=lambda x: F.aggregate(F.array_distinct(x["letters"]), F.lit(0.0), lambda a, c: a + F.pow(F.length(x["text"]) - F.length(F.replace(x["text"], c, F.lit(""))), F.lit(2.0))),
+            codes=lambda x: F.transform(x["letters"], lambda c: F.instr(x["alphabet"], c).cast("double")),
+        ),
+        _with(array, **kept, squares=same("squares"), codes=same("codes"), mean=lambda x: total(x["codes"]) / x["size"], high=lambda x: total(F.transform(x["codes"], lambda a: F.when(a > x["kinds"] / 2.0, 1.0).otherwise(0.0)))),
+        _with(
+            array, **kept, ratio=lambda x: (x["kinds"] / x["size"] * x["squares"] - x["size"]) / (x["kinds"] - 1.0), double=lambda x: 2.0 * x["high"] * (x["size"] - x["high"]),
+            runs=lambda x: 1.0 + total(F.zip_with(F.slice(x["codes"], 1, F.size(x["codes"]) - 1), F.slice(x["codes"], 2, F.size(x["codes"]) - 1), lambda a, b: F.when((a > x["kinds"] / 2.0) != (b > x["kinds"] / 2.0), 1.0).otherwise(0.0))),
+            serial=lambda x: total(F.zip_with(F.slice(x["codes"], 1, F.size(x["codes"]) - 1), F.slice(x["codes"], 2, F.size(x["codes"]) - 1), lambda a, b: (a - x["mean"]) * (b - x["mean"]))),
+            variance=lambda x: F.greatest(total(F.transform(x["codes"], lambda a: (a - x["mean"]) * (a - x["mean"]))), F.lit(1e-9)),
+        ),
+        _with(
+            array,
+            chi=lambda x: (F.pow(F.greatest(x["ratio"], F.lit(0.0)), F.lit(1.0 / 3)) - (1.0 - 2.0 / (9.0 * (x["kinds"] - 1.0)))) / F.sqrt(2.0 / (9.0 * (x["kinds"] - 1.0))),
+            run=lambda x: F.abs((x["runs"] - (x["double"] / x["size"] + 1.0)) / F.sqrt(F.greatest(x["double"] * (x["double"] - x["size"]) / (x["size"] * x["size"] * (x["size"] - 1.0)), F.lit(1e-9)))),
+            lag=lambda x: F.abs((x["serial"] / x["variance"] + 1.0 / x["size"]) * F.sqrt(x["size"])),
+        ),
+        _with(array, p=lambda x: F.least(F.lit(1.0), 3.0 * F.least(_tail(x["chi"]), 2.0 * _tail(x["run"]), 2.0 * _tail(x["lag"])))),
+    ]
+    for step in steps:
+        rows = step(rows)
+    return rows
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -122,13 +136,9 @@ def scan(docs: DataFrame) -> DataFrame:
     open_ = F.filter("found", lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     rows = rows.select("doc_id", bare("assign").alias("assign"), bare("access").alias("access"), bare("hex").alias("hex"), open_.alias("found"))
 
-    def tested(x):
-        size = x["end"] - x["start"]
-        p = p_value(x["token"], _encoding(x["token"]))
-        place = F.floor(F.lit(20.0) * -F.log10(F.greatest(p, F.lit(1e-30)) / size)).cast("int")
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.least(F.greatest(place, F.lit(0)), F.lit(BINS)).alias("bin"))
-
-    return rows.withColumn("found", F.transform("found", tested))
+    rows = battery(rows, "found")
+    place = lambda x: F.floor(F.lit(20.0) * -F.log10(F.greatest(x["p"], F.lit(1e-30)) / (x["end"] - x["start"]))).cast("int")
+    return _with("found", bin=lambda x: F.least(F.greatest(place(x), F.lit(0)), F.lit(BINS)))(rows)
 
 
 def threshold(scanned: DataFrame, fdr: float = FDR) -> int:
