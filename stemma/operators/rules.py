@@ -97,15 +97,25 @@ def find_in_chain(wanted: DataFrame, variables: DataFrame) -> DataFrame:
     """For requests (request_id, key, scope, chain: map of scope to entity) the variable found from the narrow to the broad scope.
 
     A variable of another entity doesn't fit; one without entity, or a scope without entity in the chain, fits any.
+    The first variable of each key, scope and entity is joined by all three: by key alone the pairs grow with the square of a key.
     """
-    v = variables.select(F.col("key").alias("v_key"), F.col("scope").alias("found_scope"), F.col("entity_id").alias("found_entity"), "value", "seq")
-    rows = wanted.join(v, F.col("key") == F.col("v_key")).where(scope_rank(F.col("found_scope")) <= scope_rank(F.col("scope")))
+    own, none, every = F.struct(F.lit("own").alias("kind"), F.col("entity_id").alias("entity")), _place("none"), _place("any")
+    v = variables.select("key", F.col("scope").alias("found_scope"), "entity_id", "value", "seq", F.explode(F.array(every, F.when(F.col("entity_id").isNull(), none).otherwise(own))).alias("place"))
+    first = v.groupBy("key", "found_scope", "place.kind", F.coalesce("place.entity", F.lit("")).alias("entity")).agg(F.min_by(F.struct(F.col("entity_id").alias("found_entity"), "value"), "seq").alias("x"), F.min("seq").alias("seq"))
+    scopes = variables.agg(F.collect_set("scope").alias("__scopes"))
+    rows = wanted.crossJoin(F.broadcast(scopes)).withColumn("found_scope", F.explode("__scopes")).where(scope_rank(F.col("found_scope")) <= scope_rank(F.col("scope")))
     asked = F.try_element_at("chain", F.col("found_scope"))
-    rows = rows.where(F.col("found_entity").isNull() | asked.isNull() | (F.col("found_entity") == asked))
-    best = F.min_by(F.struct("found_scope", "found_entity", "value"), F.struct(-scope_rank(F.col("found_scope")), F.col("seq")))
+    fits = F.when(asked.isNull(), F.array(every)).otherwise(F.array(none, F.struct(F.lit("own").alias("kind"), asked.alias("entity"))))
+    rows = rows.withColumn("place", F.explode(fits)).select("request_id", "key", "scope", "found_scope", "place.kind", F.coalesce("place.entity", F.lit("")).alias("entity"))
+    rows = rows.join(first, ["key", "found_scope", "kind", "entity"])
+    best = F.min_by(F.struct("found_scope", "x.found_entity", "x.value"), F.struct(-scope_rank(F.col("found_scope")), F.col("seq")))
     return rows.groupBy("request_id", "key", "scope").agg(best.alias("x")).select("request_id", "key", "scope", "x.*")
 
 
+def _place(kind: str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("entity"))
+
+
 def resolve_variables(wanted: DataFrame, variables: DataFrame, default: str | None = None) -> DataFrame:
     """As find_in_chain, for every request: source is direct, inherited or default."""
     found = find_in_chain(wanted, variables).select("request_id", "found_scope", "value")

@@ -70,7 +70,7 @@ SELECT event_id AS seq, CASE WHEN event_id % 10 = 9 THEN '' ELSE 'session:' || C
     "variables": """
 SELECT p_partkey AS seq, 'key' || CAST(p_partkey % 10 AS STRING) AS key, CASE p_partkey % 4 WHEN 0 THEN 'global' WHEN 1 THEN 'organ' WHEN 2 THEN 'repo' ELSE 'module' END AS scope,
   CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'region:' || CAST(p_partkey % 5 AS STRING) WHEN 2 THEN 'nation:' || CAST(p_partkey % 25 AS STRING) ELSE 'customer:' || CAST(p_partkey % 150 AS STRING) END AS entity_id,
-  p_name AS value, CASE WHEN p_partkey % 3 = 0 THEN 'constant' ELSE 'runtime' END AS mutability FROM {part} WHERE p_partkey % 2 = 0 OR p_partkey < 400""",
+  p_name AS value, CASE WHEN p_partkey % 3 = 0 THEN 'constant' ELSE 'runtime' END AS mutability FROM {part}""",
 }
 
 _NEED = {name: sorted(set(re.findall(r"\{(\w+)\}", text)) - {"tstype"}) for name, text in TABLES.items()}
