@@ -574,11 +574,20 @@ def _(o):
 # Mutations
 
 
+def _moves(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 13 = 0")
+    return c.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("child_id"), F.concat(F.lit("nation:"), ((F.col("c_nationkey") + 7) % 25).cast("string")).alias("parent_id"))
+
+
 @query("m7_relocate", f"WITH mv AS (SELECT 'customer:' || c_custkey AS child_id, 'nation:' || ((c_nationkey + 7) % 25) AS new_parent FROM customer WHERE c_custkey % 13 = 0), a AS (SELECT h.*, {ACT(NOW)} AS act FROM hierarchy_edges h) SELECT parent_id, child_id, CASE WHEN act AND child_id IN (SELECT child_id FROM mv) THEN '{NOW}' ELSE CAST(valid_to AS VARCHAR) END AS valid_to FROM a WHERE child_id LIKE 'customer:%' UNION ALL SELECT new_parent, child_id, NULL FROM mv")
 def _(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 13 = 0")
-    moves = c.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("child_id"), F.concat(F.lit("nation:"), ((F.col("c_nationkey") + 7) % 25).cast("string")).alias("parent_id"))
-    edges = mutate.relocate(derived(spark, sf_dir, "hierarchy_edges").where("child_id like 'customer:%'"), moves, NOW)
+    edges = mutate.relocate(derived(spark, sf_dir, "hierarchy_edges").where("child_id like 'customer:%'"), _moves(spark, sf_dir), NOW)
+    return edges.select("parent_id", "child_id", F.col("valid_to").cast("string").alias("valid_to"))
+
+
+@query("m7_relocate_all", f"WITH mv AS (SELECT 'customer:' || c_custkey AS child_id, 'nation:' || ((c_nationkey + 7) % 25) AS new_parent FROM customer WHERE c_custkey % 13 = 0) SELECT parent_id, child_id, CASE WHEN {ACT(NOW)} AND child_id IN (SELECT child_id FROM mv) THEN '{NOW}' ELSE CAST(valid_to AS VARCHAR) END AS valid_to FROM hierarchy_edges UNION ALL SELECT new_parent, child_id, NULL FROM mv")
+def _(spark, sf_dir):
+    edges = mutate.relocate(derived(spark, sf_dir, "hierarchy_edges"), _moves(spark, sf_dir), NOW)
     return edges.select("parent_id", "child_id", F.col("valid_to").cast("string").alias("valid_to"))
 
 

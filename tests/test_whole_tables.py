@@ -36,3 +36,9 @@ def test_chain_lookup_against_pairs(spark):
         spark.createDataFrame(v, "seq long, key string, scope string, entity_id string, value string"),
     )
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and want
+
+
+def test_relocate_keeps_every_edge(spark):
+    edges = derived(spark, SF, "hierarchy_edges")
+    moved = spark.read.parquet(f"{SF}/customer.parquet").where("c_custkey % 13 = 0").count()
+    assert same(spark, "m7_relocate_all") == edges.count() + moved
