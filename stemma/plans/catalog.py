@@ -684,6 +684,12 @@ def _(n):
     return resolve.by_key(n, "lowered").where("key like 'alias %'")
 
 
+@query("x8_ids_by_name", "SELECT lower(display_name) AS key, entity_id, min(seq) AS seq FROM names GROUP BY 1, 2")
+@_t("names")
+def _(n):
+    return resolve.by_key(n, "lowered")
+
+
 @query("e5_filesystem_changes", "SELECT entity_id, 'file_created' AS signal_type FROM (SELECT entity_id FROM snapshot_after EXCEPT SELECT entity_id FROM snapshot_before) UNION ALL SELECT entity_id, 'file_deleted' FROM (SELECT entity_id FROM snapshot_before EXCEPT SELECT entity_id FROM snapshot_after)")
 @_t("snapshot_before", "snapshot_after")
 def _(a, b):

@@ -42,3 +42,9 @@ def test_relocate_keeps_every_edge(spark):
     edges = derived(spark, SF, "hierarchy_edges")
     moved = spark.read.parquet(f"{SF}/customer.parquet").where("c_custkey % 13 = 0").count()
     assert same(spark, "m7_relocate_all") == edges.count() + moved
+
+
+def test_every_name_leads_to_its_entity(spark):
+    n = derived(spark, SF, "names").selectExpr("entity_id", "lower(display_name) AS key").distinct().count()
+    assert same(spark, "x8_ids_by_name") == n > catalog.queries()["r2_resolve_display_name"](spark, SF).count()
+    assert same(spark, "x7_ids_by_slug") > catalog.queries()["r1_resolve_slug"](spark, SF).count()
