@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -615,11 +616,15 @@ def _(spark, sf_dir):
 _SPLIT = f"SELECT CAST(c_custkey AS VARCHAR) || '/' || i AS child_id, parent_id FROM (SELECT c_custkey, unnest(['a', 'b']) AS i FROM customer WHERE c_custkey % 17 = 0) JOIN hierarchy_edges ON child_id = 'customer:' || c_custkey WHERE {ACT(NOW)}"
 
 
-@query("m12_split_store", _SPLIT)
-def _(spark, sf_dir):
+def _split_store(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 17 = 0")
     specs = c.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("source_uid"), F.explode(F.array(*[F.concat(F.col("c_custkey").cast("string"), F.lit(f"/{i}")) for i in "ab"])).alias("descendant"))
-    return mutate.split(derived(spark, sf_dir, "entities"), derived(spark, sf_dir, "hierarchy_edges"), specs, NOW)["opened"].select("child_id", "parent_id")
+    return mutate.split(derived(spark, sf_dir, "entities"), derived(spark, sf_dir, "hierarchy_edges"), specs, NOW)
+
+
+@query("m12_split_store", _SPLIT)
+def _(spark, sf_dir):
+    return _split_store(spark, sf_dir)["opened"].select("child_id", "parent_id")
 
 
 _PICKED = "(SELECT 'customer:' || c_custkey AS uid FROM customer WHERE c_custkey % 21 = 0)"
@@ -666,10 +671,67 @@ def _(spark, sf_dir):
     return mutate.reclassify(derived(spark, sf_dir, "entities"), _picked(spark, sf_dir).withColumn("entity_type", F.lit("repo"))).select("uid", "entity_type")
 
 
+def _split_ctx(spark, sf_dir):
+    specs = _picked(spark, sf_dir, "source_uid").withColumn("descendant", F.concat("source_uid", F.lit("/x")))
+    return mutate.split(derived(spark, sf_dir, "entities"), derived(spark, sf_dir, "hierarchy_edges"), specs, NOW, "ctx")
+
+
 @query("m13_split_ctx", "SELECT uid, CASE WHEN uid IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_custkey % 21 = 0) THEN 'split' ELSE lifecycle_status END AS lifecycle_status FROM entities UNION ALL SELECT 'customer:' || c_custkey || '/x', 'active' FROM customer WHERE c_custkey % 21 = 0")
 def _(spark, sf_dir):
-    specs = _picked(spark, sf_dir, "source_uid").withColumn("descendant", F.concat("source_uid", F.lit("/x")))
-    return mutate.split(derived(spark, sf_dir, "entities"), derived(spark, sf_dir, "hierarchy_edges"), specs, NOW, "ctx")["entities"].select("uid", "lifecycle_status")
+    return _split_ctx(spark, sf_dir)["entities"].select("uid", "lifecycle_status")
+
+
+def _changed(tables: dict[str, DataFrame]) -> DataFrame:
+    """All that a merge or split leaves, in one table: part (entity, edge, lineage or result), a, b, c."""
+    columns = {"entities": ("entity", "uid", "entity_type", "lifecycle_status"), "edges": ("edge", "parent_id", "child_id", "valid_to"), "lineage": ("lineage", "entity_id", "related_id", "lineage_type"), "result": ("result", "successor", "sources")}
+    parts = [tables[k].select(F.lit(part).alias("part"), *[F.col(c).cast("string").alias(to) for c, to in zip(own, "abc")], *([] if len(own) == 3 else [F.lit(None).cast("string").alias("c")])) for k, (part, *own) in columns.items() if k in tables]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _closed(hit: str) -> str:
+    return f"SELECT 'edge' AS part, parent_id AS a, child_id AS b, CASE WHEN {ACT(NOW)} AND ({hit}) THEN '{NOW}' ELSE CAST(valid_to AS VARCHAR) END AS c FROM hierarchy_edges"
+
+
+def _merged_sql(status: str, heirs: str, derived_from: str) -> str:
+    opened = _MERGE.format(heirs)
+    src, act = opened[: opened.index("\na AS")], opened[opened.index("\na AS") :]
+    body = act[act.index("\nSELECT") :]
+    return f"""{src} a AS (SELECT * FROM hierarchy_edges WHERE {ACT(NOW)}), o AS ({body})
+SELECT 'entity' AS part, uid AS a, entity_type AS b, CASE WHEN uid IN (SELECT uid FROM src) THEN '{status}' ELSE lifecycle_status END AS c FROM entities
+UNION ALL SELECT DISTINCT 'entity', successor, 'repo', 'active' FROM src
+UNION ALL {_closed("parent_id IN (SELECT uid FROM src) OR child_id IN (SELECT s.uid FROM src s" + heirs + ")")}
+UNION ALL SELECT 'edge', parent_id, child_id, NULL FROM o
+UNION ALL SELECT 'lineage', uid, successor, 'merged_into' FROM src {derived_from}
+UNION ALL SELECT 'result', successor, CAST(count(*) AS VARCHAR), NULL FROM src GROUP BY successor"""
+
+
+def _split_sql(status: str, mod: int, ends: str, descendant: str, closes: bool) -> str:
+    opened = f"UNION ALL SELECT 'edge', h.parent_id, d.descendant, NULL FROM d JOIN hierarchy_edges h ON h.child_id = d.uid WHERE {ACT(NOW)}" if closes else ""
+    return f"""WITH d AS (SELECT uid, {descendant} AS descendant FROM (SELECT 'customer:' || c_custkey AS uid, c_custkey, unnest({ends}) AS i FROM customer WHERE c_custkey % {mod} = 0))
+SELECT 'entity' AS part, uid AS a, entity_type AS b, CASE WHEN uid IN (SELECT uid FROM d) THEN '{status}' ELSE lifecycle_status END AS c FROM entities
+UNION ALL SELECT 'entity', descendant, 'module', 'active' FROM d
+UNION ALL {_closed("child_id IN (SELECT uid FROM d)" if closes else "false")} {opened}
+UNION ALL SELECT 'lineage', descendant, uid, 'split_from' FROM d"""
+
+
+@query("m10_merge_store_all", _merged_sql("deprecated", "", ""))
+def _(spark, sf_dir):
+    return _changed(_merge(spark, sf_dir, "store"))
+
+
+@query("m11_merge_ctx_all", _merged_sql("merged", " WHERE s.k = 1", "UNION ALL SELECT 'lineage', successor, uid, 'derived_from' FROM src"))
+def _(spark, sf_dir):
+    return _changed(_merge(spark, sf_dir, "ctx"))
+
+
+@query("m12_split_store_all", _split_sql("deprecated", 17, "['a', 'b']", "c_custkey || '/' || i", True))
+def _(spark, sf_dir):
+    return _changed(_split_store(spark, sf_dir))
+
+
+@query("m13_split_ctx_all", _split_sql("split", 21, "['x']", "uid || '/' || i", False))
+def _(spark, sf_dir):
+    return _changed(_split_ctx(spark, sf_dir))
 
 
 @query("r1_resolve_slug", f"SELECT {SLUG} AS key, entity_id, min(seq) AS seq FROM names WHERE {SLUG} LIKE 'alias-%' GROUP BY 1, 2")
