@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import graph, metrics, mutate, resolve, rules, sensing, state, temporal
-from .derived import EARLY, MIDDLE, MOVED, NOW, derived, oracle
+from ..sources import law
+from .derived import EARLY, MIDDLE, NOW, derived, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,28 +22,63 @@ ACT = "(valid_from <= TIMESTAMP '{0}' AND (valid_to IS NULL OR valid_to > TIMEST
 PARENT = "parent AS (SELECT child_id, arg_max(parent_id, seq) AS parent_id FROM hierarchy_edges WHERE {} GROUP BY child_id)".format
 NAMED = "named AS (SELECT entity_id, arg_max(display_name, (CASE WHEN is_primary THEN 1000000000000 ELSE 0 END) + seq) AS display_name, bool_or(is_primary) AS is_primary FROM names WHERE {} GROUP BY entity_id)".format
 SLUG = r"trim(regexp_replace(regexp_replace(lower(display_name), '[^a-z0-9-]+', '-', 'g'), '-{3,}', '--', 'g'), '-')"
-#: Routing rules in order, first match wins. The conditions are fixed values; a deployment reads its own law with ``sources.law``.
-RULES = [
-    {"id": 1, "match": {"security": "sovereign"}, "target": "vault"},
-    {"id": 2, "match": {"security": "secret"}, "target": "vault"},
-    {"id": 3, "match": {"scope": "personal", "pattern": "daemon"}, "target": "home"},
-    {"id": 4, "match": {"scope": "personal", "pattern": "config-file"}, "target": "home/config/"},
-    {"id": 5, "match": {"scope": "personal", "material": "credential"}, "target": "home"},
-    {"id": 6, "match": {"scope": "system", "function": "govern"}, "target": "engine"},
-    {"id": 7, "match": {"scope": "system", "function": "validate"}, "target": "schemas"},
-    {"id": 8, "match": {"scope": "system", "function": "classify"}, "target": "registry"},
-    {"id": 9, "match": {"function": "transform"}, "target": "transforms"},
-    {"id": 10, "match": {"material": "prompt", "function": "store"}, "target": "prompts/"},
-    {"id": 11, "match": {"material": "atom"}, "target": "prompts/"},
-    {"id": 12, "match": {"material": "email", "function": "sort"}, "target": "home"},
-    {"id": 13, "match": {"material": "document", "scope": "system"}, "target": "corpus"},
-    {"id": 14, "match": {"scope": "organ", "pattern": "api"}, "target": "services"},
-    {"id": 15, "match": {"scope": "organ", "pattern": "cli"}, "target": "tools"},
-    {"id": 16, "match": {"scope": "public", "material": "document"}, "target": "discourse"},
-    {"id": 17, "match": {"scope": "public", "pattern": "api"}, "target": "commerce"},
-    {"id": 18, "match": {"material": "repo", "function": "classify"}, "target": "engine"},
-    {"id": 19, "match": {}, "target": "intake/"},
-]
+#: A routing law over the columns of ``artifacts``, as the text that a deployment would keep in a file. The first match wins;
+#: rule 8 names a column that isn't a dimension and so never matches, and what no rule takes goes to the fallback.
+LAW = """
+version: 3
+rules:
+  - id: 2
+    match:
+      pattern: config-file
+      security: public
+    target: settings/
+  - id: 3
+    match:
+      material: repo
+      scope: organ
+    target: projects/
+  - id: 4
+    match:
+      function: store
+      pattern: daemon
+    target: warehouse/
+  - id: 5
+    match:
+      material: document
+      function: sort
+    target: 'shelf/'
+  - id: 6
+    match:
+      scope: personal
+      function: govern
+    target: notes/
+  - id: 7
+    match:
+      pattern: api
+      scope: organ
+      security: sovereign
+    target: gateway/
+  - id: 8
+    match:
+      colour: red
+    target: nowhere/
+  - id: 9
+    match:
+      material: credential
+      pattern: cli
+      function: validate
+    target: probes/   # three keys
+  - id: 10
+    match:
+      security: secret
+    target: locked/
+  - id: 11
+    match:
+      material: prompt
+    target: drafts/
+"""
+RULES = law.parse(LAW)["rules"]
+FALLBACK = "unsorted/"
 POLICIES = [
     {"policy_id": "p-inactive", "action": "flag", "priority": 5, "conditions": [("lifecycle_status", "ne", "active")]},
     {"policy_id": "p-module", "action": "review", "priority": 9, "scope": "module", "conditions": [("lifecycle_status", "in", ["deprecated", "archived"])]},
@@ -483,15 +519,16 @@ def _(e, h, r):
 
 
 def _route_sql() -> str:
-    tests = lambda m: " AND ".join(f"{k} = '{v}'" for k, v in m.items()) or "TRUE"
-    case = lambda what: "CASE " + " ".join(f"WHEN {tests(r['match'])} THEN {what(r)}" for r in RULES) + " END"
-    return f"SELECT artifact_id, {case(lambda r: str(r['id']))} AS rule_id, {case(lambda r: chr(39) + r['target'] + chr(39))} AS target FROM artifacts"
+    known = [r for r in RULES if set(r["match"]) <= set(rules.DIMENSIONS)]
+    tests = lambda m: " AND ".join(f"{k} = '{v}'" for k, v in m.items())
+    case = lambda what, other: "CASE " + " ".join(f"WHEN {tests(r['match'])} THEN {what(r)}" for r in known) + f" ELSE {other} END"
+    return f"SELECT artifact_id, {case(lambda r: r['id'], 'NULL')} AS rule_id, {case(lambda r: chr(39) + r['target'] + chr(39), chr(39) + FALLBACK + chr(39))} AS target FROM artifacts"
 
 
 @query("j9_routing", _route_sql())
 @_t("artifacts")
 def _(a):
-    return rules.route(a, RULES).select("artifact_id", "rule_id", "target")
+    return rules.route(a, RULES, FALLBACK).select("artifact_id", "rule_id", "target")
 
 
 @query("p2_policies", """WITH h AS (SELECT uid, 'p-module' AS policy_id, 'review' AS action, 9 AS priority, 1 AS i FROM entities WHERE entity_type = 'module' AND lifecycle_status IN ('deprecated', 'archived')
@@ -788,5 +825,3 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
-
-assert MOVED

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-NOW, MOVED, EARLY, MIDDLE = "2002-01-01 00:00:00", "1998-01-01 00:00:00", "1997-06-01 00:00:00", "1999-06-01 00:00:00"
+NOW, EARLY, MIDDLE = "2002-01-01 00:00:00", "1997-06-01 00:00:00", "1999-06-01 00:00:00"
 
 TABLES = {
     "entities": """
