@@ -15,7 +15,7 @@ from .shared import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: a, b (long). Returns node, root: the smallest node of its component. Nodes without links are left out."""
+    """links: a, b (long). Returns a written table of node, root: the smallest node of its component. Nodes without links are left out."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialize(both.where("a <> b").distinct(), "edges")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root"), F.lit(True).alias("moved")), "labels")
@@ -29,4 +29,6 @@ def components(links: DataFrame) -> DataFrame:
         discard(labels)
         labels = new
     discard(edges)
-    return labels.select("node", "root")
+    out = labels.select("node", "root")
+    out._stemma_path = labels._stemma_path
+    return out

@@ -24,7 +24,14 @@ After that every pair that shares a bucket is linked, was held against each
 other, or lies in one component already, so components are those of all links
 found. Everything is keyed by class and band: groups of copies and of near
 copies are only ever joined (where Spark splits large keys) or partially
-aggregated, never gathered in one task. Texts of candidates alone are shuffled.
+aggregated, never gathered in one task. A bounded bitmap of the candidates' ids
+stands before the join that fetches their texts, so texts of others are not
+shuffled (with more than some millions of candidates the bitmap fills up, and
+the join alone sorts them out). Copies are reduced to one row a class before
+anything is exploded, and sets travel as six bytes a shingle.
+
+An empty table gives an empty result. A text is one slice however long it is,
+and its set the only thing that grows with it.
 
 Nulls: a document without words or text has an empty set, n_shingles 0, and is
 linked with nothing; its component is itself. A null doc_id never becomes a
@@ -41,10 +48,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .graph import components
-from .shared import discard, materialize
+from .shared import among, bitmap, discard, identity, materialize, without
 from .textops import GRAPHIC, chained, hashed_words, mix, slices
 
 HASHES, ROWS = 126, 3
@@ -55,7 +61,7 @@ _RNG = np.random.default_rng(17)
 _FACTORS = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64)
 
-SIGNED = "doc_id long, n_shingles long, class long, bands array<bigint>"
+SIGNED = "doc_id long, mark long, n_shingles long, class long, bands array<bigint>"
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -83,7 +89,7 @@ def class_of(s: np.ndarray) -> int:
 
 
 def bands_of(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of band hashes for each (not empty) set."""
+    """One row of bucket hashes, one a band, for each (not empty) set."""
     sizes = np.array([len(s) for s in sets])
     flat, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
     values = np.empty((2 * HASHES, len(sets)), np.uint64)
@@ -93,7 +99,8 @@ def bands_of(sets: list[np.ndarray]) -> np.ndarray:
         values[2 * j] = np.minimum.reduceat(turned, starts)
         values[2 * j + 1] = np.maximum.reduceat(turned, starts)
     wide = 2 * ROWS
-    return np.stack([chained([values[b * wide + i] for i in range(wide)]) for b in range(HASHES // ROWS)], axis=1)
+    number = lambda b: np.full(len(sets), b, np.uint64)
+    return np.stack([chained([number(b), *[values[b * wide + i] for i in range(wide)]]) for b in range(HASHES // ROWS)], axis=1)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -105,64 +112,72 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             if full:
                 for i, row in zip(full, bands_of([sets[i] for i in full]).view(np.int64)):
                     bands[i] = row
-            columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "bands"])
+            columns = [part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SIGNED.split(", ")])
+
+    return docs.select(*identity(docs), docs["text"].alias("text")).mapInArrow(run, SIGNED)
+
+
+def packed(s: np.ndarray) -> bytes:
+    """Six bytes of each hash of an ascending set, in its order."""
+    return np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNED)
 
+def opened(x: bytes) -> np.ndarray:
+    wide = np.zeros((len(x) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
 
-def texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """class, text of one document of each wanted class (column class)."""
+
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """class, shingles (packed) of the wanted classes (class, doc_id, mark of one document of each), as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [class_of(s) for s in shingle_sets(part.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.int64()), part.column("text")], names=["first", "class", "text"])
+            own = [packed(s) for s in shingle_sets(part.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(own, pa.binary())], names=["class", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "first long, class long, text string")
-    same = (rows["class"] == wanted["class"]) & rows["first"].eqNullSafe(wanted["first"])
-    return rows.join(wanted, same, "left_semi").groupBy("class").agg(F.first("text").alias("text"))
+    wanted = wanted.select("class", F.col("doc_id").alias("__first"), F.col("mark").alias("__mark"))
+    rows = docs.select(*identity(docs), docs["text"].alias("text"))
+    rows = among(rows, F.struct("doc_id", "mark"), bitmap(wanted, F.struct("__first", "__mark")))
+    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__first")) & (F.col("mark") == F.col("__mark")))
+    sets = materialize(found.select("class", "text").mapInArrow(run, "class long, shingles binary"), "sets")
+    if sets.count() == wanted.count():
+        return sets
+    once = materialize(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")  # repeated rows
+    discard(sets)
+    return once
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes, those with 100 * intersection >= percent * union of the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text_a"):
-            ones, others = shingle_sets(part.column("text_a"), k), shingle_sets(part.column("text_b"), k)
+        for part in slices(batches, "set_a"):
             keep = []
-            for x, y in zip(ones, others):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            for x, y in zip(part.column("set_a").to_pylist(), part.column("set_b").to_pylist()):
+                n = len(x) // 6 + len(y) // 6
+                both = n - len(np.unique(np.concatenate([opened(x), opened(y)])))
+                keep.append(both > 0 and 100 * both >= percent * (n - both))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda n: texts.select(F.col("class").alias(n), F.col("text").alias(f"text_{n}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    side = lambda n: sets.select(F.col("class").alias(n), F.col("shingles").alias(f"set_{n}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def split_buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """bucket, class, root, minor (not of the bucket's most frequent component), n, minors: rows of buckets of several components."""
+def split_buckets(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, the table they are read from) with bucket, class, root, minor (not of the bucket's most frequent component), n, minors: rows of buckets of several components."""
     placed = shared.join(roots, shared["class"] == roots["node"], "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
     placed = materialize(placed, "placed")
     counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     split = counts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("n"), F.count("*").alias("several")).where("several > 1")
     split = split.select("bucket", F.col("x.root").alias("major"), "n", (F.col("n") - F.col("x.n")).alias("minors"))
-    return placed.join(split, "bucket").select("bucket", "class", "root", (F.col("root") != F.col("major")).alias("minor"), "n", "minors")
+    return placed.join(split, "bucket").select("bucket", "class", "root", (F.col("root") != F.col("major")).alias("minor"), "n", "minors"), placed
 
 
-def block_links(rows: DataFrame, texts: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+def block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between classes of a bucket in different components, one for each minor class and component in a block."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            own = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for x in shingle_sets(part.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(own, pa.binary())], names=["class", "shingles"])
-
-    def opened(x: bytes) -> np.ndarray:
-        wide = np.zeros((len(x) // 6, 8), np.uint8)
-        wide[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-        return wide.view(np.uint64).ravel()
-
     def compare(found: pa.Table) -> pa.Table:
         rows = sorted(found.to_pylist(), key=lambda r: r["class"])
         asked, held = [r for r in rows if r["asks"]], [r for r in rows if not r["asks"]]
@@ -186,57 +201,68 @@ def block_links(rows: DataFrame, texts: DataFrame, k: int, percent: int, block:
                     b.append(held[i]["class"])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    own = texts.select("class", "text").mapInArrow(sets, "class long, shingles binary")
     of = lambda n: F.ceil(F.col(n) / block).cast("int")
     deal = lambda role, n: F.pmod(F.xxhash64("class", F.lit(role)), of(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), of(n) - 1))
     asks = rows.where("minor").select("bucket", "class", "root", deal("asks", "minors").alias("ask_block"), each("n").alias("held_block"), F.lit(True).alias("asks"))
     held = rows.select("bucket", "class", "root", each("minors").alias("ask_block"), deal("held", "n").alias("held_block"), F.lit(False).alias("asks"))
-    dealt = asks.unionByName(held).join(own, "class")
+    dealt = asks.unionByName(held).join(sets, "class")
     return dealt.groupBy("bucket", "ask_block", "held_block").applyInArrow(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class, root (the component's smallest class), component_id of every row of ``docs``."""
+    """doc_id, mark, n_shingles, class, root (the component's smallest class), component_id of every row of ``docs``."""
     signed = materialize(signatures(docs, k), "signatures")
-    owner = signed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
-    owner = materialize(owner, "classes")
-    # One row a class and band. Copies give the same rows; they go before anything is joined.
-    rows = signed.where("n_shingles > 0").select("class", F.posexplode("bands").alias("band", "value"))
-    rows = rows.select(F.xxhash64("band", "value").alias("bucket"), "class").distinct()
-    buckets = materialize(rows, "buckets")
-    hubs = buckets.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select("bucket", "hub")
-    shared = materialize(buckets.join(hubs, "bucket"), "shared")
-    discard(buckets)
-    wanted = shared.select("class").union(shared.select("hub")).distinct()
-    texts = materialize(texts_of(docs, owner.join(wanted, "class", "left_semi"), k), "texts")
-
-    met = materialize(shared.where("class <> hub").groupBy(F.col("hub").alias("a"), F.col("class").alias("b")).agg(F.count("*").alias("n")), "hubs")
+    members = materialize(signed.drop("bands"), "members")
+    # One row a class, with the document that stands for it: copies go before anything is exploded or joined.
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("x")
+    unique = signed.where("n_shingles > 0").groupBy("class").agg(least, F.first("bands").alias("bands"))
+    unique = materialize(unique.select("class", "x.doc_id", "x.mark", "bands"), "classes")
+    discard(signed)
+    rows = unique.select("class", F.explode("bands").alias("bucket"))
+    hubs = rows.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last")
+    hubs = materialize(hubs.select("bucket", "hub"), "hubs")
+    shared = materialize(among(rows, F.col("bucket"), bitmap(hubs, F.col("bucket"))).join(hubs, "bucket"), "shared")
+    owner = materialize(unique.drop("bands"), "owners")
+    discard(unique, hubs)
+    wanted = materialize(owner.join(shared.select("class").distinct(), "class", "left_semi"), "wanted")
+    sets = sets_of(docs, wanted, k)
+
+    met = materialize(shared.where("class <> hub").groupBy(F.col("hub").alias("a"), F.col("class").alias("b")).agg(F.count("*").alias("n")), "met")
     best = met.groupBy("b").agg(F.max(F.struct("n", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     tried = materialize(best, "tried")
-    links = [materialize(confirmed(tried, texts, k, percent), "links")]
+    links = [materialize(confirmed(tried, sets, percent), "links")]
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         of = lambda n: labels.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
         out = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
         return out.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
-    roots = materialize(components(links[0]), "roots")
+    roots = components(links[0])
     second = materialize(apart(met.join(tried, ["a", "b"], "left_anti").select("a", "b"), roots), "second")
-    links.append(materialize(confirmed(second, texts, k, percent), "links"))
-    roots = materialize(components(links[0].union(links[1])), "roots")
+    links.append(materialize(confirmed(second, sets, percent), "links"))
+    discard(roots, met, tried, second)
+    roots = components(links[0].union(links[1]))
 
-    links.append(materialize(block_links(split_buckets(shared, roots), texts, k, percent), "links"))
+    rows, placed = split_buckets(shared, roots)
+    links.append(materialize(block_links(rows, sets, percent), "links"))
+    discard(placed, sets, shared, wanted)
     if links[2].limit(1).count():
+        discard(roots)
         roots = components(links[0].union(links[1]).union(links[2]))
-
-    named = owner.join(roots, owner["class"] == roots["node"], "left").select("class", "first", F.coalesce("root", "class").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(named.join(lowest, "root").select(F.col("class").alias("__class"), "root", "component_id"), "components")
-    for done in (texts, shared, met):
-        discard(done)
-    out = signed.join(named, (signed["class"] == named["__class"]) & (signed["n_shingles"] > 0), "left")
-    return out.select("doc_id", "n_shingles", "class", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    discard(*links)
+
+    # Classes without a link are their own components; only the others are looked up by root.
+    linked = owner.join(roots, owner["class"] == roots["node"]).select("class", "doc_id", "root")
+    lowest = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = materialize(linked.join(lowest, "root").select(F.col("class").alias("__class"), "root", "component_id"), "components")
+    alone = owner.select(F.col("class").alias("__own"), F.col("doc_id").alias("__least"))
+    out = members.join(alone, (members["class"] == alone["__own"]) & (members["n_shingles"] > 0), "left").join(named, F.col("__own") == F.col("__class"), "left")
+    component = F.when(F.col("n_shingles") > 0, F.when(F.col("__class").isNotNull(), F.col("component_id")).otherwise(F.col("__least"))).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", "mark", "n_shingles", "class", F.when(F.col("n_shingles") > 0, F.coalesce("root", "class")).alias("root"), component.alias("component_id"))
+    out = materialize(out, "components")
+    discard(members, owner, named, roots)
+    return out
 
 
 def report(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
@@ -247,26 +273,20 @@ def report(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
 def drop_copies(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """Rows of ``docs``, unchanged, without near copies: of each component the row of the smallest doc_id stays.
 
-    Rows that go are a written table of ids and classes, held against the texts
-    by an anti join that is broadcast only while that table is small.
+    What goes is a written table of ids and hashes of texts. A bounded bitmap of it
+    tells which rows have to meet it in a join, so most texts are not shuffled.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            found = [class_of(s) for s in shingle_sets(part.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.int64())], names=[*part.schema.names, "__class"])
-
-    every = materialize(classes(docs, k, percent).where("root is not null"), "members")
+    every = classes(docs, k, percent).where("root is not null")
     least = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    stays = every.where(least).groupBy(F.col("root").alias("__root")).agg(F.min("class").alias("__stays"), F.count("*").alias("__rows"))
-    stays = materialize(stays, "stays")
-    gone = every.join(stays, every["root"] == stays["__root"]).where(~(least & (F.col("class") == F.col("__stays"))))
-    gone = materialize(gone.select(F.col("doc_id").alias("__gone_id"), F.col("class").alias("__gone_class")).distinct(), "gone")
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__class", T.LongType())]))
-    id_ = marked["doc_id"].cast("long")
-    out = marked.join(gone, id_.eqNullSafe(F.col("__gone_id")) & (marked["__class"] == F.col("__gone_class")), "left_anti")
-    again = stays.where("__rows > 1").select(F.col("__stays").alias("__again"))
-    if again.limit(1).count():  # repeated rows: equal ids and sets
-        once = out.join(again, out["__class"] == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "__class"])
-        out = out.join(again, out["__class"] == F.col("__again"), "left_anti").union(once)
-    return out.select(*[out[c] for c in docs.columns])
+    gone = every.where(~least).select("doc_id", "mark")
+    again = every.where(least).groupBy("root").agg(F.min("mark").alias("stays"), F.count("*").alias("n")).where("n > 1").select("root", "stays")
+    again = materialize(again, "again")
+    if not again.limit(1).count():
+        return without(docs, materialize(gone, "gone"))
+    # Rows of equal doc_id in one component: the smallest hash of a text stays, once.
+    kept = every.where(least).join(again, "root")
+    gone = gone.union(kept.where("mark <> stays").select("doc_id", "mark"))
+    once = materialize(kept.where("mark = stays").select("doc_id", "mark").distinct(), "once")
+    repeated = docs.join(once.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__mark")))
+    first = repeated.select(*[docs[c] for c in docs.columns], "__id", "__mark").dropDuplicates(["__id", "__mark"]).drop("__id", "__mark")
+    return without(docs, materialize(gone.union(once), "gone")).union(first)

@@ -4,9 +4,11 @@ import re
 
 import pytest
 from oracle import SF
+from pyspark.sql import functions as F
 
 from stemma.llm import neardup
 from stemma.llm.graph import components
+from stemma.llm.shared import among, bitmap, without
 
 
 def brute(rows, k, percent=80):
@@ -33,8 +35,9 @@ def brute(rows, k, percent=80):
     return sorted((d, len(s), low[top(i)], d == low[top(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets)))
 
 
-def test_whole_table(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     got = sorted(tuple(r) for r in neardup.report(docs).collect())
     assert got == brute(rows, 2)
@@ -95,8 +98,25 @@ def test_blocks_find_what_hubs_miss(spark):
     sets = [neardup.shingle_sets(neardup.pa.array([t]), 2)[0] for t in texts]
     rows = [(1, i, i, i != 0, len(texts), len(texts) - 1) for i in range(len(texts))]
     rows = spark.createDataFrame(rows, "bucket long, class long, root long, minor boolean, n long, minors long")
-    own = spark.createDataFrame(list(enumerate(texts)), "class long, text string")
-    got = {(min(r), max(r)) for r in map(tuple, neardup.block_links(rows, own, 2, 80, block=2).collect())}
+    own = spark.createDataFrame([(i, bytearray(neardup.packed(x))) for i, x in enumerate(sets)], "class long, shingles binary")
+    got = {(min(r), max(r)) for r in map(tuple, neardup.block_links(rows, own, 80, block=2).collect())}
     size = lambda a, b: (len(set(sets[a].tolist()) & set(sets[b].tolist())), len(set(sets[a].tolist()) | set(sets[b].tolist())))
     want = {(i, j) for j in range(len(texts)) for i in range(j) if 100 * size(i, j)[0] >= 80 * size(i, j)[1]}
     assert got == want and len(want) >= 8
+
+
+def test_a_full_bitmap_only_lets_more_through(spark):
+    rows = spark.range(5000)
+    for most in (1 << 12, 1 << 20):
+        bits = bitmap(rows.where("id % 7 = 0"), F.col("id"), most)
+        assert bits[0].count() <= most // 64
+        got = {r["id"] for r in among(rows, F.col("id"), bits).collect()}
+        assert set(range(0, 5000, 7)) <= got and (most < 1 << 13 or len(got) < 1200)
+
+
+def test_without_under_clashing_names(spark):
+    rows = [(1, "a", 5, 7), (1, "b", 5, 7), (None, "a", 5, 7), (None, None, 5, 7), (2, "", 5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, mark int, __may int")
+    gone = spark.createDataFrame(rows[1:2] + rows[3:4], docs.schema).select("doc_id", F.xxhash64("text").alias("mark"))
+    got = without(docs, gone)
+    assert got.schema == docs.schema and sorted(map(tuple, got.collect()), key=str) == sorted(rows[:1] + rows[2:3] + rows[4:], key=str)
