@@ -14,8 +14,8 @@ ever expanded into all its pairs:
 1. every class with its best hub (of the first classes of its buckets, the one
    met in most bands);
 2. every class with its other hubs, where the components still differ;
-3. in buckets whose classes still lie in different components, the classes
-   outside the most frequent one with all others of other components. Both sides
+3. in buckets whose classes (but for the hub) still lie in different components,
+   those outside the most frequent one with all others of other components. Both sides
    are dealt into blocks of about ``BLOCK``; a task holds one block of each, counts
    intersections through the block's inverted list, and gives one link for
    a class and component, so no pairs are written out.
@@ -244,7 +244,8 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     discard(roots, met, tried, second)
     roots = components(links[0].union(links[1]))
 
-    rows, placed = split_buckets(shared, roots)
+    # A bucket's hub was held against all its classes above, or lies in their component.
+    rows, placed = split_buckets(shared.where("class <> hub"), roots)
     links.append(materialize(block_links(rows, sets, percent), "links"))
     discard(placed, sets, shared, wanted)
     if links[2].limit(1).count():

@@ -90,7 +90,7 @@ def identity(docs: DataFrame, id_: str = "doc_id", mark: str = "mark") -> list[C
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs``, unchanged, that aren't in the written table ``gone`` (doc_id, mark). Only rows that the bitmap of
     ``gone`` lets through meet it in a join; all others stay where they are."""
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("mark").alias("__gone_mark")).distinct()
+    gone = gone.select(F.col("doc_id").cast("long").alias("__gone_id"), F.col("mark").alias("__gone_mark")).distinct()
     names = [f"__own{i}" for i in range(len(docs.columns))]
     own = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)], *identity(docs, "__id", "__mark"))
     bits = bitmap(gone, F.struct("__gone_id", "__gone_mark"))
