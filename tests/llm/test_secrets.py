@@ -1,10 +1,12 @@
 """Secret spans against Python's re, the battery on random and on made-up strings."""
 
 import hashlib
+import math
 import random
 import re
 
 from oracle import SF
+from pyspark.sql import functions as F
 
 from stemma.llm import catalog, secrets
 
@@ -68,3 +70,15 @@ def test_battery(spark):
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "a token=abcdef12 é", 1, "k"), (2, None, None, None), (3, "clean", 5, "k")], "doc_id long, text string, n_chars long, assign string")
     assert [tuple(r) for r in secrets.redact(docs).orderBy("doc_id").collect()] == [(1, "a [SECRET] é", 12, "k"), (2, None, None, None), (3, "clean", 5, "k")]
+
+
+def test_clashing_row_columns(spark):
+    docs = spark.createDataFrame([(1, "x token=abcdef12", 7, "k", [1])], "doc_id int, text string, __row long, found string, hex array<int>")
+    got = secrets.redact(docs)
+    assert got.schema == docs.schema and [tuple(r) for r in got.collect()] == [(1, "x [SECRET]", 7, "k", [1])]
+
+
+def test_normal_tail_to_eight(spark):
+    zs = [x / 4 for x in range(-32, 49)]
+    got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(secrets._tail(F.col("z"))).collect()]
+    assert all(abs(p / (math.erfc(z / math.sqrt(2)) / 2) - 1) < 2e-7 for p, z in zip(got, zs))
