@@ -6,12 +6,15 @@ A document of a source with repetition rate r = target / size is taken floor(r)
 times, and once more if a hash of its id, read as a number in [0, 1), is below
 the fraction of r. The hash has ``SEEDS`` seeds; a source uses the one whose total
 comes nearest its target, as chance alone leaves a source of few documents far
-off. So reruns agree, no document needs to know of another, and nothing but sums
+off. That conditions the draws: the chance of an extra copy is the fraction of r
+only nearly, and least nearly in a source of few documents. Reruns agree, no document needs to know of another, and nothing but sums
 of sources is gathered.
 
 Nulls: a null text has size 0; null sources are one source, the last; a null
 doc_id draws as the empty id. Repeated rows each count and draw alike. An empty
-table gives an empty mix; a source without words has target 0 and no copies.
+table gives an empty mix; a source without words has target 0 and no copies. Sources
+of equal cap by weight are taken in order of name. The table of sources, not of
+documents, is put in order in one task. A very long text only counts by its words.
 """
 
 from __future__ import annotations
@@ -94,7 +97,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, copy_column: str = "mix_copy") -> DataFrame:
-    """The mix itself: each document's row as often as it is taken, numbered from 1 in ``copy_column``."""
+    """The mix itself: each document's row as often as it is taken, numbered from 1 in ``copy_column``, which replaces one of that name."""
     source = docs["source"]
     sizes = materialize(docs.select(docs["doc_id"].alias("doc_id"), source.alias("source"), word_count(docs["text"]).alias("size")), "sizes")
     per = seeded(sizes, weights, share, most)
@@ -102,16 +105,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     joined = docs.join(per, source.eqNullSafe(F.col("__mix___source")), "left")
     number = copies(docs["doc_id"], F.col("__mix___rate"), F.col("__mix___seed"))
     again = F.explode(F.when(number > 0, F.sequence(F.lit(1).cast("long"), number)).otherwise(F.expr("array()").cast("array<bigint>")))
-    return joined.select(*[docs[c] for c in docs.columns], again.alias(copy_column))
+    return joined.select(*[docs[c] for c in docs.columns if c != copy_column], again.alias(copy_column))
 
 
 ORACLE = r"""
-WITH sizes AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+WITH sizes AS MATERIALIZED (
+  SELECT doc_id, source, coalesce(source, '') || CASE WHEN source IS NULL THEN '0' ELSE '1' END AS s, coalesce(doc_id::VARCHAR, '') AS d, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), per AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
-         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
-  FROM sizes GROUP BY source
+  SELECT s, any_value(source) AS source, sum(size)::BIGINT AS source_size,
+         CASE (row_number() OVER (ORDER BY any_value(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM sizes GROUP BY s
 ), leveled AS (
   SELECT *, 2 * source_size AS cap,
          (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE
@@ -120,23 +123,23 @@ WITH sizes AS (
   FROM per
   WINDOW before AS (ORDER BY (2 * source_size)::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), goal AS (
-  SELECT source, source_size,
+  SELECT s, source_size,
          CASE WHEN cap::DOUBLE <= w * level THEN cap::DOUBLE ELSE w * max(level) OVER () END AS target
   FROM leveled
-), rated AS (
+), rated AS MATERIALIZED (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0 END AS rate FROM goal
-), draw AS (
-  SELECT doc_id, k, ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, '') || ':mix' || (k // 8)::VARCHAR), ((k % 8) * 8 + 1)::INTEGER, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
-  FROM (SELECT DISTINCT doc_id FROM documents), range(16) t(k)
+), digest AS MATERIALIZED (
+  SELECT d, h, sha256(d || ':mix' || h::VARCHAR) AS x FROM (SELECT DISTINCT d FROM sizes), range(2) t(h)
+), draw AS MATERIALIZED (
+  SELECT d, (h * 8 + j)::BIGINT AS k, ('0x' || substr(x, (j * 8 + 1)::INTEGER, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM digest, range(8) t(j)
 ), total AS (
-  SELECT r.source, k, abs(floor(any_value(r.rate)) * any_value(r.source_size) + sum(CASE WHEN u < r.rate - floor(r.rate) THEN s.size ELSE 0 END) - any_value(r.target)) AS off
-  FROM sizes s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source JOIN draw d ON d.doc_id IS NOT DISTINCT FROM s.doc_id
-  GROUP BY r.source, k
+  SELECT r.s, w.k, abs(floor(any_value(r.rate)) * any_value(r.source_size) + sum(CASE WHEN w.u < r.rate - floor(r.rate) THEN z.size ELSE 0 END) - any_value(r.target)) AS off
+  FROM sizes z JOIN rated r ON z.s = r.s JOIN draw w ON w.d = z.d
+  GROUP BY r.s, w.k
 ), seed AS (
-  SELECT source, k FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, k) AS n FROM total) WHERE n = 1
+  SELECT s, k FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY off, k) AS n FROM total) WHERE n = 1
 )
-SELECT s.doc_id, s.size, r.source_size, r.target,
-       (s.size * (floor(r.rate) + CASE WHEN d.u < r.rate - floor(r.rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM sizes s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source JOIN seed e ON e.source IS NOT DISTINCT FROM r.source
-JOIN draw d ON d.doc_id IS NOT DISTINCT FROM s.doc_id AND d.k = e.k
+SELECT z.doc_id, z.size, r.source_size, r.target,
+       (z.size * (floor(r.rate) + CASE WHEN w.u < r.rate - floor(r.rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM sizes z JOIN rated r ON z.s = r.s JOIN seed e ON e.s = r.s JOIN draw w ON w.d = z.d AND w.k = e.k
 """

@@ -2,6 +2,7 @@
 
 import pytest
 from oracle import SF, assert_same, by_sql, rows_of
+from pyspark.sql import functions as F
 
 from stemma.llm import catalog, decontaminate, mixing, urlrules
 
@@ -38,6 +39,10 @@ def test_mixing_targets_and_copies(spark):
     taken = {r["doc_id"]: r["copies"] for r in mixing.plan(docs).collect()}
     assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {k: v for k, v in taken.items() if v}
     assert mixing.plan(docs.limit(0)).collect() == [] and mixing.mix(docs.limit(0)).collect() == []
+    again = mixing.mix(mixed.drop("mix_copy").withColumn("mix_copy", mixed["doc_id"]).distinct())
+    assert again.columns == [*docs.columns, "mix_copy"] and again.where("mix_copy > 2").count() == 0
+    long = docs.limit(1).withColumn("text", F.repeat(F.lit("w "), 2_000_000))
+    assert [r["taken"] for r in mixing.plan(long).collect()] in ([2_000_000], [4_000_000])
 
 
 def test_decontamination_odd_rows(spark, tmp_path):
