@@ -2,10 +2,12 @@
 
 Each stage is a function of (spark, docs, sf_dir) and works on all rows its
 predecessor kept. All but the last return the columns of ``docs`` unchanged in
-name and type; the last adds ``mix_copy``, the number of the copy, from 1.
+name and type; the last adds ``mix_copy``, the number of the copy, from 1 (a
+column of that name in ``docs`` is replaced by it). Other columns pass through.
 
-1. language_id: learns rank-order profiles from the rows that have a language and
-   drops texts that are in none (no letter, or no n-gram of any profile).
+1. language_id: learns rank-order profiles from the rows that have a language,
+   writes the prediction into ``lang`` and drops texts that are in none: without a
+   letter, or too far from every profile (``language.LEAST``).
 2. near_dedup: of documents linked by a similarity of 0.8 or more on five-word
    shingles, the one of the smallest doc_id stays.
 3. decontamination: drops documents of which a twentieth or more is covered by
@@ -13,7 +15,8 @@ name and type; the last adds ``mix_copy``, the number of the copy, from 1.
 4. secret_scans: replaces secrets in the text by a mark; no document is dropped.
 5. mixing: emits each document as often as its source's target asks for.
 
-Null texts go with stage 1. Empty tables pass through all stages.
+Null texts go with stage 1, as do empty ones. Repeated rows are one after stage 2.
+Empty tables pass through all stages. Very long texts are handled whole throughout.
 """
 
 from __future__ import annotations

@@ -25,9 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .textops import slices
 
 SIZE = 400
 PER_LANGUAGE = 1500
+LEAST = 0.25
 _LETTER: list[np.ndarray] = []
 
 
@@ -76,8 +80,8 @@ def fit(docs: DataFrame, learned: Column, per_language: int = PER_LANGUAGE, size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+        for part in slices(batches):
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
                 mine = held.setdefault(lang, [])
                 mine.append(np.unique(gram_codes(text or ""), return_counts=True))
                 if len(mine) > 200:
@@ -120,10 +124,8 @@ class Judge:
 
 
 def judged(batches: Iterator[pa.RecordBatch], judge: Judge) -> Iterator[tuple[pa.RecordBatch, list]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            yield part, [judge(x) for x in part.column("text").to_pylist()]
+    for part in slices(batches):
+        yield part, [judge(x) for x in part.column("text").to_pylist()]
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = SIZE) -> DataFrame:
@@ -137,12 +139,19 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = SIZE)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, profiles: dict[str, list[int]], least: float = 0.0, size: int = SIZE) -> DataFrame:
-    """Rows of ``docs``, unchanged, whose language is not ``und`` and whose score is above ``least``."""
+def keep_identified(docs: DataFrame, profiles: dict[str, list[int]], wanted: list[str] | None = None, least: float = LEAST, size: int = SIZE) -> DataFrame:
+    """Rows of ``docs`` whose predicted language is among ``wanted`` (any learned one if None) and whose score is at least ``least``.
+
+    A row keeps its columns; where there is a text column ``lang``, it becomes the prediction.
+    """
+    place = next((i for i, f in enumerate(docs.schema) if f.name == "lang" and isinstance(f.dataType, T.StringType)), None)
 
     def run(batches):
         judge = Judge(profiles, size)
         for part, found in judged(batches, judge):
-            yield part.filter(pa.array([x[0] != "und" and x[1] > least for x in found], pa.bool_()))
+            keep = pa.array([x[0] != "und" and x[1] >= least and (wanted is None or x[0] in wanted) for x in found], pa.bool_())
+            if place is not None:
+                part = part.set_column(place, part.schema.field(place), pa.array([x[0] for x in found], part.schema.field(place).type))
+            yield part.filter(keep)
 
     return docs.mapInArrow(run, docs.schema)

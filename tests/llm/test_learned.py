@@ -128,3 +128,18 @@ def test_odd_tables(spark):
     empty = docs.limit(0)
     assert language.identify(empty, language.fit(empty, yes)).collect() == [] and toxicity.score(empty, toxicity.fit(empty, some, yes)).collect() == []
     assert quality.score(empty, quality.fit(empty, some, yes)).collect() == []
+
+
+def test_stage_drops_what_is_in_no_language(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(-1, "これは日本語の文章です" * 20, None), (-2, "", "en"), (-3, None, "en"), (-4, "12 34", "en")]
+    rows = docs.union(spark.createDataFrame(odd, docs.schema))
+    profiles = language.fit(docs, F.lit(True))
+    kept = language.keep_identified(rows, profiles)
+    assert kept.schema == rows.schema
+    lang = {r["doc_id"]: r["lang"] for r in kept.collect()}
+    assert set(lang) == {r["doc_id"] for r in docs.collect()}
+    want = {r["doc_id"]: r["lang_pred"] for r in language.identify(rows, profiles).collect()}
+    assert lang == {k: want[k] for k in lang}
+    only = language.keep_identified(rows, profiles, ["fr"])
+    assert {r["doc_id"] for r in only.collect()} == {k for k, v in lang.items() if v == "fr"}
