@@ -55,6 +55,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside op6's exact matches: windows whose words each stand at most one word from their place."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=1)
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_lm_scoring": op5_lm_scoring,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "proximity_matches": proximity_matches,
         "op7_secret_scans": op7_secret_scans,
         "op8_url_filters": op8_url_filters,
         "op9_language_id": op9_language_id,

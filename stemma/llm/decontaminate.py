@@ -4,21 +4,24 @@
 A segment holds, for its documents, the sorted terms and for each term the
 ascending list of positions (documents one after the other, a gap between), so
 every list is bounded by the segment and a frequent term burdens no single task.
-Segments are written to the shared folder. Given the terms that queries use,
-postings of other terms are left out: no query can reach them.
+Segments with the postings of all terms are written to the shared folder; an
+index for known queries only may leave out other terms (``terms``).
 
 ``search`` answers phrases on each segment: beginning with its rarest term, a
 phrase's lists are moved by the terms' offsets and intersected, so what is left
 are exact starts. With ``slop`` above 0 every term may stand up to that many
 words from its place: a proximity match.
 
-Windows of the benchmark are sent to the executors in blocks of at most
-``BLOCK_WINDOWS``; a larger benchmark takes more passes over the index.
+The benchmark's windows are a written table, dealt into blocks of about
+``BLOCK_WINDOWS`` (window, item) rows, however many there are. One block at a time
+goes out as a broadcast of bounded size and makes one pass over the index; only
+documents with hits come out of a pass and are joined.
 
 Nulls: a null or wordless text has no words and no hits, a null or wordless item
 no windows. An item without item_id still marks words but is not listed. Items
 with equal windows are each listed; repeated rows of documents are judged each.
-Other columns are not looked at.
+Other columns are not looked at. No documents give no rows, no items no hits. A
+very long text is a segment of its own. Of equally rare terms the first leads.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, identity, materialize, without
 from .textops import ALNUM, hashed_words, slices
 
 WINDOW = 13
@@ -66,7 +69,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, segment_bytes:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(k)) for x, k in zip(row, kinds)], names=[x.split()[0] for x in INDEX.split(", ")])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    rows = docs.select(*identity(docs), docs["text"].alias("text"))
     return materialize(rows.mapInArrow(run, INDEX), "postings")
 
 
@@ -80,25 +83,31 @@ class Phrases:
         self.terms = np.concatenate(phrases) if phrases else np.zeros(0, np.uint64)
 
 
-def windows_of(benchmark: DataFrame, window: int = WINDOW):
-    """The benchmark's distinct windows, in blocks of Phrases: items are read as they come, never all at once."""
-    held: dict[bytes, tuple[np.ndarray, list[str]]] = {}
+def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The distinct (item_id, phrase) rows of the benchmark, a phrase being packed term hashes, as a written table."""
 
-    def block():
-        return Phrases([p for p, _ in held.values()], [i for _, i in held.values()])
-
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").toLocalIterator():
-        hashes, _ = hashed_words(pa.array([row["text"]]), ALNUM)
-        for i in range(max(1, len(hashes) - window + 1) if len(hashes) else 0):
-            phrase = hashes[i : i + window]
-            _, items = held.setdefault(phrase.tobytes(), (phrase, []))
-            if row["item_id"] is not None and row["item_id"] not in items:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            hashes, first = hashed_words(part.column("text"), ALNUM)
+            for item, a, b in zip(part.column("item_id").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
+                found = {hashes[i : min(i + window, b)].tobytes() for i in range(a, max(a + 1, b - window + 1))} if b > a else set()
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array(sorted(found), pa.binary())], names=["item_id", "phrase"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(run, "item_id string, phrase binary")
+    return materialize(rows.distinct(), "windows")
+
+
+def blocks_of(windows: DataFrame) -> Iterator[tuple[list[bytes], list[list[str]]]]:
+    """(phrases, their items) of one block after the other; a block's size is bounded, whatever the benchmark's."""
+    n = -(-windows.count() // BLOCK_WINDOWS)
+    for i in range(n):
+        held: dict[bytes, list[str]] = {}
+        for row in windows.where(F.pmod(F.xxhash64("phrase", "item_id"), F.lit(n)) == i).collect():
+            items = held.setdefault(bytes(row["phrase"]), [])
+            if row["item_id"] is not None:
                 items.append(row["item_id"])
-        if len(held) >= BLOCK_WINDOWS:
-            yield block()
-            held.clear()
-    if held:
-        yield block()
+        yield list(held), list(held.values())
 
 
 def find_starts(seg: dict, q: Phrases, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +147,8 @@ def find_starts(seg: dict, q: Phrases, slop: int = 0) -> tuple[np.ndarray, np.nd
             for d in range(-slop, slop + 1):
                 keep |= _listed(positions, lists, term, start + offset + d)
             start, who = start[keep], who[keep]
+        if slop and len(who):  # one start may be near through several places of the rarest term
+            who, start = np.unique(np.stack([who, start]), axis=1)
         out_p.append(alive[who])
         out_s.append(start)
     return np.concatenate(out_p), np.concatenate(out_s)
@@ -164,59 +175,79 @@ def _listed(positions: np.ndarray, lists: np.ndarray, term: np.ndarray, where: n
     return (lo < end) & (positions[np.minimum(lo, len(positions) - 1)] == where)
 
 
-FOUND = "doc_id long, mark long, n_words long, hits array<int>, items array<string>"
+FOUND = "doc_id long, mark long, n_words long, hits array<int>, items array<string>, starts array<int>"
 
 
-def search(index: DataFrame, q: Phrases, slop: int = 0) -> DataFrame:
-    """For every document: n_words, the words in matches (hits, as word numbers), and the items of the phrases."""
+def search(index: DataFrame, block: tuple[list[bytes], list[list[str]]], slop: int = 0) -> DataFrame:
+    """For every document with a match: n_words, the words in matches (hits, as word numbers), the items of the phrases, and
+    for each item the number of its windows' starts."""
+    sent = index.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases, listed = sent.value
+        q = Phrases([np.frombuffer(p, np.uint64) for p in phrases], listed)
         for batch in batches:
             for i in range(batch.num_rows):
                 seg = {c: batch.column(c)[i].values for c in batch.schema.names}
                 ids, marks = seg["doc_ids"], seg["marks"]
                 seg = {c: seg[c].to_numpy(zero_copy_only=False) for c in ("sizes", "bounds", "terms", "lists", "positions")}
                 phrase, start = find_starts(seg, q, slop)
-                doc = np.searchsorted(seg["bounds"], start, "right") - 1
-                hits: list = [[] for _ in ids]
-                items: list = [[] for _ in ids]
+                doc = np.searchsorted(seg["bounds"], start + slop, "right") - 1  # a near start may lie before its text
                 order = np.argsort(doc, kind="stable")
-                edges = np.searchsorted(doc[order], np.arange(len(ids) + 1))
-                for d in np.unique(doc).tolist():
-                    own = order[edges[d] : edges[d + 1]]
+                found, first = np.unique(doc[order], return_index=True)
+                rows: list = [[], [], [], []]
+                for d, a, b in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+                    own = order[a:b]
                     size = int(seg["sizes"][d])
                     step = np.zeros(size + 1, np.int64)
-                    a = np.clip(start[own] - seg["bounds"][d], 0, size)
-                    np.add.at(step, a, 1)
-                    np.add.at(step, np.minimum(start[own] - seg["bounds"][d] + q.sizes[phrase[own]], size), -1)
-                    hits[d] = np.flatnonzero(np.cumsum(step)[:size] > 0).astype(np.int32)
-                    items[d] = sorted({x for p in np.unique(phrase[own]).tolist() for x in q.items[p]})
-                for lo in range(0, len(ids), 1024):
-                    cut = slice(lo, lo + 1024)
-                    columns = [ids.slice(lo, 1024), marks.slice(lo, 1024), pa.array(seg["sizes"][cut], pa.int64()), pa.array(hits[cut], pa.list_(pa.int32())), pa.array(items[cut], pa.list_(pa.string()))]
+                    np.add.at(step, np.clip(start[own] - seg["bounds"][d], 0, size), 1)
+                    np.add.at(step, np.clip(start[own] - seg["bounds"][d] + q.sizes[phrase[own]], 0, size), -1)
+                    times: dict[str, int] = {}
+                    for p, n in zip(*(x.tolist() for x in np.unique(phrase[own], return_counts=True))):
+                        for item in q.items[p]:
+                            times[item] = times.get(item, 0) + n
+                    names = sorted(times)
+                    for column, x in zip(rows, (size, np.flatnonzero(np.cumsum(step)[:size] > 0).astype(np.int32), names, [times[x] for x in names])):
+                        column.append(x)
+                if len(found):
+                    kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32())]
+                    columns = [ids.take(pa.array(found)), marks.take(pa.array(found)), *[pa.array(x, k) for x, k in zip(rows, kinds)]]
                     yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in FOUND.split(", ")])
 
     return index.mapInArrow(run, FOUND)
 
 
-def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """doc_id, mark, n_words, n_hit, items of every document.
+def passes(docs: DataFrame, benchmark: DataFrame, window: int, slop: int, segment_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The index, and what all blocks of windows find in it, both written."""
+    windows = windows_of(benchmark, window)
+    index = build_index(docs, None, segment_bytes, window)
+    found = [materialize(search(index, b, slop), "hits") for b in blocks_of(windows)] or [materialize(index.sparkSession.createDataFrame([], FOUND), "hits")]
+    discard(windows)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return index, every
 
-    One block of windows, the usual case, needs one pass over the index and no
-    shuffle; further blocks are joined to it by document.
-    """
-    blocks = list(windows_of(benchmark, window)) or [Phrases([], [])]
-    terms = np.unique(np.concatenate([b.terms for b in blocks]))
-    index = build_index(docs, terms, segment_bytes, window)
-    found = search(index, blocks[0], slop)
-    if len(blocks) > 1:
-        for b in blocks[1:]:
-            found = found.unionByName(search(index, b, slop))
-        found = found.groupBy("doc_id", "mark", "n_words").agg(
-            F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(blocks)).cast("int").alias("n")
-        )
-        found = found.withColumn("n", F.explode(F.sequence(F.lit(1), "n")))
-    return found.select("doc_id", "mark", "n_words", F.size("hits").cast("long").alias("n_hit"), "items")
+
+def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, segment_bytes: int = SEGMENT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, n_words of every row of ``docs``; doc_id, mark, n_words, n_hit, items of those with hits, once each)."""
+    index, found = passes(docs, benchmark, window, slop, segment_bytes)
+    # Repeated rows give equal sets of hits; a document has one set a block of windows at most.
+    hits = found.groupBy("doc_id", "mark", "n_words").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("hits")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+    )
+    sizes = index.select(F.explode(F.arrays_zip("doc_ids", "marks", "sizes")).alias("x")).select(F.col("x.doc_ids").alias("doc_id"), F.col("x.marks").alias("mark"), F.col("x.sizes").cast("long").alias("n_words"))
+    out = materialize(sizes, "sizes"), materialize(hits, "found")
+    discard(index)
+    return out
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, slop: int = 0, window: int = WINDOW, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """doc_id, item_id, starts: how many places begin a window of the item, each of its words at most ``slop`` words from its
+    place. Repeated rows count each."""
+    _, found = passes(docs, benchmark, window, slop, segment_bytes)
+    rows = found.select("doc_id", F.explode(F.arrays_zip("items", "starts")).alias("x")).select("doc_id", F.col("x.items").alias("item_id"), F.col("x.starts").alias("n"))
+    return rows.groupBy("doc_id", "item_id").agg(F.sum("n").alias("starts"))
 
 
 def contaminated(n_hit="n_hit", n_words="n_words"):
@@ -225,7 +256,10 @@ def contaminated(n_hit="n_hit", n_words="n_words"):
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest columns of the contract of op6."""
-    found = overlap(docs, benchmark)
+    sizes, hits = overlap(docs, benchmark)
+    hits = hits.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "n_hit", "items")
+    found = sizes.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left")
+    found = found.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"),
@@ -233,12 +267,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs``, unchanged, that are not contaminated. What goes is a small written table, so the anti join
-    with it is broadcast as long as its size allows, and texts are not shuffled."""
-    gone = overlap(docs, benchmark).where(contaminated()).select(F.col("doc_id").alias("__gone_id"), F.col("mark").alias("__gone_mark"))
-    gone = materialize(gone.distinct(), "contaminated")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(docs["text"]) == F.col("__gone_mark"))
-    return docs.join(gone, same, "left_anti")
+    """Rows of ``docs``, unchanged, that are not contaminated. Only rows that a bounded bitmap of those that go lets through
+    meet them in a join, so texts are not shuffled."""
+    return without(docs, overlap(docs, benchmark)[1].where(contaminated()))
 
 
 ORACLE = r"""

@@ -1,5 +1,7 @@
 """Queries that have SQL give the same rows in DuckDB, on whole tables and on odd ones."""
 
+import random
+
 import pytest
 from oracle import SF, assert_same, by_sql, rows_of
 from pyspark.sql import functions as F
@@ -67,10 +69,32 @@ def test_blocks_of_windows_and_proximity(spark, monkeypatch):
     d = spark.createDataFrame([(1, " ".join(w)), (2, "q " + " ".join(w[:6]) + " extra " + " ".join(w[6:13]) + " q"), (3, "nothing")], "doc_id long, text string")
     b = spark.createDataFrame([(7, " ".join(w)), (8, "some other words")], "item_id long, text string")
     whole = sorted(map(tuple, decontaminate.report(d, b).collect()))
-    near = {r["doc_id"]: r["items"] for r in decontaminate.overlap(d, b, slop=1).collect()}
-    assert near == {1: ["7"], 2: ["7"], 3: []} and [r[2] for r in whole] == [30, 0, 0]
+    near = {r["doc_id"]: r["items"] for r in decontaminate.overlap(d, b, slop=1)[1].collect()}
+    assert near == {1: ["7"], 2: ["7"]} and [r[2] for r in whole] == [30, 0, 0]
+    exact = sorted(map(tuple, decontaminate.matches(d, b).collect()))
+    assert exact == [(1, "7", 18)]
     monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 5)
     assert sorted(map(tuple, decontaminate.report(d, b).collect())) == whole
+    assert sorted(map(tuple, decontaminate.matches(d, b).collect())) == exact
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = ["a", "b", "c", "d", "e"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 60))) for _ in range(40)]
+    items = [" ".join(rng.choices(vocabulary, k=rng.randint(2, 6))) for _ in range(25)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for slop in (0, 1, 2):
+        want = {}
+        for i, t in enumerate(texts):
+            w = t.split()
+            for j, x in enumerate(items):
+                for q in {tuple(x.split()[k : k + 4]) for k in range(max(1, len(x.split()) - 3))}:
+                    n = sum(all(any(0 <= s + o + e < len(w) and w[s + o + e] == term for e in range(-slop, slop + 1)) for o, term in enumerate(q)) for s in range(-9, len(w) + 9))
+                    if n:
+                        want[i, str(j)] = want.get((i, str(j)), 0) + n
+        assert {(r[0], r[1]): r[2] for r in decontaminate.matches(d, b, slop, window=4, segment_bytes=200).collect()} == want
 
 
 def test_url_rules_odd_urls(spark, tmp_path):
