@@ -6,7 +6,8 @@ always below 1) free mass for unseen events; the backoff weight of a context is
 that mass over the unigram mass of the words not seen after it, so every
 distribution adds up to exactly 1 over the training vocabulary and one unknown word. A
 token's probability is evaluated recursively: seen pair, else backoff weight
-times unigram, else the unknown word's mass.
+times unigram, else the unknown word's mass. Order two: triples are nearly all
+different, and what they add to the messages and tables is more than the pairs do.
 
 The corpus is cut into chunks of about ``CHUNK_BYTES`` of text. A chunk sends its
 distinct n-grams with their counts, as sorted packed hashes, to owners, which
@@ -16,7 +17,9 @@ Owners add up the counts, keep their part of the model table (``kind=model``,
 by order and owner), and answer each chunk (``kind=reply``); the first chunk of a
 pair is told to add it to its context's sums, which are joined the same way. Not
 more than a chunk or an owner's range is ever in one task, and nothing but the
-counts of counts reaches the driver. The number of owners grows with the corpus.
+counts of counts reaches the driver. The number of owners, and of tasks that serve
+them, grows with the corpus; a chunk's messages are as many as the ranges its
+n-grams fall into, at most one an n-gram. A text longer than a chunk is a chunk.
 
 Nulls: a null or empty text is one end token. A null doc_id is not learned from.
 Repeated rows count and are scored each; an empty table gives an empty result.
@@ -130,9 +133,18 @@ class Chunk:
         self.keys, self.at, self.inv = np.unique(chained([self.hkeys[self.ctx], self.words[self.t]]), return_index=True, return_inverse=True)
 
 
-def owners(keys: np.ndarray, p: int) -> np.ndarray:
-    """Bounds of the owners' ranges in ascending keys (p + 1 of them)."""
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(p) >> np.uint64(32), np.arange(p + 1, dtype=np.uint64))
+def owned(keys: np.ndarray, p: int) -> Iterator[tuple[int, int, int]]:
+    """(owner, start, end) of the owners' ranges that ascending keys fall into: as many as there are, whatever p."""
+    if len(keys):
+        own = (keys >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)
+        cut = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(keys)]])
+        yield from zip(own[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist())
+
+
+def spread(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """``df`` dealt by the columns into at least as many tasks as there are groups, up to a hundred thousand: a task's input
+    then doesn't grow with the corpus."""
+    return df.repartition(min(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 100_000), *by)
 
 
 def ask_counts(corpus: DataFrame, p: int) -> DataFrame:
@@ -146,14 +158,13 @@ def ask_counts(corpus: DataFrame, p: int) -> DataFrame:
                 ones = np.bincount(c.t[c.train], minlength=len(c.words)).astype(np.uint64)
                 twos = np.bincount(c.inv[c.train], minlength=len(c.keys)).astype(np.uint64)
                 for order, keys, counts in ((1, c.words, ones), (2, c.keys, twos)):
-                    cut = owners(keys, p)
-                    rows = [(order, o, row["chunk"], int(b - a), pack(keys[a:b], True), pack(counts[a:b])) for o, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+                    rows = [(order, o, row["chunk"], b - a, pack(keys[a:b], True), pack(counts[a:b])) for o, a, b in owned(keys, p)]
                     yield from table_of(kinds, rows).to_batches()
 
     return corpus.mapInArrow(run, ASK)
 
 
-def add_up(asked: DataFrame) -> DataFrame:
+def add_up(asked: DataFrame, p: int) -> DataFrame:
     """The model's tables and the replies; a reply holds twice the count, plus 1 where the chunk is a pair's first."""
     kinds = arrow_kinds(MODEL)
 
@@ -177,7 +188,7 @@ def add_up(asked: DataFrame) -> DataFrame:
         out.append(("model", order, owner, None, int(seen.sum()), pack(own[seen], True), pack(total[seen]), stats))
         return table_of(kinds, out)
 
-    return asked.groupBy("order", "owner").applyInArrow(run, MODEL)
+    return spread(asked, p, "order", "owner").groupBy("order", "owner").applyInArrow(run, MODEL)
 
 
 def discounts(times: list[int]) -> tuple[list[float], float]:
@@ -214,7 +225,7 @@ class Model:
         return np.where(counts > 0, self.kept(counts, 1) / max(self.n, 1), self.unknown)
 
 
-def look_up(corpus: DataFrame, replies: DataFrame, m: Model, p: int) -> DataFrame:
+def look_up(corpus: DataFrame, replies: DataFrame, m: Model, p: int, chunks_: int) -> DataFrame:
     """Of each chunk: its documents with what is known without backoff weights (``pending``), and for contexts the sums over
     the pairs that this chunk leads, with the context's count where its weight is asked for."""
     schema = f"kind string, {SUMS}, {PENDING}"
@@ -246,13 +257,11 @@ def look_up(corpus: DataFrame, replies: DataFrame, m: Model, p: int) -> DataFram
         used = np.flatnonzero(need | (s2 > 0))
         used = used[np.argsort(c.hkeys[used], kind="stable")]
         keys = c.hkeys[used]
-        cut = owners(keys, p)
         none = [None] * 9
         rows = []
-        for o, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-            if b > a:
-                at = used[a:b]
-                rows.append(("sums", o, row["chunk"], int(b - a), pack(keys[a:b], True), pack(np.concatenate([s1[at], s2[at]])), pack(np.where(need[at], before[at], np.uint64(0))), *none))
+        for o, a, b in owned(keys, p):
+            at = used[a:b]
+            rows.append(("sums", o, row["chunk"], b - a, pack(keys[a:b], True), pack(np.concatenate([s1[at], s2[at]])), pack(np.where(need[at], before[at], np.uint64(0))), *none))
         # Each unseen token: its document, and its context's place among those asked for, in order of key.
         asked = used[need[used]]
         place = np.zeros(len(c.hkeys), np.int64)
@@ -261,10 +270,10 @@ def look_up(corpus: DataFrame, replies: DataFrame, m: Model, p: int) -> DataFram
         rows.append(("pending", None, row["chunk"], len(asked), None, None, None, row["doc_ids"], row["held"], c.sizes, known, base, part, None, pack(who), len(lone)))
         return table_of(kinds, rows)
 
-    return corpus.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
+    return spread(corpus, chunks_, "chunk").groupBy("chunk").cogroup(spread(replies, chunks_, "chunk").groupBy("chunk")).applyInArrow(run, schema)
 
 
-def weigh(sums: DataFrame) -> DataFrame:
+def weigh(sums: DataFrame, p: int) -> DataFrame:
     """Backoff weights: for each chunk and owner the logarithms it asked for, in order of key."""
     kinds = arrow_kinds("chunk long, owner int, logs array<double>")
 
@@ -286,7 +295,7 @@ def weigh(sums: DataFrame) -> DataFrame:
                 out.append((r["chunk"], key[0].as_py(), np.log10(left[at])))
         return table_of(kinds, out)
 
-    return sums.groupBy("owner").applyInArrow(run, "chunk long, owner int, logs array<double>")
+    return spread(sums, p, "owner").groupBy("owner").applyInArrow(run, "chunk long, owner int, logs array<double>")
 
 
 def finish(pending: DataFrame, weights: DataFrame) -> DataFrame:
@@ -322,18 +331,18 @@ def score(docs: DataFrame, held: Column, chunk_bytes: int = CHUNK_BYTES) -> tupl
     """Learns from the rows where ``held`` is false and scores all: (scores, tables of the model, figures)."""
     spark = docs.sparkSession
     corpus = materialize(chunks(docs, held, chunk_bytes), "corpus")
-    totals = corpus.agg(F.sum("n_train").alias("n"), F.sum("train_docs").alias("d"), F.sum("n_tokens").alias("all")).first()
+    totals = corpus.agg(F.sum("n_train").alias("n"), F.sum("train_docs").alias("d"), F.sum("n_tokens").alias("all"), F.count("*").alias("chunks")).first()
     p = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(totals["all"] or 0) // OWNER_TOKENS))
-    counted = materialize(add_up(ask_counts(corpus, p)), "ngrams", ["kind", "order"])
+    counted = materialize(add_up(ask_counts(corpus, p), p), "ngrams", ["kind", "order"])
     m = model_of(counted, totals)
     if m.unknown is None:
         m.unknown = unknown_mass(counted, m)
     replies = counted.where("kind = 'reply'").select("chunk", "order", "owner", "n", "counts")
-    looked = materialize(look_up(corpus, replies, m, p), "contexts")
+    looked = materialize(look_up(corpus, replies, m, p, totals["chunks"]), "contexts")
     discard(corpus)
     sums = looked.where("kind = 'sums'").select(*[x.split()[0] for x in SUMS.split(", ")])
     pending = looked.where("kind = 'pending'").select("chunk", *[x.split()[0] for x in PENDING.split(", ")])
-    return finish(pending, weigh(sums)), counted.where("kind = 'model'"), m
+    return finish(pending, weigh(sums, p)), counted.where("kind = 'model'"), m
 
 
 def unknown_mass(counted: DataFrame, m: Model) -> float:
