@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, katz, language, media, mixing, neardup, quality, secrets, toxicity, urlrules
-from .shared import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +31,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_back(materialize(media.store(table(spark, sf_dir, "documents")), "media"))
+    return media.report(table(spark, sf_dir, "documents"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

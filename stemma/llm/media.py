@@ -1,9 +1,10 @@
 """Telephony audio in media columns: G.711 and IMA ADPCM in WAV containers.
 
 ``store`` puts bytes into a media column as 8-bit mu-law or A-law samples, or as
-ADPCM blocks of 64 bytes; ``read_back`` parses the containers again and computes
-features; ``to_pcm`` expands any of the three to 16-bit PCM, doubles the rate
-with a four-point half-band filter and stores the result as PCM WAV.
+ADPCM blocks of 64 bytes; ``read_back`` parses the containers again, computes
+digests and features, expands any of the three to 16-bit PCM and brings it to
+another rate, as PCM WAV. The rate is doubled by a four-point half-band filter; any
+other is reached by linear interpolation, after smoothing if it is lower.
 
 mu-law and A-law are expanded by lookup in tables of 256 samples. ADPCM decodes
 all blocks of a slice side by side: 120 steps in time, each a few numpy
@@ -27,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import discard, materialize
 from .textops import buffers, slices
 
 UNIT = 64
 RATE = 8000
+PCM_RATE = 4000
 
 #: Fixed values of the WAV registry: format tags.
 TAGS = {"pcm": 1, "alaw": 6, "mulaw": 7, "adpcm": 17}
@@ -113,6 +116,27 @@ def doubled(pcm: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
+def resampled(pcm: np.ndarray, starts: np.ndarray, ends: np.ndarray, rate: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """The clips at the rate ``to``, one after the other, and where each starts (one more at the end); samples are rounded down."""
+    if to == 2 * rate:
+        return doubled(pcm, starts, ends), np.append(2 * starts, 2 * len(pcm))
+    x = pcm.astype(np.int64)
+    n = ends - starts
+    place = np.arange(len(x)) - np.repeat(starts, n)
+    last = np.repeat(n, n) - 1
+    for _ in range(max(0, (rate // to).bit_length() - 1)):  # 1 2 1 for each halving; clips repeat their edge samples
+        left = np.where(place > 0, np.roll(x, 1), x)
+        right = np.where(place < last, np.roll(x, -1), x)
+        x = (left + 2 * x + right) >> 2
+    sizes = -(-n * to // rate)
+    first = np.append(0, np.cumsum(sizes))
+    at = (np.arange(int(first[-1])) - np.repeat(first[:-1], sizes)) * rate
+    own, top = np.repeat(starts, sizes), np.repeat(ends - 1, sizes)
+    low = own + at // to
+    high = np.minimum(low + 1, top)
+    return (x[low] + (x[high] - x[low]) * (at % to) // to).astype(np.int16), first
+
+
 def container(data: bytes, codec: str, rate: int = RATE) -> bytes:
     """A WAV file of one channel."""
     tag = TAGS[codec]
@@ -178,15 +202,15 @@ def _stats(pcm: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [np.add.reduceat(x * x, starts) // sizes, np.maximum.reduceat(np.abs(x), starts), np.add.reduceat(turns, starts)]
 
 
-READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
+READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
 
 
-def read_back(stored: DataFrame) -> DataFrame:
-    """Digests and features of what is stored.
+def read_back(stored: DataFrame, rate: int = PCM_RATE) -> DataFrame:
+    """Digests and features of what is stored, and each clip as 16-bit PCM WAV at another rate.
 
-    The feature gives for the bytes taken as mu-law, as A-law and as ADPCM:
-    mean square, peak and zero crossings of the expanded samples. pcm_bytes and
-    pcm_sha256 are of the container of the clip's own codec at twice the rate.
+    The feature gives for the bytes taken as mu-law, as A-law and as ADPCM: mean
+    square, peak and zero crossings of the expanded samples. pcm is of the clip's
+    own codec.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,35 +219,28 @@ def read_back(stored: DataFrame) -> DataFrame:
             own = {k: expand(data, k) for k in ("mulaw", "alaw", "adpcm")}
             at = {"mulaw": starts, "alaw": starts, "adpcm": starts // UNIT * 121}
             stats = {k: _stats(own[k], at[k]) for k in own}
-            wide = {k: doubled(own[k], at[k], np.append(at[k][1:], len(own[k]))) for k in set(codecs)}
+            wide = {k: resampled(own[k], at[k], np.append(at[k][1:], len(own[k])), RATE, rate) for k in set(codecs)}
             media, raw = part.column("media").to_pylist(), data.tobytes()
             rows = []
             for i, (codec, a, b) in enumerate(zip(codecs, starts.tolist(), ends.tolist())):
-                payload, low = raw[a:b], at[codec]
-                high = int(low[i + 1]) if i + 1 < len(low) else len(own[codec])
-                pcm = container(wide[codec][2 * int(low[i]) : 2 * high].tobytes(), "pcm", 2 * RATE)
+                payload, (samples, first) = raw[a:b], wide[codec]
+                pcm = container(samples[first[i] : first[i + 1]].tobytes(), "pcm", rate)
                 feature = ";".join(f"{k}={','.join(str(int(s[i])) for s in stats[k])}" for k in stats)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media[i]), hashlib.sha256(media[i]).hexdigest(), feature, len(pcm), hashlib.sha256(pcm).hexdigest()))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media[i]), hashlib.sha256(media[i]).hexdigest(), feature, pcm))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns], names=[x.split()[0] for x in READ.split(", ")])
 
     return _sliceable(stored, run, READ)
 
 
-def to_pcm(stored: DataFrame) -> DataFrame:
-    """doc_id, pcm: each clip of any codec as 16-bit PCM WAV at twice the rate."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "media_text"):
-            out = []
-            for media in part.column("media").to_pylist():
-                codec, rate, data = parsed(media)
-                pcm = expand(np.frombuffer(data, np.uint8), codec)
-                out.append(container(doubled(pcm, np.array([0]), np.array([len(pcm)])).tobytes(), "pcm", 2 * rate))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "pcm"])
-
-    return _sliceable(stored, run, "doc_id long, pcm binary")
+def report(docs: DataFrame, rate: int = PCM_RATE) -> DataFrame:
+    """The digest columns of the contract of op2, with the length and hash of the PCM. The media column is written and
+    read back, and so is the column of resampled PCM."""
+    stored = materialize(store(docs), "media")
+    found = materialize(read_back(stored, rate), "pcm")
+    discard(stored)
+    return found.select(*found.columns[:-1], F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))
 
 
 def _sliceable(stored: DataFrame, run, schema: str) -> DataFrame:

@@ -41,7 +41,7 @@ def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFr
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.partitionBy(*by or []).parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

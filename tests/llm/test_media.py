@@ -80,6 +80,31 @@ def test_all_codecs_round_trip(spark):
     for codec in ("mulaw", "alaw", "adpcm"):
         stored = media.store(docs, codec)
         assert {r["doc_id"]: media.parsed(bytes(r["media"])) for r in stored.collect()} == {i: (codec, 8000, payload(t)) for i, t in ((1, "hello " * 50), (2, "é"))}
-        pcm = {r["doc_id"]: r["pcm"] for r in media.to_pcm(stored).collect()}
-        assert {r["doc_id"]: r["pcm_sha256"] for r in media.read_back(stored).collect()} == {i: hashlib.sha256(p).hexdigest() for i, p in pcm.items()}
-        assert media.parsed(bytes(pcm[1]))[:2] == ("pcm", 16000)
+        for to in (4000, 6000, 11025, 16000):
+            for r in media.read_back(stored, to).collect():
+                raw = payload("hello " * 50 if r["doc_id"] == 1 else "é")
+                kind, rate, data = media.parsed(bytes(r["pcm"]))
+                assert (kind, rate) == ("pcm", to)
+                assert np.frombuffer(data, "<i2").tolist() == plain_resampled(media.expand(np.frombuffer(raw, np.uint8), codec).tolist(), to)
+
+
+def plain_resampled(x, to, rate=8000):
+    if to == 2 * rate:
+        return media.doubled(np.array(x, np.int16), np.array([0]), np.array([len(x)])).tolist()
+    if to <= rate // 2:
+        x = [(x[max(i - 1, 0)] + 2 * x[i] + x[min(i + 1, len(x) - 1)]) >> 2 for i in range(len(x))]
+    out = []
+    for i in range(-(-len(x) * to // rate)):
+        low, part = divmod(i * rate, to)
+        out.append(x[low] + (x[min(low + 1, len(x) - 1)] - x[low]) * part // to)
+    return out
+
+
+def test_resampled_stays_in_its_clip():
+    rng = np.random.default_rng(2)
+    sizes = np.array([1, 64, 7, 121, 2])
+    ends = np.cumsum(sizes)
+    pcm = rng.integers(-32768, 32768, ends[-1]).astype(np.int16)
+    for to in (4000, 5000, 8000, 12000):
+        got, first = media.resampled(pcm, ends - sizes, ends, 8000, to)
+        assert [got[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [plain_resampled(pcm[b - n : b].tolist(), to) for n, b in zip(sizes, ends)]
