@@ -8,6 +8,8 @@ Breadth-first discovery order equals the order of (depth, array of edge seqs).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,28 +17,40 @@ from ..session import checkpointed
 from .temporal import as_of, last_by, parent_of
 
 
-def descend(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+MERGE_AT = 6
+
+
+def _merged(parts: list[DataFrame]) -> list[DataFrame]:
+    """Written tables as one, once there are several: plans stay short however deep a graph is, and a row is rewritten rarely."""
+    if len(parts) < MERGE_AT:
+        return parts
+    return [checkpointed(reduce(DataFrame.union, parts))]
+
+
+def descend(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, stored: bool = False) -> DataFrame:
     """root, node, depth, path, order of all nodes reached over edges (src, dst, seq) from each root, the root itself left out.
 
-    Every node comes once, by its first-found path; nodes at ``max_depth`` are returned, not expanded.
+    Every node comes once, by its first-found path; nodes at ``max_depth`` are returned, not expanded. Edges that are
+    ``stored`` (a written table of these columns) aren't written again; nor are others for a depth of one or two.
     """
-    edges = checkpointed(edges.select("src", "dst", "seq"))
+    if not stored and (max_depth is None or max_depth > 2):
+        edges = checkpointed(edges.select("src", "dst", "seq"))
     start = roots.select("root").distinct()
     frontier = start.select("root", F.col("root").alias("node"), F.array("root").alias("path"), F.array().cast("array<bigint>").alias("order"))
-    visited, found, depth = start.select("root", F.col("root").alias("node")), None, 0
+    found, depth = [], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node"), F.concat("order", F.array("seq")).alias("order"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("root", "node").agg(F.min(F.struct("order", "path")).alias("x")).join(visited, ["root", "node"], "left_anti")
-        frontier = checkpointed(step.select("root", "node", "x.path", "x.order"))
+        step = step.groupBy("root", "node").agg(F.min(F.struct("order", "path")).alias("x")).where("root <> node")
+        if found:
+            step = step.join(reduce(DataFrame.union, found).select("root", "node"), ["root", "node"], "left_anti")
+        frontier = checkpointed(step.select("root", "node", F.lit(depth).alias("depth"), "x.path", "x.order"))
         if not frontier.limit(1).count():
             break
-        visited = visited.union(frontier.select("root", "node"))
-        level = frontier.withColumn("depth", F.lit(depth))
-        found = level if found is None else found.union(level)
-    if found is None:
-        found = frontier.limit(0).withColumn("depth", F.lit(0))
-    return found.select("root", "node", "depth", "path", "order")
+        found = _merged([*found, frontier])
+    if not found:
+        return frontier.limit(0).withColumn("depth", F.lit(0)).select("root", "node", "depth", "path", "order")
+    return reduce(DataFrame.union, found)
 
 
 def ascend(up: DataFrame, starts: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
@@ -44,7 +58,7 @@ def ascend(up: DataFrame, starts: DataFrame | None = None, max_depth: int | None
     up = checkpointed(up.select("node", "parent"))
     first = up if starts is None else up.join(starts.select("node").distinct(), "node", "left_semi")
     level = first.where("node <> parent").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"), F.array("node", "parent").alias("path"))
-    found, depth = level, 1
+    found, depth = [level], 1
     while max_depth is None or depth < max_depth:
         depth += 1
         hop = up.select(F.col("node").alias("ancestor"), F.col("parent").alias("next"))
@@ -52,8 +66,29 @@ def ascend(up: DataFrame, starts: DataFrame | None = None, max_depth: int | None
         level = checkpointed(level.select("node", F.col("next").alias("ancestor"), F.lit(depth).alias("distance"), F.concat("path", F.array("next")).alias("path")))
         if not level.limit(1).count():
             break
-        found = found.union(level)
-    return found if max_depth is None or max_depth > 0 else found.limit(0)
+        found = _merged([*found, level])
+    out = reduce(DataFrame.union, found)
+    return out if max_depth is None or max_depth > 0 else out.limit(0)
+
+
+def depths(up: DataFrame) -> DataFrame:
+    """node, depth: the number of steps from each node of up (node, parent) to the last one that isn't repeated.
+
+    Pointer doubling: a round doubles the steps known of every node, so rounds grow with the logarithm of the depth. Nodes that
+    lead into a cycle never end; only they are walked step by step.
+    """
+    up = checkpointed(up.select("node", "parent"))
+    known = up.where("node <> parent").select("node", F.col("parent").alias("far"), F.lit(1).alias("depth"), F.lit(True).alias("open"))
+    limit = max(2, up.count()).bit_length() + 1
+    for _ in range(limit):
+        onward = known.select(F.col("node").alias("far"), F.col("far").alias("__far"), F.col("depth").alias("__more"), F.col("open").alias("__open"))
+        step = known.where("open").join(onward, "far", "left")
+        step = step.select("node", F.coalesce("__far", "far").alias("far"), (F.col("depth") + F.coalesce("__more", F.lit(0))).alias("depth"), F.coalesce("__open", F.lit(False)).alias("open"))
+        known = checkpointed(step.union(known.where("not open").select("node", "far", "depth", "open")))
+        if not known.where("open").limit(1).count():
+            return known.select("node", "depth")
+    rest = ascend(up, known.where("open")).groupBy("node").agg(F.max("distance").alias("depth"))
+    return known.where("not open").select("node", "depth").union(rest)
 
 
 def _down(edges: DataFrame, at: str) -> DataFrame:
@@ -119,6 +154,12 @@ def clusters(relations: DataFrame, at: str, relation_type: str | None = None, le
     return out.select("component", "size", "cohesion", "members")
 
 
+def cluster_inferences(found: DataFrame) -> DataFrame:
+    """inference_type, component, entity_ids, score, description of each cluster."""
+    text = F.format_string("Cluster of %d entities with %.2f cohesion", "size", "cohesion")
+    return found.select(F.lit("cluster").alias("inference_type"), "component", F.col("members").alias("entity_ids"), F.col("cohesion").alias("score"), text.alias("description"))
+
+
 def predecessors(lineage: DataFrame) -> DataFrame:
     return lineage.where(F.col("lineage_type").isin("derived_from", "split_from")).select("entity_id", F.col("related_id").alias("predecessor"), "lineage_type", "seq")
 

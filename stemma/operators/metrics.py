@@ -63,7 +63,7 @@ def rollup_tree(edges: DataFrame, obs: DataFrame, metric_id: str, root: str, at:
     """
     spark = edges.sparkSession
     down = checkpointed(as_of(edges, at).select(F.col("parent_id").alias("src"), F.col("child_id").alias("dst"), "seq"))
-    reached = descend(down, spark.createDataFrame([(root,)], "root string")).select(F.col("node").alias("src"))
+    reached = descend(down, spark.createDataFrame([(root,)], "root string"), stored=True).select(F.col("node").alias("src"))
     inner = checkpointed(down.join(reached.union(spark.createDataFrame([(root,)], "src string")), "src", "left_semi"))
     leaves = inner.select(F.col("dst").alias("node")).subtract(inner.select("src"))
     own = latest(obs.where(F.col("metric_id") == metric_id)).select(F.col("entity_id").alias("node"), "value")

@@ -12,13 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import numbered
 from .temporal import at_literal, is_active
 
 
+def after(log: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with seq: numbers past the last of ``log``, in the given order."""
+    top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__top"))
+    return numbered(rows, order).crossJoin(F.broadcast(top)).withColumn("seq", F.col("seq") + F.col("__top")).drop("__top")
+
+
 def create(entities: DataFrame, new: DataFrame) -> DataFrame:
-    """Appends rows (uid, entity_type) as active, after the last seq in order of uid."""
-    top = entities.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__top"))
-    rows = new.crossJoin(F.broadcast(top)).select((F.col("__top") + 1).alias("seq"), "uid", "entity_type", F.lit("active").alias("lifecycle_status"))
+    """Appends rows (uid, entity_type) as active, after the last seq: in order of their own seq if they have one, else of uid."""
+    order = ["seq", "uid"] if "seq" in new.columns else ["uid"]
+    ordered = new.select("uid", "entity_type", *[F.col(c).alias(f"__{c}") for c in order])
+    rows = after(entities, ordered, [f"__{c}" for c in order]).select("seq", "uid", "entity_type", F.lit("active").alias("lifecycle_status"))
     return entities.unionByName(rows, allowMissingColumns=True)
 
 
@@ -54,10 +62,12 @@ def retire_name(names: DataFrame, retired: DataFrame, at: str) -> DataFrame:
     return names.join(hit, ["entity_id", "display_name"], "left").withColumn("valid_to", F.when(F.col("__hit") & is_active(at), at_literal(at)).otherwise(F.col("valid_to"))).drop("__hit")
 
 
-def _append(log: DataFrame, rows: DataFrame, at: str) -> DataFrame:
-    """New rows get one seq after the last: they are of different keys, so order among them says nothing."""
-    top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__top"))
-    new = rows.crossJoin(F.broadcast(top)).withColumn("seq", F.col("__top") + 1).withColumn("valid_from", at_literal(at)).withColumn("valid_to", F.lit(None).cast("timestamp_ntz")).drop("__top")
+def _append(log: DataFrame, rows: DataFrame, at: str, order: list[str] | None = None) -> DataFrame:
+    """New rows follow the last seq, in order of the columns ``order`` (which go), of their own seq, or of all their columns."""
+    if order is None and "seq" in rows.columns:
+        rows, order = rows.withColumnRenamed("seq", "__turn"), ["__turn"]
+    new = after(log, rows, order or rows.columns).drop(*order or [])
+    new = new.withColumn("valid_from", at_literal(at)).withColumn("valid_to", F.lit(None).cast("timestamp_ntz"))
     return log.unionByName(new, allowMissingColumns=True)
 
 
@@ -88,40 +98,50 @@ def relocate(edges: DataFrame, moves: DataFrame, at: str, form: str = "store") -
 def merge(entities: DataFrame, edges: DataFrame, groups: DataFrame, at: str, form: str = "store") -> dict[str, DataFrame]:
     """groups: seq, source_uid, successor. Returns entities, edges, opened (new edges), lineage and result (counts by successor).
 
-    Children of every source move to the successor. A successor takes its first source's type.
+    Children of every source move to the successor. A successor takes its first source's type. New edges follow the order of
+    the sources: of each its children's, then its parents', as their edges were appended.
     """
     known = groups.join(entities.select(F.col("uid").alias("source_uid"), "entity_type"), "source_uid")
     active = edges.where(is_active(at))
-    kids = active.join(known.select(F.col("source_uid").alias("parent_id"), "successor"), "parent_id").select(F.col("successor").alias("parent_id"), "child_id")
-    heirs = known if form == "store" else known.groupBy("successor").agg(F.min_by("source_uid", "seq").alias("source_uid"))
-    ups = active.join(heirs.select(F.col("source_uid").alias("child_id"), "successor"), "child_id").select("parent_id", F.col("successor").alias("child_id"))
-    opened = kids.unionByName(ups)
+    place = lambda kind: [F.col("__turn"), F.lit(kind).alias("__kind"), F.col("seq").alias("__edge")]
+    turn = known.select("source_uid", "successor", F.col("seq").alias("__turn"))
+    kids = active.join(turn.withColumnRenamed("source_uid", "parent_id"), "parent_id").select(F.col("successor").alias("parent_id"), "child_id", *place(0))
+    heirs = turn if form == "store" else turn.groupBy("successor").agg(F.min_by("source_uid", "__turn").alias("source_uid"), F.min("__turn").alias("__turn"))
+    ups = active.join(heirs.withColumnRenamed("source_uid", "child_id"), "child_id").select("parent_id", F.col("successor").alias("child_id"), *place(1))
+    moved = kids.withColumn("successor", F.col("parent_id")).unionByName(ups.withColumn("successor", F.col("child_id")))
+    opened = moved.drop("successor")
     closed = _close(edges, known.select(F.col("source_uid").alias("parent_id")), "parent_id", at)
     closed = _close(closed, heirs.select(F.col("source_uid").alias("child_id")), "child_id", at)
-    new = known.groupBy(F.col("successor").alias("uid")).agg(F.min_by("entity_type", "seq").alias("entity_type"))
-    after = set_status(create(entities, new), known.select(F.col("source_uid").alias("uid")), "deprecated" if form == "store" else "merged")
+    new = known.groupBy(F.col("successor").alias("uid")).agg(F.min_by("entity_type", "seq").alias("entity_type"), F.min("seq").alias("seq"))
+    changed = set_status(create(entities, new), known.select(F.col("source_uid").alias("uid")), "deprecated" if form == "store" else "merged")
     line = known.select(F.col("source_uid").alias("entity_id"), F.col("successor").alias("related_id"), F.lit("merged_into").alias("lineage_type"))
     if form == "ctx":
         line = line.unionByName(known.select(F.col("successor").alias("entity_id"), F.col("source_uid").alias("related_id"), F.lit("derived_from").alias("lineage_type")))
-    result = known.groupBy("successor").agg(F.count("*").alias("sources"))
-    return {"entities": after, "edges": _append(closed, opened, at), "opened": opened, "lineage": line, "result": result}
+    records = 2 if form == "ctx" else 1
+    result = known.groupBy("successor").agg(F.count("*").alias("sources")).join(moved.groupBy("successor").agg(F.count("*").alias("edges")), "successor", "left")
+    result = result.select("successor", "sources", (F.col("sources") * records).alias("lineage_records"), F.coalesce("edges", F.lit(0)).alias("edges_closed"), F.coalesce("edges", F.lit(0)).alias("edges_created"))
+    order = ["__turn", "__kind", "__edge"]
+    return {"entities": changed, "edges": _append(closed, opened, at, order), "opened": opened.drop(*order), "lineage": line, "result": result}
 
 
 def split(entities: DataFrame, edges: DataFrame, specs: DataFrame, at: str, form: str = "store", retire: bool = True) -> dict[str, DataFrame]:
     """specs: source_uid, descendant. Descendants take the source's type and, in the store form, its parents; an empty name is left out."""
     known = specs.where("descendant <> ''").join(entities.select(F.col("uid").alias("source_uid"), "entity_type"), "source_uid")
     active = edges.where(is_active(at))
-    opened = active.join(known.select(F.col("source_uid").alias("child_id"), "descendant"), "child_id").select("parent_id", F.col("descendant").alias("child_id"))
+    opened = active.join(known.select(F.col("source_uid").alias("child_id"), "descendant"), "child_id").select("parent_id", F.col("descendant").alias("child_id"), F.col("child_id").alias("__source"), F.col("seq").alias("__edge"))
     opened = opened if form == "store" else opened.limit(0)
-    after = create(entities, known.select(F.col("descendant").alias("uid"), "entity_type"))
+    changed = create(entities, known.select(F.col("descendant").alias("uid"), "entity_type"))
     sources = known.select(F.col("source_uid").alias("uid"))
     if form == "ctx":
-        after = set_status(after, sources, "split")
+        changed = set_status(changed, sources, "split")
     elif retire:
-        after = set_status(after, sources, "deprecated")
+        changed = set_status(changed, sources, "deprecated")
         edges = _close(edges, sources.select(F.col("uid").alias("child_id")), "child_id", at)
     line = known.select(F.col("descendant").alias("entity_id"), F.col("source_uid").alias("related_id"), F.lit("split_from").alias("lineage_type"))
-    return {"entities": after, "edges": _append(edges, opened, at), "opened": opened, "lineage": line}
+    result = known.groupBy("source_uid").agg(F.count("*").alias("descendants")).join(opened.groupBy(F.col("__source").alias("source_uid")).agg(F.count("*").alias("edges")), "source_uid", "left")
+    result = result.select("source_uid", "descendants", F.coalesce("edges", F.lit(0)).alias("edges_created"))
+    new = opened.withColumn("__child", F.col("child_id"))
+    return {"entities": changed, "edges": _append(edges, new, at, ["__source", "__child", "__edge"]), "opened": opened.drop("__source", "__edge"), "lineage": line, "result": result}
 
 
 def deprecate(entities: DataFrame, uids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
 from .temporal import current_name
 
 
+def slug_of(names: DataFrame) -> Column:
+    """The slug that a name's row holds; derived from the display name where it holds none."""
+    made = slugify(F.col("display_name"))
+    return F.coalesce("slug", made) if "slug" in names.columns else made
+
+
 def name_keys(names: DataFrame) -> DataFrame:
-    """entity_id, slug, lowered display name, seq (first use of each)."""
-    rows = names.select("entity_id", slugify(F.col("display_name")).alias("slug"), F.lower("display_name").alias("lowered"), "seq")
+    """entity_id, slug (the stored one, else the display name's), lowered display name, seq (first use of each)."""
+    rows = names.select("entity_id", slug_of(names).alias("slug"), F.lower("display_name").alias("lowered"), "seq")
     return rows.groupBy("entity_id", "slug", "lowered").agg(F.min("seq").alias("seq"))
 
 
@@ -20,9 +26,20 @@ def by_key(names: DataFrame, key: str) -> DataFrame:
     return name_keys(names).groupBy(F.col(key).alias("key"), "entity_id").agg(F.min("seq").alias("seq"))
 
 
+def ids_in_order(names: DataFrame, key: str) -> DataFrame:
+    """key, entity_id, place: as ``by_key``, numbered from 1 for each key."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("seq", "entity_id"))
+    return by_key(names, key).select("key", "entity_id", place.cast("bigint").alias("place"))
+
+
 def candidates(wanted: DataFrame, entities: DataFrame, names: DataFrame, at: str) -> DataFrame:
     """identifier, uid, matched_by, rank, seq: all ways in which identifiers (column identifier) lead to entities."""
     ids = wanted.select("identifier").distinct()
+    # Names that no identifier asks for go before anything is aggregated.
+    asked = ids.select(F.col("identifier").alias("__key")).union(ids.select(F.lower("identifier"))).distinct()
+    keyed = names.withColumn("__keys", F.array(slug_of(names), F.lower("display_name")))
+    hit = keyed.withColumn("__key", F.explode("__keys")).join(asked, "__key", "left_semi").select("entity_id").distinct()
+    names = names.join(hit, "entity_id", "left_semi")
     own = entities.select("uid", "entity_type")
     uid = ids.join(own, ids["identifier"] == own["uid"]).select("identifier", "uid", "entity_type", F.lit("uid").alias("matched_by"), F.lit(1).alias("rank"), F.lit(0).cast("bigint").alias("seq"))
     display = ids.join(by_key(names, "lowered"), F.lower("identifier") == F.col("key")).select("identifier", F.col("entity_id").alias("uid"), "seq").join(own, "uid")
@@ -42,7 +59,7 @@ def resolve(wanted: DataFrame, entities: DataFrame, names: DataFrame, at: str, e
         rows = rows.where((F.col("rank") == 1) | (F.col("entity_type") == entity_type))
     best = rows.groupBy("identifier").agg(F.min(F.struct("rank", "seq", "uid", "matched_by", "entity_type")).alias("x")).select("identifier", "x.uid", "x.matched_by", "x.entity_type")
     best = best.where(F.col("entity_type") == entity_type) if entity_type else best
-    shown = current_name(names, at).select(F.col("entity_id").alias("uid"), "display_name")
+    shown = current_name(names.join(best.select(F.col("uid").alias("entity_id")).distinct(), "entity_id", "left_semi"), at).select(F.col("entity_id").alias("uid"), "display_name")
     return best.join(shown, "uid", "left").select("identifier", "uid", "matched_by", "display_name")
 
 

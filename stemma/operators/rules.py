@@ -11,6 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import ulid
+from ..session import checkpointed
+
 #: Change types of signals, scopes from broad to narrow, and the allowed steps of a revision.
 SIGNAL_CHANGES = {
     "file_modified": "state", "file_created": "state", "file_deleted": "state", "git_commit": "state",
@@ -84,31 +87,93 @@ def scope_rank(scope: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SCOPES]), scope)
 
 
+def scope_chain(scope: Column) -> Column:
+    """The scopes from ``scope`` to the broadest; an unknown one has none."""
+    return F.reverse(F.slice(F.array(*[F.lit(s) for s in SCOPES]), F.lit(1), F.coalesce(scope_rank(scope), F.lit(0)).cast("int")))
+
+
+def broken(value: Column, constraint: Column) -> Column:
+    """The first part of a constraint (a struct of allowed_values, min_value, max_value, pattern, required) that a text value
+    breaks, or null; null breaks ``required`` only, text that isn't a number no bound, and a missing constraint nothing."""
+    number = value.try_cast("double")
+    parts = [
+        (value.isNull() & constraint["required"], "required"), (~F.array_contains(constraint["allowed_values"], value), "allowed_values"),
+        (number < constraint["min_value"], "min_value"), (number > constraint["max_value"], "max_value"),
+        (~F.rlike(value, F.concat(F.lit("^(?:"), constraint["pattern"], F.lit(")"))), "pattern"),
+    ]
+    return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in parts])
+
+
+_OWN = ["key", "scope", "entity_id"]
+
+
+def _valid(log: DataFrame) -> DataFrame:
+    return log.where(broken(F.col("value"), F.col("constraint")).isNull()) if "constraint" in log.columns else log
+
+
+def refused_sets(log: DataFrame) -> DataFrame:
+    """seq, reason of the sets in a log that change nothing: the part of their constraint that they break, or ``constant``."""
+    first = _valid(log).where("mutability = 'constant'").groupBy(*[F.col(c).alias(f"__{c}") for c in _OWN]).agg(F.min("seq").alias("__first"))
+    same = reduce(lambda a, b: a & b, [log[c].eqNullSafe(first[f"__{c}"]) for c in _OWN])
+    bad = broken(F.col("value"), F.col("constraint")) if "constraint" in log.columns else F.lit(None).cast("string")
+    reason = F.coalesce(bad, F.when(F.col("seq") > F.col("__first"), "constant"))
+    return log.join(first, same, "left").select("seq", reason.alias("reason")).where("reason is not null")
+
+
 def set_variables(log: DataFrame) -> DataFrame:
-    """The variables that a log of sets leaves: for each key, scope and entity the first constant if there is one, else the last; at the first's place."""
-    own = ["key", "scope", "entity_id"]
+    """The variables that a log of sets leaves: for each key, scope and entity the first constant if there is one, else the last; at
+    the first's place. Sets that break their own constraint (a column ``constraint``, where there is one) are refused."""
+    own, log = _OWN, _valid(log)
     row = F.struct("value", "mutability")
     constant = F.min_by(F.when(F.col("mutability") == "constant", row), F.when(F.col("mutability") == "constant", F.col("seq")))
     kept = log.groupBy(*own).agg(F.coalesce(constant, F.max_by(row, "seq")).alias("x"), F.min("seq").alias("seq"))
     return kept.select("seq", *own, "x.value", "x.mutability")
 
 
+def list_keys(variables: DataFrame) -> DataFrame:
+    return variables.select("key").distinct()
+
+
+def list_at_scope(variables: DataFrame, scope: str, entity_id: str | None = None) -> DataFrame:
+    rows = variables.where(F.col("scope") == scope)
+    return rows.where(F.col("entity_id") == entity_id) if entity_id is not None else rows
+
+
+def get_variables(variables: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The variables of exactly these (key, scope, entity_id), nulls being equal: no scope inherits."""
+    asked = wanted.select(*[F.col(c).alias(f"__{c}") for c in _OWN]).distinct()
+    return variables.join(asked, reduce(lambda a, b: a & b, [variables[c].eqNullSafe(asked[f"__{c}"]) for c in _OWN]), "left_semi")
+
+
+def delete_variables(variables: DataFrame, gone: DataFrame) -> DataFrame:
+    """What is left without these (key, scope, entity_id); constants stay."""
+    asked = gone.select(*[F.col(c).alias(f"__{c}") for c in _OWN]).distinct()
+    same = reduce(lambda a, b: a & b, [variables[c].eqNullSafe(asked[f"__{c}"]) for c in _OWN])
+    return variables.join(asked, same & ~variables["mutability"].eqNullSafe("constant"), "left_anti")
+
+
 def find_in_chain(wanted: DataFrame, variables: DataFrame) -> DataFrame:
+    """``found_in_chain`` without the mutability."""
+    return found_in_chain(wanted, variables).drop("mutability")
+
+
+def found_in_chain(wanted: DataFrame, variables: DataFrame) -> DataFrame:
     """For requests (request_id, key, scope, chain: map of scope to entity) the variable found from the narrow to the broad scope.
 
     A variable of another entity doesn't fit; one without entity, or a scope without entity in the chain, fits any.
     The first variable of each key, scope and entity is joined by all three: by key alone the pairs grow with the square of a key.
     """
     own, none, every = F.struct(F.lit("own").alias("kind"), F.col("entity_id").alias("entity")), _place("none"), _place("any")
-    v = variables.select("key", F.col("scope").alias("found_scope"), "entity_id", "value", "seq", F.explode(F.array(every, F.when(F.col("entity_id").isNull(), none).otherwise(own))).alias("place"))
-    first = v.groupBy("key", "found_scope", "place.kind", F.coalesce("place.entity", F.lit("")).alias("entity")).agg(F.min_by(F.struct(F.col("entity_id").alias("found_entity"), "value"), "seq").alias("x"), F.min("seq").alias("seq"))
+    kind = F.col("mutability") if "mutability" in variables.columns else F.lit("runtime")
+    v = variables.select("key", F.col("scope").alias("found_scope"), "entity_id", "value", kind.alias("mutability"), "seq", F.explode(F.array(every, F.when(F.col("entity_id").isNull(), none).otherwise(own))).alias("place"))
+    first = v.groupBy("key", "found_scope", "place.kind", F.coalesce("place.entity", F.lit("")).alias("entity")).agg(F.min_by(F.struct(F.col("entity_id").alias("found_entity"), "value", "mutability"), "seq").alias("x"), F.min("seq").alias("seq"))
     scopes = variables.agg(F.collect_set("scope").alias("__scopes"))
     rows = wanted.crossJoin(F.broadcast(scopes)).withColumn("found_scope", F.explode("__scopes")).where(scope_rank(F.col("found_scope")) <= scope_rank(F.col("scope")))
     asked = F.try_element_at("chain", F.col("found_scope"))
     fits = F.when(asked.isNull(), F.array(every)).otherwise(F.array(none, F.struct(F.lit("own").alias("kind"), asked.alias("entity"))))
     rows = rows.withColumn("place", F.explode(fits)).select("request_id", "key", "scope", "found_scope", "place.kind", F.coalesce("place.entity", F.lit("")).alias("entity"))
     rows = rows.join(first, ["key", "found_scope", "kind", "entity"])
-    best = F.min_by(F.struct("found_scope", "x.found_entity", "x.value"), F.struct(-scope_rank(F.col("found_scope")), F.col("seq")))
+    best = F.min_by(F.struct("found_scope", "x.found_entity", "x.value", "x.mutability"), F.struct(-scope_rank(F.col("found_scope")), F.col("seq")))
     return rows.groupBy("request_id", "key", "scope").agg(best.alias("x")).select("request_id", "key", "scope", "x.*")
 
 
@@ -116,12 +181,50 @@ def _place(kind: str) -> Column:
     return F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("entity"))
 
 
-def resolve_variables(wanted: DataFrame, variables: DataFrame, default: str | None = None) -> DataFrame:
-    """As find_in_chain, for every request: source is direct, inherited or default."""
-    found = find_in_chain(wanted, variables).select("request_id", "found_scope", "value")
+def _from(environment: dict[str, str], name: Column, default: str | None) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in environment.items() for x in kv]) if environment else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.try_element_at(known, name), F.lit(default).cast("string"))
+
+
+def referred(variables: DataFrame, environment: dict[str, str]) -> DataFrame:
+    """__key, __target: what a reference to a key gives: the first global variable of that key, through further references.
+
+    Pointer doubling over the global variables: a round halves what is left of each chain. References in a circle raise.
+    """
+    globals_ = variables.where("scope = 'global'").groupBy("key").agg(F.min_by(F.struct("value", "mutability"), "seq").alias("x")).select("key", "x.*")
+    outside = F.col("mutability") == "environment"
+    name = F.when(F.coalesce("value", F.lit("")) == "", F.col("key")).otherwise(F.col("value"))
+    end = F.coalesce(F.col("mutability") != "reference", F.lit(True)) | F.col("value").isNull()
+    t = globals_.select("key", F.when(outside, _from(environment, name, None)).otherwise(F.col("value")).alias("value"), end.alias("done"))
+    t = checkpointed(t)
+    for _ in range(64):
+        if not t.where("not done").limit(1).count():
+            return t.select(F.col("key").alias("__key"), F.col("value").alias("__target"))
+        to = t.select(F.col("key").alias("__to"), F.col("value").alias("__value"), F.col("done").alias("__done"))
+        step = t.join(to, ~F.col("done") & (F.col("value") == F.col("__to")), "left")
+        t = checkpointed(step.select("key", F.when(F.col("done"), F.col("value")).otherwise(F.col("__value")).alias("value"), (F.col("done") | F.coalesce("__done", F.lit(True))).alias("done")))
+    raise ValueError("variables refer to each other in a circle")
+
+
+def resolve_variables(wanted: DataFrame, variables: DataFrame, default: str | None = None, environment: dict[str, str] | None = None) -> DataFrame:
+    """As find_in_chain, for every request: source is direct, inherited, environment, reference or default.
+
+    A variable of mutability ``environment`` names an entry of ``environment`` (by its value, else its key), ``default`` where
+    there is none; one of mutability ``reference`` names a global variable, null where there is none.
+    """
+    environment = environment or {}
+    found = found_in_chain(wanted, variables).select("request_id", "found_scope", "value", "mutability")
     out = wanted.select("request_id", "key", "scope").join(found, "request_id", "left")
-    source = F.when(F.col("found_scope").isNull(), "default").when(F.col("found_scope") == F.col("scope"), "direct").otherwise("inherited")
-    return out.select("request_id", "key", "scope", F.when(F.col("found_scope").isNull(), F.lit(default)).otherwise(F.col("value")).alias("value"), source.alias("source"))
+    if "mutability" in variables.columns:
+        out = out.join(referred(variables, environment), (F.col("mutability") == "reference") & (F.col("value") == F.col("__key")), "left")
+    else:
+        out = out.withColumn("__target", F.lit(None).cast("string"))
+    kind, none = F.col("mutability"), F.col("found_scope").isNull()
+    name = F.when(F.coalesce("value", F.lit("")) == "", F.col("key")).otherwise(F.col("value"))
+    source = F.when(none, "default").when(kind == "environment", "environment").when((kind == "reference") & F.col("value").isNotNull(), "reference")
+    source = source.when(F.col("found_scope") == F.col("scope"), "direct").otherwise("inherited")
+    value = F.when(none, F.lit(default)).when(kind == "environment", _from(environment, name, default)).when((kind == "reference") & F.col("value").isNotNull(), F.col("__target")).otherwise(F.col("value"))
+    return out.select("request_id", "key", "scope", value.alias("value"), source.alias("source"))
 
 
 def overrides(variables: DataFrame, key: str) -> DataFrame:
@@ -131,8 +234,25 @@ def overrides(variables: DataFrame, key: str) -> DataFrame:
     return rows.select("key", "scope", "entity_id", "value", place.alias("place"))
 
 
+def create_revisions(requests: DataFrame, millis: Column) -> DataFrame:
+    """New revisions, all ``detected``, from requests (key, title, action, affected_entities, triggered_by)."""
+    none = F.array().cast("array<string>")
+    return requests.select(
+        F.concat(F.lit("rev_"), ulid(millis, F.col("key"))).alias("revision_id"), "title", F.lit("detected").alias("status"), F.coalesce("action", F.lit("")).alias("action"),
+        F.coalesce("affected_entities", none).alias("affected_entities"), F.coalesce("triggered_by", F.lit("manual")).alias("triggered_by"),
+    )
+
+
+def evidence_of(evidence: DataFrame) -> DataFrame:
+    """revision_id, evidence_count, last_type, last_description, updated_at, from an appended log of evidence (revision_id, seq,
+    evidence_type, description, ts): one partial aggregate, whatever the number of pieces."""
+    last = F.max_by(F.struct("evidence_type", "description", "ts"), "seq").alias("x")
+    rows = evidence.groupBy("revision_id").agg(F.count("*").alias("evidence_count"), last)
+    return rows.select("revision_id", "evidence_count", F.col("x.evidence_type").alias("last_type"), F.col("x.description").alias("last_description"), F.col("x.ts").alias("updated_at"))
+
+
 def fold_revisions(steps: DataFrame) -> DataFrame:
-    """revision_id, status, accepted, refused: ordered steps (revision_id, seq, status) folded; a step that isn't allowed changes nothing."""
+    """A revision's steps are one row's array while they are folded: revisions have few steps. revision_id, status, accepted, refused: ordered steps (revision_id, seq, status) folded; a step that isn't allowed changes nothing."""
     allowed = F.create_map(*[x for k, v in STEPS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]).cast("array<string>"))])
 
     def step(acc, x):

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fingerprint, slugify
-from .graph import micro_ascent
+from ..functions.text import fingerprint, ulid
+from .graph import depths
+from .metrics import latest
+from .resolve import slug_of
 from .temporal import as_of, at_literal, is_active, parent_of
 
 TYPES = ("organ", "repo", "module", "document", "session", "variable", "metric")
@@ -106,7 +108,7 @@ def signatures(entities: DataFrame, edges: DataFrame, relations: DataFrame, at:
     """uid, parent_id, child_count, outgoing, incoming, depth, fingerprint."""
     count = lambda df, key, name: df.groupBy(F.col(key).alias("uid")).agg(F.count("*").cast("int").alias(name))
     active, rel = edges.where(is_active(at)), as_of(relations, at)
-    depth = micro_ascent(edges, at).groupBy(F.col("node").alias("uid")).agg(F.max("distance").alias("depth"))
+    depth = depths(parent_of(edges, at).select(F.col("child_id").alias("node"), F.col("parent_id").alias("parent"))).select(F.col("node").alias("uid"), "depth")
     out = entities.select("uid").join(parent_of(edges, at).select(F.col("child_id").alias("uid"), "parent_id"), "uid", "left")
     for df in (count(active, "parent_id", "child_count"), count(rel, "source_id", "outgoing"), count(rel, "target_id", "incoming"), depth):
         out = out.join(df, "uid", "left")
@@ -123,7 +125,7 @@ def orphans(entities: DataFrame, edges: DataFrame, at: str) -> DataFrame:
 
 def naming_conflicts(names: DataFrame, at: str) -> DataFrame:
     """slug, entity_count, entity_ids of slugs that several entities hold now; severity 0.7."""
-    rows = names.where(is_active(at)).select(slugify(F.col("display_name")).alias("slug"), "entity_id").distinct()
+    rows = names.where(is_active(at)).select(slug_of(names).alias("slug"), "entity_id").distinct()
     out = rows.groupBy("slug").agg(F.count("*").alias("entity_count"), F.array_sort(F.collect_list("entity_id")).alias("entity_ids")).where("entity_count > 1")
     return out.withColumn("severity", F.lit(0.7))
 
@@ -141,3 +143,34 @@ def last_status_window(events: DataFrame) -> DataFrame:
     rows = events.withColumn("born", F.max(F.when(F.col("event_type") == "entity.created", F.col("seq"))).over(w))
     rows = rows.where("born is not null").withColumn("status", F.last(F.try_element_at(status, F.col("event_type")), True).over(w))
     return rows.select("seq", F.col("subject_entity").alias("uid"), "status")
+
+
+def create_snapshots(entities: DataFrame, obs: DataFrame, signed: DataFrame, variables: DataFrame, at: str, properties=("entity_type", "lifecycle_status")) -> DataFrame:
+    """One snapshot an entity: snapshot_id, entity_id, timestamp, properties, metric_values (latest), structural_fingerprint, and
+    variable_bindings (variables of the entity). Maps are bounded by the numbers of metrics and keys."""
+    entries = lambda df, key, value, name: df.groupBy(F.col("entity_id").alias("uid")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias(name))
+    bound = variables.where("entity_id is not null").groupBy("entity_id", "key").agg(F.min_by("value", "seq").alias("value"))
+    out = entities.select("uid", F.create_map(*[x for p in properties for x in (F.lit(p), F.col(p).cast("string"))]).alias("properties"))
+    for df in (entries(latest(obs), "metric_id", "value", "metric_values"), entries(bound, "key", "value", "variable_bindings"), signed.select("uid", F.col("fingerprint").alias("structural_fingerprint"))):
+        out = out.join(df, "uid", "left")
+    empty = lambda c, kind: F.coalesce(c, F.create_map().cast(f"map<string,{kind}>")).alias(c)
+    millis = (F.unix_timestamp(F.lit(at).cast("timestamp")) * 1000).cast("bigint")
+    return out.select(
+        F.concat(F.lit("snap_"), ulid(millis, F.col("uid"))).alias("snapshot_id"), F.col("uid").alias("entity_id"), at_literal(at).alias("timestamp"), "properties", empty("metric_values", "double"),
+        F.coalesce("structural_fingerprint", F.lit("")).alias("structural_fingerprint"), empty("variable_bindings", "string"),
+    )
+
+
+def drifted(before: DataFrame, after: DataFrame) -> DataFrame:
+    """entity_id, fingerprint_changed, drift of entities in both tables of snapshots: whether anything but id and time differs."""
+    maps = ("properties", "metric_values", "variable_bindings")
+    side = lambda df, n: df.select("entity_id", F.struct("structural_fingerprint", *[F.array_sort(F.map_entries(m)).alias(m) for m in maps]).alias(n))
+    rows = side(before, "a").join(side(after, "b"), "entity_id")
+    turned = ~F.col("a.structural_fingerprint").eqNullSafe(F.col("b.structural_fingerprint"))
+    return rows.select("entity_id", turned.alias("fingerprint_changed"), (~F.col("a").eqNullSafe(F.col("b"))).alias("drift"))
+
+
+def signatures_differ(before: DataFrame, after: DataFrame) -> DataFrame:
+    """uid, differ of entities in both tables of ``signatures``."""
+    rows = before.select("uid", F.col("fingerprint").alias("a")).join(after.select("uid", F.col("fingerprint").alias("b")), "uid")
+    return rows.select("uid", (F.col("a") != F.col("b")).alias("differ"))

@@ -35,6 +35,13 @@ def current_name(names: DataFrame, at: str) -> DataFrame:
     return last_by(names.where(is_active(at)), ["entity_id"], ["is_primary", "seq"], ["display_name", "is_primary"])
 
 
+def name_history(names: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """entity_id, place, display_name, is_primary, valid_from, valid_to: all names of each entity (entity_id) asked for, as appended."""
+    rows = names if entities is None else names.join(entities.select("entity_id").distinct(), "entity_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("entity_id").orderBy("seq")).cast("bigint")
+    return rows.select("entity_id", place.alias("place"), "display_name", "is_primary", "valid_from", "valid_to")
+
+
 def parent_of(edges: DataFrame, at: str) -> DataFrame:
     """child_id, parent_id: the last active parent edge of each child."""
     return last_by(edges.where(is_active(at)), ["child_id"], ["seq"], ["parent_id"])

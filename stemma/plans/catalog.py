@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import graph, metrics, mutate, resolve, rules, sensing, state, temporal
-from ..sources import law
+from ..registry import Registry, open_store
+from ..session import numbered, shared_folder
+from ..sources import law, store
+from ..sources.store import Store
 from .derived import EARLY, MIDDLE, NOW, derived, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +25,8 @@ ORACLES: dict[str, str] = {}
 ACT = "(valid_from <= TIMESTAMP '{0}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{0}'))".format
 PARENT = "parent AS (SELECT child_id, arg_max(parent_id, seq) AS parent_id FROM hierarchy_edges WHERE {} GROUP BY child_id)".format
 NAMED = "named AS (SELECT entity_id, arg_max(display_name, (CASE WHEN is_primary THEN 1000000000000 ELSE 0 END) + seq) AS display_name, bool_or(is_primary) AS is_primary FROM names WHERE {} GROUP BY entity_id)".format
-SLUG = r"trim(regexp_replace(regexp_replace(lower(display_name), '[^a-z0-9-]+', '-', 'g'), '-{3,}', '--', 'g'), '-')"
+SLUGGED = r"trim(regexp_replace(regexp_replace(lower(display_name), '[^a-z0-9-]+', '-', 'g'), '-{3,}', '--', 'g'), '-')"
+SLUG = f"coalesce(slug, {SLUGGED})"
 #: A routing law over the columns of ``artifacts``, as the text that a deployment would keep in a file. The first match wins;
 #: rule 8 names a column that isn't a dimension and so never matches, and what no rule takes goes to the fallback.
 LAW = """
@@ -323,7 +328,7 @@ def _(n):
 # Scalars
 
 
-@query("c1_slugify", f"SELECT seq, {SLUG} AS slug FROM names")
+@query("c1_slugify", f"SELECT seq, {SLUGGED} AS slug FROM names")
 @_t("names")
 def _(n):
     return n.select("seq", fn.slugify(F.col("display_name")).alias("slug"))
@@ -434,7 +439,7 @@ def _(ln):
 
 # Resolution
 
-_WANTED = "(VALUES ('customer:3'), ('Customer#000000010'), ('customer-000000010-renamed'), ('CUSTOMER#000000010 RENAMED'), ('alias-building-1'), ('Alias BUILDING 1'), ('no such thing'), ('customer-000000020'), ('Supplier#000000002')) w(identifier)"
+_WANTED = "(VALUES ('customer:3'), ('Customer#000000010'), ('customer-000000010-renamed'), ('renamed-10'), ('vendor-3'), ('supplier-000000003'), ('CUSTOMER#000000010 RENAMED'), ('alias-building-1'), ('Alias BUILDING 1'), ('no such thing'), ('customer-000000020'), ('Supplier#000000002')) w(identifier)"
 _CAND = f"""{NAMED(ACT(NOW))}, keys AS (SELECT {SLUG} AS slug, lower(display_name) AS lowered, entity_id, min(seq) AS seq FROM names GROUP BY 1, 2, 3),
 d AS (SELECT identifier, entity_id AS uid, min(keys.seq) AS seq FROM {_WANTED} JOIN keys ON lowered = lower(identifier) JOIN entities ON uid = entity_id GROUP BY 1, 2),
 s AS (SELECT identifier, entity_id AS uid, min(keys.seq) AS seq FROM {_WANTED} JOIN keys ON slug = identifier JOIN entities ON uid = entity_id GROUP BY 1, 2),
@@ -444,7 +449,7 @@ c AS (SELECT identifier, uid, 'uid' AS matched_by, 1 AS r, CAST(0 AS BIGINT) AS
 
 
 def _wanted(df: DataFrame) -> DataFrame:
-    return _one(df, "identifier", "customer:3", "Customer#000000010", "customer-000000010-renamed", "CUSTOMER#000000010 RENAMED", "alias-building-1", "Alias BUILDING 1", "no such thing", "customer-000000020", "Supplier#000000002")
+    return _one(df, "identifier", "customer:3", "Customer#000000010", "customer-000000010-renamed", "renamed-10", "vendor-3", "supplier-000000003", "CUSTOMER#000000010 RENAMED", "alias-building-1", "Alias BUILDING 1", "no such thing", "customer-000000020", "Supplier#000000002")
 
 
 @query("r3_resolve", f"WITH {_CAND} SELECT identifier, uid, matched_by, display_name FROM (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY r, seq) AS k FROM c) LEFT JOIN named ON entity_id = uid WHERE k = 1")
@@ -502,14 +507,15 @@ def _(a, b):
     return state.registry_changes(a, b, ["size", "kind"])
 
 
-_SIGN = f"""RECURSIVE {PARENT(ACT(NOW))}, up AS (SELECT child_id AS uid, parent_id AS a, 1 AS d FROM parent UNION ALL SELECT uid, p.parent_id, d + 1 FROM up JOIN parent p ON p.child_id = a),
-dp AS (SELECT uid, max(d) AS depth FROM up GROUP BY 1), k AS (SELECT parent_id AS uid, count(*) AS n FROM hierarchy_edges WHERE {ACT(NOW)} GROUP BY 1),
-og AS (SELECT source_id AS uid, count(*) AS n FROM relation_edges WHERE {ACT(NOW)} GROUP BY 1), ic AS (SELECT target_id AS uid, count(*) AS n FROM relation_edges WHERE {ACT(NOW)} GROUP BY 1)
+def _sign(at: str) -> str:
+    return f"""WITH RECURSIVE {PARENT(ACT(at))}, up AS (SELECT child_id AS uid, parent_id AS a, 1 AS d FROM parent UNION ALL SELECT uid, p.parent_id, d + 1 FROM up JOIN parent p ON p.child_id = a),
+dp AS (SELECT uid, max(d) AS depth FROM up GROUP BY 1), k AS (SELECT parent_id AS uid, count(*) AS n FROM hierarchy_edges WHERE {ACT(at)} GROUP BY 1),
+og AS (SELECT source_id AS uid, count(*) AS n FROM relation_edges WHERE {ACT(at)} GROUP BY 1), ic AS (SELECT target_id AS uid, count(*) AS n FROM relation_edges WHERE {ACT(at)} GROUP BY 1)
 SELECT e.uid, p.parent_id, substr(sha256('{{"children": ' || coalesce(k.n, 0) || ', "depth": ' || coalesce(dp.depth, 0) || ', "incoming": ' || coalesce(ic.n, 0) || ', "outgoing": ' || coalesce(og.n, 0) || ', "parent": ' || coalesce('"' || p.parent_id || '"', 'null') || '}}'), 1, 16) AS fingerprint
 FROM entities e LEFT JOIN parent p ON p.child_id = e.uid LEFT JOIN k ON k.uid = e.uid LEFT JOIN og ON og.uid = e.uid LEFT JOIN ic ON ic.uid = e.uid LEFT JOIN dp ON dp.uid = e.uid"""
 
 
-@query("c5_fingerprint", _SIGN)
+@query("c5_fingerprint", f"SELECT * FROM ({_sign(NOW)})")
 @_t("entities", "hierarchy_edges", "relation_edges")
 def _(e, h, r):
     return state.signatures(e, h, r, NOW).select("uid", "parent_id", "fingerprint")
@@ -575,10 +581,17 @@ def _(spark, sf_dir):
     return rules.resolve_variables(_requests(spark, sf_dir), derived(spark, sf_dir, "variables"), "none")
 
 
-@query("p6_revisions")
+_STEPS = ("accumulating", "evaluating", "proposed", "approved", "applied", "rejected", "cancelled")
+_ALLOWED = " ".join(f"WHEN '{k}' THEN x.status IN ({', '.join(repr(v) for v in vs)})" for k, vs in rules.STEPS.items() if vs)
+
+
+@query("p6_revisions", f"""RECURSIVE x AS (SELECT subject_entity AS revision_id, row_number() OVER (PARTITION BY subject_entity ORDER BY seq) AS k, list_extract([{', '.join(repr(v) for v in _STEPS)}], CAST((seq * 5 + seq // 7) % 7 + 1 AS INTEGER)) AS status FROM event_log),
+f AS (SELECT DISTINCT revision_id, CAST(0 AS BIGINT) AS k, 'detected' AS status, 0 AS accepted, 0 AS refused FROM x
+UNION ALL SELECT f.revision_id, x.k, CASE WHEN CASE f.status {_ALLOWED} ELSE false END THEN x.status ELSE f.status END, f.accepted + CAST(CASE f.status {_ALLOWED} ELSE false END AS INTEGER), f.refused + CAST(NOT CASE f.status {_ALLOWED} ELSE false END AS INTEGER) FROM f JOIN x ON x.revision_id = f.revision_id AND x.k = f.k + 1)
+SELECT revision_id, arg_max(status, k) AS status, CAST(max(accepted) AS INTEGER) AS accepted, CAST(max(refused) AS INTEGER) AS refused FROM f GROUP BY 1""")
 @_t("event_log")
 def _(ev):
-    steps = F.element_at(F.array(*[F.lit(s) for s in ("accumulating", "evaluating", "proposed", "approved", "applied", "rejected", "cancelled")]), (F.pmod(F.xxhash64("seq"), F.lit(7)) + 1).cast("int"))
+    steps = F.element_at(F.array(*[F.lit(s) for s in _STEPS]), (F.expr("(seq * 5 + seq div 7) % 7") + 1).cast("int"))
     return rules.fold_revisions(ev.select(F.col("subject_entity").alias("revision_id"), "seq", steps.alias("status")))
 
 
@@ -617,53 +630,29 @@ def _moves(spark, sf_dir):
     return c.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("child_id"), F.concat(F.lit("nation:"), ((F.col("c_nationkey") + 7) % 25).cast("string")).alias("parent_id"))
 
 
-@query("m7_relocate", f"WITH mv AS (SELECT 'customer:' || c_custkey AS child_id, 'nation:' || ((c_nationkey + 7) % 25) AS new_parent FROM customer WHERE c_custkey % 13 = 0), a AS (SELECT h.*, {ACT(NOW)} AS act FROM hierarchy_edges h) SELECT parent_id, child_id, CASE WHEN act AND child_id IN (SELECT child_id FROM mv) THEN '{NOW}' ELSE CAST(valid_to AS VARCHAR) END AS valid_to FROM a WHERE child_id LIKE 'customer:%' UNION ALL SELECT new_parent, child_id, NULL FROM mv")
-def _(spark, sf_dir):
-    edges = mutate.relocate(derived(spark, sf_dir, "hierarchy_edges").where("child_id like 'customer:%'"), _moves(spark, sf_dir), NOW)
-    return edges.select("parent_id", "child_id", F.col("valid_to").cast("string").alias("valid_to"))
-
-
-@query("m7_relocate_all", f"WITH mv AS (SELECT 'customer:' || c_custkey AS child_id, 'nation:' || ((c_nationkey + 7) % 25) AS new_parent FROM customer WHERE c_custkey % 13 = 0) SELECT parent_id, child_id, CASE WHEN {ACT(NOW)} AND child_id IN (SELECT child_id FROM mv) THEN '{NOW}' ELSE CAST(valid_to AS VARCHAR) END AS valid_to FROM hierarchy_edges UNION ALL SELECT new_parent, child_id, NULL FROM mv")
+@query("m7_relocate", f"WITH mv AS (SELECT 'customer:' || c_custkey AS child_id, 'nation:' || ((c_nationkey + 7) % 25) AS new_parent FROM customer WHERE c_custkey % 13 = 0) SELECT parent_id, child_id, CASE WHEN {ACT(NOW)} AND child_id IN (SELECT child_id FROM mv) THEN '{NOW}' ELSE CAST(valid_to AS VARCHAR) END AS valid_to FROM hierarchy_edges UNION ALL SELECT new_parent, child_id, NULL FROM mv")
 def _(spark, sf_dir):
     edges = mutate.relocate(derived(spark, sf_dir, "hierarchy_edges"), _moves(spark, sf_dir), NOW)
     return edges.select("parent_id", "child_id", F.col("valid_to").cast("string").alias("valid_to"))
 
 
-_MERGE = f"""WITH src AS (SELECT 'nation:' || n_nationkey AS uid, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, 'merged:' || n_regionkey AS successor FROM nation WHERE n_nationkey % 2 = 0),
+_MERGE = f"""WITH src AS (SELECT 'nation:' || n_nationkey AS uid, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, 'merged:' || n_regionkey AS successor FROM nation),
 a AS (SELECT * FROM hierarchy_edges WHERE {ACT(NOW)})
 SELECT s.successor AS parent_id, a.child_id FROM a JOIN src s ON s.uid = a.parent_id UNION ALL SELECT a.parent_id, s.successor FROM a JOIN src s ON s.uid = a.child_id{{}}"""
 
 
 def _merge(spark, sf_dir, form):
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey % 2 = 0")
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
     groups = n.select(F.col("n_nationkey").cast("bigint").alias("seq"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("source_uid"), F.concat(F.lit("merged:"), F.col("n_regionkey").cast("string")).alias("successor"))
     return mutate.merge(derived(spark, sf_dir, "entities"), derived(spark, sf_dir, "hierarchy_edges"), groups, NOW, form)
 
 
-@query("m10_merge_store", _MERGE.format(""))
-def _(spark, sf_dir):
-    return _merge(spark, sf_dir, "store")["opened"].select("parent_id", "child_id")
-
-
-@query("m11_merge_ctx", _MERGE.format(" WHERE s.k = 1"))
-def _(spark, sf_dir):
-    return _merge(spark, sf_dir, "ctx")["opened"].select("parent_id", "child_id")
-
-
-_SPLIT = f"SELECT CAST(c_custkey AS VARCHAR) || '/' || i AS child_id, parent_id FROM (SELECT c_custkey, unnest(['a', 'b']) AS i FROM customer WHERE c_custkey % 17 = 0) JOIN hierarchy_edges ON child_id = 'customer:' || c_custkey WHERE {ACT(NOW)}"
-
-
 def _split_store(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 17 = 0")
     specs = c.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("source_uid"), F.explode(F.array(*[F.concat(F.col("c_custkey").cast("string"), F.lit(f"/{i}")) for i in "ab"])).alias("descendant"))
     return mutate.split(derived(spark, sf_dir, "entities"), derived(spark, sf_dir, "hierarchy_edges"), specs, NOW)
 
 
-@query("m12_split_store", _SPLIT)
-def _(spark, sf_dir):
-    return _split_store(spark, sf_dir)["opened"].select("child_id", "parent_id")
-
-
 _PICKED = "(SELECT 'customer:' || c_custkey AS uid FROM customer WHERE c_custkey % 21 = 0)"
 
 
@@ -689,10 +678,10 @@ def _(spark, sf_dir):
     return mutate.rename(derived(spark, sf_dir, "names"), changes, NOW).select("entity_id", "display_name", F.col("valid_to").cast("string").alias("valid_to"), "is_primary")
 
 
-@query("m4_retire_name", f"SELECT seq, CAST(CASE WHEN entity_id IN {_PICKED} AND display_name LIKE 'Customer%' AND {ACT(NOW)} THEN TIMESTAMP '{NOW}' ELSE valid_to END AS VARCHAR) AS valid_to FROM names")
+@query("m4_retire_name", f"SELECT seq, CAST(CASE WHEN entity_id IN {_PICKED} AND {ACT(NOW)} THEN TIMESTAMP '{NOW}' ELSE valid_to END AS VARCHAR) AS valid_to FROM names")
 def _(spark, sf_dir):
     n = derived(spark, sf_dir, "names")
-    gone = n.join(_picked(spark, sf_dir, "entity_id"), "entity_id", "left_semi").where("display_name like 'Customer%'")
+    gone = n.join(_picked(spark, sf_dir, "entity_id"), "entity_id", "left_semi")
     return mutate.retire_name(n, gone, NOW).select("seq", F.col("valid_to").cast("string").alias("valid_to"))
 
 
@@ -713,15 +702,10 @@ def _split_ctx(spark, sf_dir):
     return mutate.split(derived(spark, sf_dir, "entities"), derived(spark, sf_dir, "hierarchy_edges"), specs, NOW, "ctx")
 
 
-@query("m13_split_ctx", "SELECT uid, CASE WHEN uid IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_custkey % 21 = 0) THEN 'split' ELSE lifecycle_status END AS lifecycle_status FROM entities UNION ALL SELECT 'customer:' || c_custkey || '/x', 'active' FROM customer WHERE c_custkey % 21 = 0")
-def _(spark, sf_dir):
-    return _split_ctx(spark, sf_dir)["entities"].select("uid", "lifecycle_status")
-
-
 def _changed(tables: dict[str, DataFrame]) -> DataFrame:
     """All that a merge or split leaves, in one table: part (entity, edge, lineage or result), a, b, c."""
-    columns = {"entities": ("entity", "uid", "entity_type", "lifecycle_status"), "edges": ("edge", "parent_id", "child_id", "valid_to"), "lineage": ("lineage", "entity_id", "related_id", "lineage_type"), "result": ("result", "successor", "sources")}
-    parts = [tables[k].select(F.lit(part).alias("part"), *[F.col(c).cast("string").alias(to) for c, to in zip(own, "abc")], *([] if len(own) == 3 else [F.lit(None).cast("string").alias("c")])) for k, (part, *own) in columns.items() if k in tables]
+    columns = {"entities": ("entity", "uid", "entity_type", "lifecycle_status"), "edges": ("edge", "parent_id", "child_id", "valid_to"), "lineage": ("lineage", "entity_id", "related_id", "lineage_type"), "result": ("result", tables["result"].columns[0], tables["result"].columns[1], "edges_created")}
+    parts = [tables[k].select(F.lit(part).alias("part"), *[F.col(c).cast("string").alias(to) for c, to in zip(own, "abc")]) for k, (part, *own) in columns.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -739,7 +723,7 @@ UNION ALL SELECT DISTINCT 'entity', successor, 'repo', 'active' FROM src
 UNION ALL {_closed("parent_id IN (SELECT uid FROM src) OR child_id IN (SELECT s.uid FROM src s" + heirs + ")")}
 UNION ALL SELECT 'edge', parent_id, child_id, NULL FROM o
 UNION ALL SELECT 'lineage', uid, successor, 'merged_into' FROM src {derived_from}
-UNION ALL SELECT 'result', successor, CAST(count(*) AS VARCHAR), NULL FROM src GROUP BY successor"""
+UNION ALL SELECT 'result', successor, CAST(count(*) AS VARCHAR), CAST((SELECT count(*) FROM o WHERE parent_id = successor OR child_id = successor) AS VARCHAR) FROM src GROUP BY successor"""
 
 
 def _split_sql(status: str, mod: int, ends: str, descendant: str, closes: bool) -> str:
@@ -748,39 +732,52 @@ def _split_sql(status: str, mod: int, ends: str, descendant: str, closes: bool)
 SELECT 'entity' AS part, uid AS a, entity_type AS b, CASE WHEN uid IN (SELECT uid FROM d) THEN '{status}' ELSE lifecycle_status END AS c FROM entities
 UNION ALL SELECT 'entity', descendant, 'module', 'active' FROM d
 UNION ALL {_closed("child_id IN (SELECT uid FROM d)" if closes else "false")} {opened}
-UNION ALL SELECT 'lineage', descendant, uid, 'split_from' FROM d"""
+UNION ALL SELECT 'lineage', descendant, uid, 'split_from' FROM d
+UNION ALL SELECT 'result', uid, CAST(count(*) AS VARCHAR), CAST({f"count(*) * (SELECT count(*) FROM hierarchy_edges WHERE child_id = d.uid AND {ACT(NOW)})" if closes else "0"} AS VARCHAR) FROM d GROUP BY uid"""
 
 
-@query("m10_merge_store_all", _merged_sql("deprecated", "", ""))
+@query("m10_merge_store", _merged_sql("deprecated", "", ""))
 def _(spark, sf_dir):
     return _changed(_merge(spark, sf_dir, "store"))
 
 
-@query("m11_merge_ctx_all", _merged_sql("merged", " WHERE s.k = 1", "UNION ALL SELECT 'lineage', successor, uid, 'derived_from' FROM src"))
+@query("m11_merge_ctx", _merged_sql("merged", " WHERE s.k = 1", "UNION ALL SELECT 'lineage', successor, uid, 'derived_from' FROM src"))
 def _(spark, sf_dir):
     return _changed(_merge(spark, sf_dir, "ctx"))
 
 
-@query("m12_split_store_all", _split_sql("deprecated", 17, "['a', 'b']", "c_custkey || '/' || i", True))
+@query("m10_parent_after_merge", f"""WITH src AS (SELECT 'nation:' || n_nationkey AS uid, n_nationkey AS k, 'merged:' || n_regionkey AS successor FROM nation),
+o AS (SELECT s.successor AS child_id, h.parent_id, row_number() OVER (PARTITION BY s.successor ORDER BY s.k, h.seq) AS k FROM hierarchy_edges h JOIN src s ON s.uid = h.child_id WHERE {ACT(NOW)})
+SELECT child_id, arg_max(parent_id, k) AS parent_id, count(*) AS parents FROM o GROUP BY 1""")
+def _(spark, sf_dir):
+    after = _merge(spark, sf_dir, "store")["edges"].where("child_id like 'merged:%'")
+    return temporal.parent_of(after, NOW).join(after.groupBy("child_id").agg(F.count("*").alias("parents")), "child_id")
+
+
+@query("m12_split_store", _split_sql("deprecated", 17, "['a', 'b']", "c_custkey || '/' || i", True))
 def _(spark, sf_dir):
     return _changed(_split_store(spark, sf_dir))
 
 
-@query("m13_split_ctx_all", _split_sql("split", 21, "['x']", "uid || '/' || i", False))
+@query("m13_split_ctx", _split_sql("split", 21, "['x']", "uid || '/' || i", False))
 def _(spark, sf_dir):
     return _changed(_split_ctx(spark, sf_dir))
 
 
-@query("r1_resolve_slug", f"SELECT {SLUG} AS key, entity_id, min(seq) AS seq FROM names WHERE {SLUG} LIKE 'alias-%' GROUP BY 1, 2")
+def _placed(sql_key: str) -> str:
+    return f"SELECT key, entity_id, row_number() OVER (PARTITION BY key ORDER BY seq, entity_id) AS place FROM (SELECT {sql_key} AS key, entity_id, min(seq) AS seq FROM names GROUP BY 1, 2)"
+
+
+@query("r1_resolve_slug", _placed(SLUG))
 @_t("names")
 def _(n):
-    return resolve.by_key(n, "slug").where("key like 'alias-%'")
+    return resolve.ids_in_order(n, "slug")
 
 
-@query("r2_resolve_display_name", "SELECT lower(display_name) AS key, entity_id, min(seq) AS seq FROM names WHERE lower(display_name) LIKE 'alias %' GROUP BY 1, 2")
+@query("r2_resolve_display_name", _placed("lower(display_name)"))
 @_t("names")
 def _(n):
-    return resolve.by_key(n, "lowered").where("key like 'alias %'")
+    return resolve.ids_in_order(n, "lowered")
 
 
 @query("x8_ids_by_name", "SELECT lower(display_name) AS key, entity_id, min(seq) AS seq FROM names GROUP BY 1, 2")
@@ -818,6 +815,208 @@ def _(ev):
     return state.last_status_window(ev)
 
 
+# Stores: written, appended to and read back
+
+
+def _place(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+
+
+@query("s8_latest_after_appends", "SELECT metric_id, entity_id, arg_max(value, (CASE seq % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END) * 10000000000 + seq) AS value FROM observations WHERE metric_id <> 'total' GROUP BY 1, 2")
+@_t("observations")
+def _(o):
+    """The last value by metric and entity of a log that three appends of different sizes made."""
+    log, rows = Store(o.sparkSession, _place(o.sparkSession)), o.where("metric_id <> 'total'").withColumnRenamed("ts", "timestamp")
+    for part in ("seq % 5 = 0", "seq % 5 > 1", "seq % 5 = 1"):
+        log.append("observations", rows.where(part))
+    return metrics.latest(log.observations())
+
+
+@query("s10_replay_after_appends", "SELECT subject_entity, new_value FROM event_log ORDER BY seq % 2 DESC, seq DESC LIMIT 300")
+@_t("event_log")
+def _(ev):
+    log, rows = Store(ev.sparkSession, _place(ev.sparkSession)), ev.withColumnRenamed("ts", "timestamp")
+    for part in ("seq % 2 = 0", "seq % 2 = 1"):
+        log.append("events", rows.where(part))
+    return metrics.replay(log.events(), limit=300).select("subject_entity", "new_value")
+
+
+def _registry(spark, sf_dir) -> Registry:
+    return Registry(*[derived(spark, sf_dir, n) for n in ("entities", "names", "hierarchy_edges", "relation_edges", "lineage", "observations", "event_log", "variables")], NOW)
+
+
+@query("s21_open_store", _STATE)
+def _(spark, sf_dir):
+    """Entity states from a registry that was saved as a store and opened again."""
+    path = _place(spark)
+    _registry(spark, sf_dir).save(path)
+    return open_store(spark, path, NOW).state_at(MIDDLE)
+
+
+@query("s19_saved_names", "SELECT entity_id, display_name, coalesce(slug, " + SLUGGED + ") AS slug, row_number() OVER (PARTITION BY entity_id ORDER BY seq) AS place FROM names")
+@_t("names")
+def _(n):
+    saved = Store(n.sparkSession, _place(n.sparkSession))
+    saved.save_names(n.withColumns({c: F.col(c).cast("string") for c in ("valid_from", "valid_to")}))
+    back = saved.names()
+    return back.join(temporal.name_history(back).select("entity_id", "place", F.col("display_name").alias("__name")), "entity_id").where("display_name = __name").select("entity_id", "display_name", "slug", "place")
+
+
+# The version log, names, snapshots, drift, inferences
+
+
+def _versions(ev: DataFrame) -> DataFrame:
+    return ev.select("seq", F.concat(F.lit("sv_"), F.col("seq").cast("string")).alias("version_id"), F.col("event_type").alias("change_type"), F.array("subject_entity").alias("affected_entities"))
+
+
+@query("f7_versions_by_entity", "SELECT seq FROM event_log WHERE subject_entity = 'session:7'")
+@_t("event_log")
+def _(ev):
+    return store.versions_by_entity(_versions(ev), "session:7").select("seq")
+
+
+@query("f8_versions_by_type", "SELECT seq, 'sv_' || CAST(seq AS VARCHAR) AS version_id FROM event_log WHERE event_type = 'entity.archived'")
+@_t("event_log")
+def _(ev):
+    return store.versions_by_type(_versions(ev), "entity.archived").select("seq", "version_id")
+
+
+@query("f8_recent_versions", "SELECT seq FROM event_log ORDER BY seq DESC LIMIT 20")
+@_t("event_log")
+def _(ev):
+    return store.recent_versions(_versions(ev)).select("seq")
+
+
+@query("r6_name_history", "SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY seq) AS place, display_name, is_primary FROM names")
+@_t("names")
+def _(n):
+    return temporal.name_history(n).select("entity_id", "place", "display_name", "is_primary")
+
+
+_SNAPS = f"""WITH s AS ({_sign(NOW)}), m AS (SELECT entity_id, count(*) AS n, sum(v) AS total FROM (SELECT entity_id, metric_id, arg_max(value, seq) AS v FROM observations GROUP BY 1, 2) GROUP BY 1),
+b AS (SELECT entity_id, array_to_string(list_sort(list(DISTINCT key)), ',') AS keys FROM variables WHERE entity_id IS NOT NULL GROUP BY 1)
+SELECT e.uid AS entity_id, e.lifecycle_status AS status, coalesce(m.n, 0) AS metrics, round(coalesce(m.total, 0), 4) AS total, s.fingerprint, coalesce(b.keys, '') AS keys FROM entities e JOIN s ON s.uid = e.uid LEFT JOIN m ON m.entity_id = e.uid LEFT JOIN b ON b.entity_id = e.uid"""
+
+
+@query("t9_create_snapshot", _SNAPS)
+def _(spark, sf_dir):
+    r = _registry(spark, sf_dir)
+    made = state.create_snapshots(r.entities, r.observations, state.signatures(r.entities, r.hierarchy, r.relations, NOW), r.variables, NOW)
+    total = F.aggregate(F.map_values("metric_values"), F.lit(0.0), lambda a, x: a + x)
+    return made.select("entity_id", F.col("properties")["lifecycle_status"].alias("status"), F.size("metric_values").cast("long").alias("metrics"), F.round(total, 4).alias("total"), F.col("structural_fingerprint").alias("fingerprint"), F.array_join(F.map_keys("variable_bindings"), ",").alias("keys"))
+
+
+@query("c14_signatures_differ", f"SELECT a.uid, a.fingerprint <> b.fingerprint AS differ FROM ({_sign(EARLY)}) a JOIN ({_sign(NOW)}) b USING (uid)")
+@_t("entities", "hierarchy_edges", "relation_edges")
+def _(e, h, r):
+    return state.signatures_differ(state.signatures(e, h, r, EARLY), state.signatures(e, h, r, NOW))
+
+
+@query("c14_drift", "SELECT entity_id, false AS fingerprint_changed, a.size IS DISTINCT FROM b.size OR a.kind IS DISTINCT FROM b.kind OR a.price IS DISTINCT FROM b.price AS drift FROM snapshot_before a JOIN snapshot_after b USING (entity_id)")
+@_t("snapshot_before", "snapshot_after")
+def _(a, b):
+    none = F.create_map().cast("map<string,string>")
+    snap = lambda df: df.select("entity_id", F.create_map(F.lit("size"), F.col("size").cast("string"), F.lit("kind"), F.col("kind")).alias("properties"), F.create_map(F.lit("price"), F.col("price").cast("double")).alias("metric_values"), F.lit("x").alias("structural_fingerprint"), none.alias("variable_bindings"))
+    return state.drifted(snap(a), snap(b))
+
+
+@query("g14_inferences", f"{_CLUSTERS.replace('SELECT s.component, s.n AS size, round', 'SELECT s.component, ' + chr(39) + 'cluster' + chr(39) + ' AS inference_type, ' + chr(39) + 'Cluster of ' + chr(39) + ' || s.n || ' + chr(39) + ' entities' + chr(39) + ' AS description, round').replace('AS cohesion FROM', 'AS score FROM')}")
+@_t("depends_edges")
+def _(r):
+    found = graph.cluster_inferences(graph.clusters(r, NOW))
+    return found.select("component", "inference_type", F.split("description", " with ")[0].alias("description"), F.round("score", 6).alias("score"))
+
+
+_ORDER = f"""RECURSIVE act AS (SELECT parent_id, child_id, seq FROM hierarchy_edges WHERE {ACT(NOW)}),
+walk AS (SELECT child_id AS node, 1 AS depth, [seq] AS o FROM act WHERE parent_id = 'region:2' UNION ALL SELECT a.child_id, w.depth + 1, list_append(w.o, a.seq) FROM walk w JOIN act a ON a.parent_id = w.node)
+SELECT node, depth, row_number() OVER (ORDER BY depth, o) AS place FROM walk"""
+
+
+@query("o5_breadth_first_order", _ORDER)
+@_t("hierarchy_edges")
+def _(h):
+    found = graph.macro_descent(h, _one(h, "root", "region:2"), NOW)
+    return numbered(found.select("node", "depth", "order"), ["depth", "order"], "place").select("node", "depth", "place")
+
+
+# Variables
+
+
+_BAD = "key = 'key1' AND NOT regexp_matches(value, '^(?:[a-m])')"
+
+
+def _constrained(v: DataFrame) -> DataFrame:
+    none = lambda kind: F.lit(None).cast(kind)
+    c = F.struct(none("array<string>").alias("allowed_values"), F.lit(1.0).alias("min_value"), none("double").alias("max_value"), F.lit("[a-m]").alias("pattern"), F.lit(True).alias("required"))
+    return v.withColumn("constraint", F.when(F.col("key") == "key1", c))
+
+
+_SET = "s AS (SELECT g.seq, g.key, g.scope, g.entity_id, v.value, v.mutability FROM (SELECT key, scope, entity_id, min(seq) AS seq, coalesce(min(CASE WHEN mutability = 'constant' THEN seq END), max(seq)) AS pick FROM variables{} GROUP BY 1, 2, 3) g JOIN variables v ON v.seq = g.pick)".format
+
+
+@query("v1_set_constrained", f"WITH {_SET(f' WHERE NOT ({_BAD})')} SELECT * FROM s")
+@_t("variables")
+def _(v):
+    return rules.set_variables(_constrained(v))
+
+
+@query("v1_refused_sets", f"WITH f AS (SELECT key, scope, coalesce(entity_id, '') AS e, min(seq) AS first FROM variables WHERE NOT ({_BAD}) AND mutability = 'constant' GROUP BY 1, 2, 3) SELECT v.seq, CASE WHEN v.{_BAD.replace('value', 'v.value')} THEN 'pattern' ELSE 'constant' END AS reason FROM variables v LEFT JOIN f ON f.key = v.key AND f.scope = v.scope AND f.e = coalesce(v.entity_id, '') WHERE v.{_BAD.replace('value', 'v.value')} OR v.seq > first")
+@_t("variables")
+def _(v):
+    return rules.refused_sets(_constrained(v))
+
+
+@query("v6_list_keys", "SELECT DISTINCT key FROM variables")
+@_t("variables")
+def _(v):
+    return rules.list_keys(rules.set_variables(v))
+
+
+@query("f10_list_at_scope", f"WITH {_SET('')} SELECT seq, key, value FROM s WHERE scope = 'repo' AND entity_id = 'nation:22'")
+@_t("variables")
+def _(v):
+    return rules.list_at_scope(rules.set_variables(v), "repo", "nation:22").select("seq", "key", "value")
+
+
+@query("f11_get_variable", f"WITH {_SET('')} SELECT seq, key, scope, entity_id, value FROM s WHERE scope = 'global' OR scope = 'organ' AND entity_id = 'region:1'")
+@_t("variables")
+def _(v):
+    wanted = v.select("key").distinct().select("key", F.explode(F.array(F.struct(F.lit("global").alias("scope"), F.lit(None).cast("string").alias("entity_id")), F.struct(F.lit("organ").alias("scope"), F.lit("region:1").alias("entity_id")))).alias("x")).select("key", "x.*")
+    return rules.get_variables(rules.set_variables(v), wanted).select("seq", "key", "scope", "entity_id", "value")
+
+
+@query("v6_delete", f"WITH {_SET('')} SELECT seq, key, scope, entity_id FROM s WHERE NOT (scope IN ('global', 'organ') AND mutability <> 'constant')")
+@_t("variables")
+def _(v):
+    kept = rules.set_variables(v)
+    return rules.delete_variables(kept, kept.where("scope in ('global', 'organ')")).select("seq", "key", "scope", "entity_id")
+
+
+@query("c16_scope_chain", "SELECT c_custkey AS request_id, CASE c_custkey % 3 WHEN 0 THEN 'organ>global' WHEN 1 THEN 'repo>organ>global' ELSE 'module>repo>organ>global' END AS chain FROM customer", raw=True)
+def _(spark, sf_dir):
+    return _requests(spark, sf_dir).select("request_id", F.array_join(rules.scope_chain(F.col("scope")), ">").alias("chain"))
+
+
+_KIND = "CASE WHEN found_scope = 'global' THEN CASE q.key {} END END".format
+
+
+@query("v4_environment_and_reference", f"""WITH {_FOUND} SELECT q.request_id, q.key, q.scope, CASE WHEN found_scope IS NULL THEN 'none' ELSE coalesce({_KIND("WHEN 'key2' THEN 'set' WHEN 'key4' THEN 'none' WHEN 'key6' THEN 'set' WHEN 'key8' THEN 'set'")}, value) END AS value,
+CASE WHEN found_scope IS NULL THEN 'default' ELSE coalesce({_KIND("WHEN 'key2' THEN 'environment' WHEN 'key4' THEN 'environment' WHEN 'key6' THEN 'reference' WHEN 'key8' THEN 'reference'")}, CASE WHEN found_scope = q.scope THEN 'direct' ELSE 'inherited' END) END AS source FROM q LEFT JOIN (SELECT * FROM f WHERE k = 1) f USING (request_id)""")
+def _(spark, sf_dir):
+    """Of the global variables, key2 and key4 name entries of the environment (one is missing), key6 refers to key2 and key8 to key6."""
+    special = lambda kinds, other: reduce(lambda c, kv: c.when((F.col("scope") == "global") & (F.col("key") == kv[0]), F.lit(kv[1])), kinds.items(), F.when(F.lit(False), F.lit(""))).otherwise(other)
+    v = derived(spark, sf_dir, "variables")
+    v = v.withColumns({"value": special({"key2": "PLACE", "key4": "", "key6": "key2", "key8": "key6"}, F.col("value")), "mutability": special({"key2": "environment", "key4": "environment", "key6": "reference", "key8": "reference"}, F.col("mutability"))})
+    return rules.resolve_variables(_requests(spark, sf_dir), v, "none", {"PLACE": "set"})
+
+
+@query("p6_evidence", "SELECT subject_entity AS revision_id, count(*) AS evidence_count, arg_max(event_type, seq) AS last_type, arg_max(new_value, seq) AS last_description FROM event_log GROUP BY 1")
+@_t("event_log")
+def _(ev):
+    log = ev.select(F.col("subject_entity").alias("revision_id"), "seq", F.col("event_type").alias("evidence_type"), F.col("new_value").alias("description"), "ts")
+    return rules.evidence_of(log).drop("updated_at")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -38,11 +38,11 @@ FROM {part} WHERE p_partkey % 12 = 0 AND p_partkey + 3 <= (SELECT max(p_partkey)
 SELECT l_suppkey * 1000000 + l_partkey AS seq, 'supplier:' || CAST(l_suppkey AS STRING) AS source_id, 'part:' || CAST(l_partkey AS STRING) AS target_id, 'produces_for' AS relation_type, min(l_shipdate) AS valid_from, CASE WHEN l_partkey % 5 = 0 THEN max(l_shipdate) END AS valid_to
 FROM {lineitem} GROUP BY l_suppkey, l_partkey""",
     "names": """
-SELECT 10000000 + c_custkey AS seq, 'customer:' || CAST(c_custkey AS STRING) AS entity_id, c_name AS display_name, {ts:1995-01-01 00:00:00} AS valid_from, CASE WHEN c_custkey % 10 = 0 THEN {ts:1998-01-01 00:00:00} END AS valid_to, c_custkey % 10 <> 0 AS is_primary FROM {customer}
-UNION ALL SELECT 20000000 + c_custkey, 'customer:' || CAST(c_custkey AS STRING), c_name || ' Renamed', {ts:1998-01-01 00:00:00}, CAST(NULL AS {tstype}), true FROM {customer} WHERE c_custkey % 10 = 0
-UNION ALL SELECT 30000000 + c_custkey, 'customer:' || CAST(c_custkey AS STRING), 'Alias ' || c_mktsegment || ' ' || CAST(c_custkey % 20 AS STRING), {ts:1996-01-01 00:00:00}, CAST(NULL AS {tstype}), false FROM {customer} WHERE c_custkey % 10 = 1
-UNION ALL SELECT 40000000 + s_suppkey, 'supplier:' || CAST(s_suppkey AS STRING), s_name, {ts:1995-01-01 00:00:00}, CAST(NULL AS {tstype}), true FROM {supplier}
-UNION ALL SELECT 50000000 + p_partkey, 'part:' || CAST(p_partkey AS STRING), p_name, {ts:1995-01-01 00:00:00}, CAST(NULL AS {tstype}), true FROM {part}""",
+SELECT 10000000 + c_custkey AS seq, 'customer:' || CAST(c_custkey AS STRING) AS entity_id, c_name AS display_name, CAST(NULL AS STRING) AS slug, {ts:1995-01-01 00:00:00} AS valid_from, CASE WHEN c_custkey % 10 = 0 THEN {ts:1998-01-01 00:00:00} END AS valid_to, c_custkey % 10 <> 0 AS is_primary FROM {customer}
+UNION ALL SELECT 20000000 + c_custkey, 'customer:' || CAST(c_custkey AS STRING), c_name || ' Renamed', 'renamed-' || CAST(c_custkey AS STRING), {ts:1998-01-01 00:00:00}, CAST(NULL AS {tstype}), true FROM {customer} WHERE c_custkey % 10 = 0
+UNION ALL SELECT 30000000 + c_custkey, 'customer:' || CAST(c_custkey AS STRING), 'Alias ' || c_mktsegment || ' ' || CAST(c_custkey % 20 AS STRING), CAST(NULL AS STRING), {ts:1996-01-01 00:00:00}, CAST(NULL AS {tstype}), false FROM {customer} WHERE c_custkey % 10 = 1
+UNION ALL SELECT 40000000 + s_suppkey, 'supplier:' || CAST(s_suppkey AS STRING), s_name, 'vendor-' || CAST(s_suppkey % 500 AS STRING), {ts:1995-01-01 00:00:00}, CAST(NULL AS {tstype}), true FROM {supplier}
+UNION ALL SELECT 50000000 + p_partkey, 'part:' || CAST(p_partkey AS STRING), p_name, CAST(NULL AS STRING), {ts:1995-01-01 00:00:00}, CAST(NULL AS {tstype}), true FROM {part}""",
     "observations": """
 SELECT event_id AS seq, event_type AS metric_id, 'session:' || CAST(user_id AS STRING) AS entity_id, value, ts FROM {events}
 UNION ALL SELECT 1000000000 + o_orderkey, 'total', 'order:' || CAST(o_orderkey AS STRING), o_totalprice, o_orderdate FROM {orders} WHERE o_orderkey % 9 <> 0""",

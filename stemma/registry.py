@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import graph, metrics, mutate, resolve, rules, state, temporal
 from .operators.temporal import at_literal
+from .session import numbered
+from .sources.store import Store
 
 
 @dataclass(frozen=True)
@@ -27,15 +29,16 @@ class Registry:
 
     def _logged(self, event_type: str, subjects: DataFrame, value: str | None = None, kind: str | None = None, **tables: DataFrame) -> Registry:
         text = lambda c: F.col(c) if c else F.lit(None).cast("string")
-        rows = subjects.select(F.lit(event_type).alias("event_type"), F.col("uid").alias("subject_entity"), text(kind).alias("entity_type"), text(value).alias("new_value"))
-        top = self.events.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__top"))
-        rows = rows.crossJoin(F.broadcast(top)).withColumn("seq", F.col("__top") + 1).withColumn("ts", at_literal(self.at)).drop("__top")
+        turn = F.col("seq") if "seq" in subjects.columns else F.lit(0)
+        rows = subjects.select(F.lit(event_type).alias("event_type"), F.col("uid").alias("subject_entity"), text(kind).alias("entity_type"), text(value).alias("new_value"), turn.cast("bigint").alias("__turn"))
+        rows = mutate.after(self.events, rows, ["__turn", "subject_entity", "new_value"]).withColumn("ts", at_literal(self.at)).drop("__turn")
         return replace(self, events=self.events.unionByName(rows, allowMissingColumns=True), **tables)
 
     def create(self, new: DataFrame) -> Registry:
-        """new: uid, entity_type, display_name."""
-        named = mutate.add_edges(self.names, new.select(F.col("uid").alias("entity_id"), "display_name", F.lit(True).alias("is_primary")), self.at)
-        return self._logged("entity.created", new, "display_name", "entity_type", entities=mutate.create(self.entities, new.select("uid", "entity_type")), names=named)
+        """new: uid, entity_type, display_name; seq, if they are to follow that order instead of that of uid."""
+        turn = [c for c in new.columns if c == "seq"]
+        named = mutate.add_edges(self.names, new.select(F.col("uid").alias("entity_id"), "display_name", F.lit(True).alias("is_primary"), *turn), self.at)
+        return self._logged("entity.created", new, "display_name", "entity_type", entities=mutate.create(self.entities, new.select("uid", "entity_type", *turn)), names=named)
 
     def set_status(self, uids: DataFrame, status: str) -> Registry:
         kind = f"entity.{status}" if status in ("deprecated", "archived") else "entity.lifecycle_changed"
@@ -68,8 +71,7 @@ class Registry:
         return self._with_lineage(line)._logged("entity.deprecated", uids, entities=after)
 
     def _with_lineage(self, rows: DataFrame) -> Registry:
-        top = self.lineage.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__top"))
-        new = rows.crossJoin(F.broadcast(top)).withColumn("seq", F.col("__top") + 1).drop("__top")
+        new = mutate.after(self.lineage, rows.drop("seq"), ["entity_id", "related_id", "lineage_type"])
         return replace(self, lineage=self.lineage.unionByName(new, allowMissingColumns=True))
 
     def add_lineage(self, rows: DataFrame) -> Registry:
@@ -96,3 +98,32 @@ class Registry:
 
     def recovered(self, up_to: str | None = None) -> DataFrame:
         return state.recover(self.events, up_to)
+
+    def save(self, path: str) -> None:
+        """Writes all tables as a store: keyed and listed files anew, logs rewritten in order of seq."""
+        store = Store(self.entities.sparkSession, path)
+        text = lambda df, *names: df.withColumns({c: F.date_format(c, _ISO) for c in names})
+        store.save_keyed("entities", self.entities.drop("seq"), "uid")
+        store.save_names(text(self.names, "valid_from", "valid_to"))
+        store.save_edges(text(self.hierarchy, "valid_from", "valid_to"), text(self.relations, "valid_from", "valid_to"))
+        store.rewrite("lineage", self.lineage)
+        store.rewrite("observations", text(self.observations, "ts").withColumnRenamed("ts", "timestamp"))
+        events = self.events.withColumn("payload", F.to_json(F.struct("entity_type"))).drop("entity_type")
+        store.rewrite("events", text(events, "ts").withColumnRenamed("ts", "timestamp"))
+        store.save_listed("variables", self.variables)
+
+
+_ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def open_store(spark: SparkSession, path: str, at: str) -> Registry:
+    """The registry that a store holds, empty tables where files are missing. Entities are in order of uid, as they are saved;
+    variables are set one after the other, constraints and constants being checked; a time that isn't one is null."""
+    store = Store(spark, path)
+    times = lambda df, *names: df.withColumns({c: F.expr(f"try_cast({c} as timestamp_ntz)") for c in names})
+    logged = lambda df: times(df, "timestamp").withColumnRenamed("timestamp", "ts")
+    window = ("valid_from", "valid_to")
+    return Registry(
+        numbered(store.entities(), ["uid"]), times(store.names(), *window), times(store.hierarchy_edges(), *window), times(store.relation_edges(), *window),
+        store.lineage(), logged(store.observations()), logged(store.events()).withColumn("entity_type", F.get_json_object("payload", "$.entity_type")), rules.set_variables(store.variables()), at,
+    )

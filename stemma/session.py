@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def session(name: str = "stemma", **conf: str) -> SparkSession:
@@ -15,9 +16,35 @@ def session(name: str = "stemma", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. A local one is made only where that is unset and Spark is one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="stemma-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to ``spark.checkpoint.dir``, so that a loop's plan stays short and survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stemma-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
+    """``rows`` with dense numbers from 1 in the given order, without a window over all of them.
+
+    Rows are dealt by ranges of the order and sorted there; a number is the place in the range plus the sizes of the ranges
+    before it, of which there are as many as shuffle partitions. Written first, so that numbers are the same at every reading.
+    """
+    placed = rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
+    placed = checkpointed(placed.withColumn("__at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy(F.shiftright("__at", 33).alias("__range")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    out = placed.withColumn("__range", F.shiftright("__at", 33)).join(F.broadcast(starts), "__range")
+    return out.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__range", "__start")

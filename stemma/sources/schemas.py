@@ -6,7 +6,7 @@ EDGE = "edge_type string, parent_id string, child_id string, source_id string, t
 LINEAGE = "entity_id string, related_id string, lineage_type string, recorded_at string, metadata string"
 OBSERVATION = "metric_id string, entity_id string, value double, timestamp string, source string, metadata string"
 EVENT = "event_type string, source string, subject_entity string, changed_property string, previous_value string, new_value string, payload string, timestamp string"
-VARIABLE = "key string, value string, var_type string, mutability string, scope string, entity_id string, description string, updated_at string"
+VARIABLE = "key string, value string, var_type string, mutability string, scope string, entity_id string, constraint struct<allowed_values: array<string>, min_value: double, max_value: double, pattern: string, required: boolean>, description string, updated_at string"
 METRIC = "metric_id string, name string, metric_type string, unit string, description string, aggregation string, entity_type_scope string, metadata string"
 VERSION = "version_id string, timestamp string, change_type string, change_reason string, affected_entities array<string>, details string"
 CLAIM = "action string, agent string, handle string, organ string, repo string, scope string, timestamp string"

@@ -1,22 +1,66 @@
 """Reading and writing a registry: line logs, keyed JSON objects, and bootstrap from a source registry.
 
 All paths may be of any store that Spark reads. Lines keep their order in ``seq``
-(file, then place in the file), which later operators take as insertion order.
+(append, file, then place in the file), which later operators take as insertion order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import entity_uid, slugify
+from ..functions.text import entity_uid, slugify, ulid
+from ..session import numbered
 from . import schemas as S
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _hadoop(spark, path)
+    return fs.exists(where)
+
+
+def log_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a log, oldest first: ``path`` itself or its folder, by time of change and name, then the appends by number
+    (folders ``append-<n>``, in ``path`` or, if that is a file, in ``path.d``), each in order of its parts."""
+    found = []
+    for at in (path, f"{path}.d"):
+        fs, where = _hadoop(spark, at)
+        if fs.exists(where):
+            each = fs.listFiles(where, True)
+            while each.hasNext():
+                status = each.next()
+                name = status.getPath().toUri().toString()
+                parts = name.rsplit("/", 2)
+                if parts[-1].startswith(("_", ".")):
+                    continue
+                number = int(parts[-2].removeprefix("append-")) if re.fullmatch(r"append-\d+", parts[-2]) else None
+                found.append(((0, status.getModificationTime(), name) if number is None else (1, number, name), name))
+    return [name for _, name in sorted(found)]
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """seq, value of all lines that aren't blank; seq ascends in a file, and files follow each other as Spark lists them."""
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq"))
-    return rows.where(F.trim("value") != "").select("seq", "value")
+    """seq, value of all lines that aren't blank, seq ascending in order of appending; none if there is no such log.
+
+    A number holds the file's place, and below that where the line's split starts plus its row there. Rows are fewer than bytes
+    and a split that isn't a file's last fills a task, so numbers ascend within a file.
+    """
+    files = [re.sub(":/+", ":/", f) for f in log_files(spark, path)]
+    if not files:
+        return spark.createDataFrame([], "seq long, value string")
+    at = [p for p in (path, f"{path}.d") if _exists(spark, p)]
+    rows = spark.read.option("recursiveFileLookup", "true").text(at)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.select("value", F.regexp_replace("_metadata.file_path", ":/+", ":/").alias("__file"), (F.col("_metadata.file_block_start") + row).alias("__at"))
+    known = spark.createDataFrame(list(zip(files, range(len(files)))), "__file string, __rank long")
+    rows = rows.join(F.broadcast(known), "__file")
+    return rows.where(F.trim("value") != "").select((F.shiftleft("__rank", 42) + F.col("__at")).alias("seq"), "value")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
@@ -29,13 +73,17 @@ def json_lines(spark: SparkSession, path: str, schema: str, required: tuple[str,
 
 
 def keyed_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of one JSON object of objects, in the order of its keys' text."""
+    """Rows of one JSON object of objects, in the order of its keys' text. The format makes it one value, read in one task."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], f"__key string, {schema}")
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, struct<{schema}>>").alias("m"))
     return text.select(F.explode("m").alias("__key", "x")).select("__key", "x.*")
 
 
 def listed_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of one JSON list of objects, with seq."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], f"seq long, {schema}")
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{schema}>>").alias("a"))
     return text.select(F.posexplode("a").alias("seq", "x")).select(F.col("seq").cast("bigint").alias("seq"), "x.*")
 
@@ -86,9 +134,44 @@ class Store:
         return keyed_json(self.spark, self.at("metrics"), S.METRIC).drop("__key")
 
     def append(self, table: str, rows: DataFrame) -> None:
-        """Adds lines to a log, in order of seq where there is one. The log is a folder of text files, one or more an append."""
-        ordered = rows.sortWithinPartitions("seq").drop("seq") if "seq" in rows.columns else rows
-        ordered.select(F.to_json(F.struct(*ordered.columns)).alias("value")).write.mode("append").text(self.at(table))
+        """Adds lines to a log, in order of seq where there is one: a new folder ``append-<n>``, its parts in that order. Of two
+        writers that take the same number one fails."""
+        self._write(table, rows, self.at(table))
+
+    def _write(self, table: str, rows: DataFrame, path: str) -> None:
+        fs, where = _hadoop(self.spark, path)
+        if fs.exists(where) and fs.getFileStatus(where).isFile():
+            path = f"{path}.d"
+            fs, where = _hadoop(self.spark, path)
+        taken = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+        number = max([int(n.removeprefix("append-")) for n in taken if re.fullmatch(r"append-\d+", n)], default=0) + 1
+        ordered = rows.repartitionByRange("seq").sortWithinPartitions("seq").drop("seq") if "seq" in rows.columns else rows
+        ordered.select(F.to_json(F.struct(*ordered.columns)).alias("value")).write.mode("error").text(f"{path}/append-{number:08d}")
+
+    def rewrite(self, table: str, rows: DataFrame) -> None:
+        """Replaces a log by ``rows``, which may be read from it: written aside first, then moved to its place."""
+        path = self.at(table)
+        self._write(table, rows, f"{path}.new")
+        fs, where = _hadoop(self.spark, path)
+        for old in (where, _hadoop(self.spark, f"{path}.d")[1]):
+            fs.delete(old, True)
+        fs.rename(_hadoop(self.spark, f"{path}.new")[1], where)
+
+    def save_names(self, names: DataFrame) -> None:
+        """Rewrites the names by entity, each entity's in order of appending."""
+        self.rewrite("names", numbered(names.withColumnRenamed("seq", "__seq"), ["entity_id", "__seq"]).drop("__seq"))
+
+    def save_edges(self, hierarchy: DataFrame, relations: DataFrame) -> None:
+        """Rewrites both kinds of edges, hierarchy first, each in order of appending."""
+        one = hierarchy.withColumnsRenamed({"seq": "__seq"}).withColumn("edge_type", F.lit("hierarchy"))
+        both = one.unionByName(relations.withColumnsRenamed({"seq": "__seq"}).withColumn("edge_type", F.lit("relation")), allowMissingColumns=True)
+        self.rewrite("edges", numbered(both, ["edge_type", "__seq"]).drop("__seq"))
+
+    def save_listed(self, table: str, rows: DataFrame) -> None:
+        """Rewrites a listed table as one JSON list in order of seq: one small file by its format."""
+        own = [c for c in rows.columns if c != "seq"]
+        listed = rows.select(F.struct("seq", F.struct(*own).alias("v")).alias("x")).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("a"))
+        listed.select(F.to_json("a").alias("value")).coalesce(1).write.mode("overwrite").text(self.at(table))
 
     def save_keyed(self, table: str, rows: DataFrame, key: str) -> None:
         """Rewrites a keyed table as one JSON object with ascending keys: one small file by its format."""
@@ -100,6 +183,21 @@ def versions_by_entity(versions: DataFrame, uid: str) -> DataFrame:
     return versions.where(F.array_contains("affected_entities", uid))
 
 
+def versions_by_type(versions: DataFrame, change_type: str) -> DataFrame:
+    return versions.where(F.col("change_type") == change_type)
+
+
+def recent_versions(versions: DataFrame, n: int = 20) -> DataFrame:
+    """The last ``n`` by seq; all with 0."""
+    return versions.orderBy(F.desc("seq")).limit(n) if n else versions
+
+
+def create_versions(changes: DataFrame, millis: Column) -> DataFrame:
+    """From (key, timestamp, change_type, change_reason, affected_entities, details) rows of the version log; the identifier comes
+    from the time and the key, so a retried task gives the same."""
+    return changes.select(F.concat(F.lit("sv_"), ulid(millis, F.col("key"))).alias("version_id"), "timestamp", "change_type", "change_reason", F.coalesce("affected_entities", F.array().cast("array<string>")).alias("affected_entities"), "details")
+
+
 def repositories(spark: SparkSession, path: str) -> DataFrame:
     """seq, organ_key, organ_name and the fields of every repository of a source registry."""
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", S.REGISTRY).alias("r"))
@@ -118,19 +216,22 @@ def bootstrap(repos: DataFrame, entities: DataFrame, edges: DataFrame, at_millis
     """New entities (organs by organ_key, repositories by org/name) and hierarchy edges of those that aren't there yet.
 
     entities: uid, entity_type, tag (an organ's key or a repository's org/name). Existing rows are left as they are;
-    equal repositories inside one file are all created; one without org or name never counts as existing.
+    equal repositories inside one file are all created; one without org or name never counts as existing. Of several organs
+    with one key the last by seq (where entities have it) is the parent.
     """
     uid = lambda kind, key: entity_uid(F.lit(kind), F.lit(at_millis), key)
     have = entities.select("entity_type", "tag")
-    organs = repos.groupBy(F.col("organ_key").alias("tag")).agg(F.first("organ_name").alias("name"))
+    organs = repos.groupBy(F.col("organ_key").alias("tag")).agg(F.min_by("organ_name", "seq").alias("name"))
     organs = organs.join(have.where("entity_type = 'organ'"), "tag", "left_anti").select(uid("organ", F.col("tag")).alias("uid"), F.lit("organ").alias("entity_type"), "tag", "name")
     named = repos.where("name is not null or org is not null").withColumn("tag", F.concat_ws("/", F.coalesce("org", F.lit("")), F.coalesce("name", F.lit(""))))
     whole = (F.coalesce("org", F.lit("")) != "") & (F.coalesce("name", F.lit("")) != "")
     known = have.where("entity_type = 'repo'").select("tag").distinct().withColumn("__known", F.lit(True))
     fresh = named.join(known, "tag", "left").where(F.col("__known").isNull() | ~whole)
     fresh = fresh.select(uid("repo", F.concat_ws("#", "tag", F.col("seq").cast("string"))).alias("uid"), F.lit("repo").alias("entity_type"), "tag", "name", "organ_key")
-    every = entities.select("uid", "entity_type", "tag").unionByName(organs.drop("name")).unionByName(fresh.select("uid", "entity_type", "tag"))
-    parents = every.where("entity_type = 'organ'").groupBy(F.col("tag").alias("organ_key")).agg(F.max("uid").alias("parent_id"))
+    place = F.col("seq") if "seq" in entities.columns else F.lit(0)
+    every = entities.select("uid", "entity_type", "tag", place.cast("bigint").alias("place"))
+    every = every.unionByName(organs.drop("name").unionByName(fresh.select("uid", "entity_type", "tag")).withColumn("place", F.lit((1 << 63) - 1)))
+    parents = every.where("entity_type = 'organ'").groupBy(F.col("tag").alias("organ_key")).agg(F.max_by("uid", F.struct("place", "uid")).alias("parent_id"))
     kids = named.select("tag", "organ_key").distinct().join(every.where("entity_type = 'repo'").select("tag", F.col("uid").alias("child_id")), "tag")
     links = kids.join(parents, "organ_key").select("parent_id", "child_id").distinct()
     links = links.join(edges.where("valid_to is null").select("parent_id", "child_id"), ["parent_id", "child_id"], "left_anti")

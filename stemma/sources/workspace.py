@@ -32,6 +32,8 @@ def recent_commits(spark: SparkSession, workspace: str, since: str = "24 hours a
     """entity_id, commits of repositories with recent ones; one that git can't read has none."""
     rows = []
     for d in repository_dirs(workspace, (1, 2, 3)):
+        if not (d / ".git").exists():  # elsewhere git would report an enclosing repository
+            continue
         try:
             out = subprocess.run(["git", "-C", str(d), "log", f"--since={since}", "--format=%H"], capture_output=True, text=True, timeout=timeout)
         except (OSError, subprocess.TimeoutExpired):

@@ -20,7 +20,7 @@ from ..sources.schemas import CLAIM, EVENT
 def event_stream(spark: SparkSession, path: str, schema: str = EVENT) -> DataFrame:
     """New lines of a log folder, malformed ones left out; ts is the timestamp."""
     x = F.from_json("value", schema + ", __bad string", {"columnNameOfCorruptRecord": "__bad"})
-    rows = spark.readStream.text(path).select(x.alias("x")).where("x is not null and x.__bad is null").select("x.*").drop("__bad")
+    rows = spark.readStream.option("recursiveFileLookup", "true").text(path).select(x.alias("x")).where("x is not null and x.__bad is null").select("x.*").drop("__bad")
     return rows.withColumn("ts", F.try_to_timestamp("timestamp"))
 
 
@@ -39,6 +39,27 @@ def signals_to_events(signals: DataFrame) -> DataFrame:
     return emit(normalize(signals))
 
 
+class Bus:
+    """Handlers of event types, ``*`` being all; a handler may be subscribed several times."""
+
+    def __init__(self) -> None:
+        self.handlers: dict[str, list[Callable[[DataFrame], None]]] = {}
+
+    def subscribe(self, event_type: str, handler: Callable[[DataFrame], None]) -> None:
+        self.handlers.setdefault(event_type, []).append(handler)
+
+    def unsubscribe(self, event_type: str, handler: Callable[[DataFrame], None]) -> None:
+        """Takes a handler's first subscription away; an unknown one changes nothing."""
+        if handler in self.handlers.get(event_type, []):
+            self.handlers[event_type].remove(handler)
+
+    def clear(self) -> None:
+        self.handlers.clear()
+
+    def attach(self, stream: DataFrame, checkpoint: str):
+        return dispatch(stream, self.handlers, checkpoint)
+
+
 def dispatch(stream: DataFrame, handlers: dict[str, list[Callable[[DataFrame], None]]], checkpoint: str):
     """Runs each batch through the handlers of its types, then those of ``*``; an exception ends the query and the batch is run again."""
 
@@ -57,14 +78,14 @@ def value_changes(stream: DataFrame) -> DataFrame:
     """entity_id, previous_value, value of each change of value of (entity_id, seq, value) rows; a first value seeds the state and is silent."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        seeded, out = state.exists, []
-        for row in pd.concat(list(parts)).sort_values("seq").itertuples():
-            if seeded and row.value != last:
-                out.append((key[0], last, row.value))
-            last, seeded = row.value, True
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["entity_id", "previous_value", "value"])
+        values = pd.concat(list(parts)).sort_values("seq")["value"]
+        values = values.astype(object).where(values.notna(), None).reset_index(drop=True)
+        old = values.shift(1)
+        old.iloc[0] = state.get[0] if state.exists else values.iloc[0]
+        old = old.where(old.notna(), None)
+        moved = (values != old) & ~(values.isna() & old.isna())
+        state.update((values.iloc[-1],))
+        yield pd.DataFrame({"entity_id": key[0], "previous_value": old[moved], "value": values[moved]})
 
     return stream.groupBy("entity_id").applyInPandasWithState(step, "entity_id string, previous_value string, value string", "value string", "append", GroupStateTimeout.NoTimeout)
 
