@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, forget
 from .temporal import as_of, last_by, parent_of
 
 
@@ -24,7 +24,9 @@ def _merged(parts: list[DataFrame]) -> list[DataFrame]:
     """Written tables as one, once there are several: plans stay short however deep a graph is, and a row is rewritten rarely."""
     if len(parts) < MERGE_AT:
         return parts
-    return [checkpointed(reduce(DataFrame.union, parts))]
+    whole = checkpointed(reduce(DataFrame.union, parts))
+    forget(*parts[:-1])  # the last is still the frontier
+    return [whole]
 
 
 def descend(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, stored: bool = False) -> DataFrame:
@@ -84,7 +86,8 @@ def depths(up: DataFrame) -> DataFrame:
         onward = known.select(F.col("node").alias("far"), F.col("far").alias("__far"), F.col("depth").alias("__more"), F.col("open").alias("__open"))
         step = known.where("open").join(onward, "far", "left")
         step = step.select("node", F.coalesce("__far", "far").alias("far"), (F.col("depth") + F.coalesce("__more", F.lit(0))).alias("depth"), F.coalesce("__open", F.lit(False)).alias("open"))
-        known = checkpointed(step.union(known.where("not open").select("node", "far", "depth", "open")))
+        old, known = known, checkpointed(step.union(known.where("not open").select("node", "far", "depth", "open")))
+        forget(old)
         if not known.where("open").limit(1).count():
             return known.select("node", "depth")
     rest = ascend(up, known.where("open")).groupBy("node").agg(F.max("distance").alias("depth"))
@@ -131,13 +134,14 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node) over undirected links (a, b): smallest label of the neighbourhood, then pointer jumping."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = checkpointed(both)
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component"))
+    labels, last = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")), both.limit(0)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         low = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("next"))
         new = checkpointed(low.join(jump, "low").select("node", F.least("low", "next").alias("new"), F.col("component").alias("old")))
-        labels = new.select("node", F.col("new").alias("component"))
+        forget(last)
+        labels, last = new.select("node", F.col("new").alias("component")), new
         if not new.where("new <> old").limit(1).count():
             return labels
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ulid
-from ..session import checkpointed
+from ..session import checkpointed, forget
 
 #: Change types of signals, scopes from broad to narrow, and the allowed steps of a revision.
 SIGNAL_CHANGES = {
@@ -197,12 +197,13 @@ def referred(variables: DataFrame, environment: dict[str, str]) -> DataFrame:
     end = F.coalesce(F.col("mutability") != "reference", F.lit(True)) | F.col("value").isNull()
     t = globals_.select("key", F.when(outside, _from(environment, name, None)).otherwise(F.col("value")).alias("value"), end.alias("done"))
     t = checkpointed(t)
-    for _ in range(64):
+    for _ in range(max(2, t.count()).bit_length() + 2):
         if not t.where("not done").limit(1).count():
             return t.select(F.col("key").alias("__key"), F.col("value").alias("__target"))
         to = t.select(F.col("key").alias("__to"), F.col("value").alias("__value"), F.col("done").alias("__done"))
         step = t.join(to, ~F.col("done") & (F.col("value") == F.col("__to")), "left")
-        t = checkpointed(step.select("key", F.when(F.col("done"), F.col("value")).otherwise(F.col("__value")).alias("value"), (F.col("done") | F.coalesce("__done", F.lit(True))).alias("done")))
+        old, t = t, checkpointed(step.select("key", F.when(F.col("done"), F.col("value")).otherwise(F.col("__value")).alias("value"), (F.col("done") | F.coalesce("__done", F.lit(True))).alias("done")))
+        forget(old)
     raise ValueError("variables refer to each other in a circle")
 
 
