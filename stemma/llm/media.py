@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize
+from .shared import TIGHT, discard, materialize
 from .textops import buffers, slices
 
 UNIT = 64
@@ -237,8 +237,8 @@ def read_back(stored: DataFrame, rate: int = PCM_RATE) -> DataFrame:
 def report(docs: DataFrame, rate: int = PCM_RATE) -> DataFrame:
     """The digest columns of the contract of op2, with the length and hash of the PCM. The media column is written and
     read back, and so is the column of resampled PCM."""
-    stored = materialize(store(docs), "media")
-    found = materialize(read_back(stored, rate), "pcm")
+    stored = materialize(store(docs), "media", options=TIGHT)
+    found = materialize(read_back(stored, rate), "pcm", options=TIGHT)
     discard(stored)
     return found.select(*found.columns[:-1], F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))
 

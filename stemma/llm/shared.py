@@ -34,14 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+#: For tables of large binary values: pages that hold several of them, and more effort.
+TIGHT = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(4 << 20)}
+
+
+def materialize(df: DataFrame, name: str, by: list[str] | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder, in folders by the columns ``by``, and return a scan of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stemma/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
+        df.write.option("compression", "zstd").options(**options or {}).partitionBy(*by or []).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
