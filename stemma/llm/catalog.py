@@ -95,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": decontaminate.ORACLE, "op8_url_filters": urlrules.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op4_minhash_near_dedup": neardup.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op8_url_filters": urlrules.ORACLE, "op10_mixing": mixing.ORACLE}

@@ -291,3 +291,28 @@ def drop_copies(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFram
     repeated = docs.join(once.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__mark")))
     first = repeated.select(*[docs[c] for c in docs.columns], "__id", "__mark").dropDuplicates(["__id", "__mark"]).drop("__id", "__mark")
     return without(docs, materialize(gone.union(once), "gone")).union(first)
+
+
+#: Every pair that shares a shingle is counted: for small tables only. doc_ids are taken to be different.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS shingle
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS MATERIALIZED (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), e AS (
+  SELECT x, y FROM l UNION SELECT y, x FROM l
+), reach AS (
+  SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y
+), low AS (
+  SELECT x AS doc_id, min(y) AS y FROM reach GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low.y, d.doc_id))::BIGINT AS component_id, coalesce(low.y, d.doc_id) >= d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
