@@ -13,7 +13,8 @@ fewer is used whole. All texts are judged whole, each by itself.
 Nulls: a null or letterless text is ``und`` with score 0, as is any text if no
 language could be learned. Rows without language or doc_id are not learned from.
 Ties go to the smaller n-gram and the first language by code point. Repeated
-rows count and are judged each. Other columns are not looked at.
+rows count and are judged each. Other columns are not looked at. An empty table
+gives an empty result; a very long text is a slice of its own.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ Nulls: a null or empty text has no lines and the score of a document whose lines
 are neither (mean 0.5). Rows without label or doc_id are not learned from;
 without any labelled row, or with one class only, every score is the share of
 good labels (0.5 if there are none). Repeated rows are learned from and scored
-each. Labels, lang, source and doc_id are no features; other columns are not
+each; an empty table gives an empty result. Of lines that are equally bad the first
+is the worst. A very long text is scored whole, its lines one numpy step each. Labels, lang, source and doc_id are no features; other columns are not
 looked at.
 """
 

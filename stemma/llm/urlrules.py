@@ -12,8 +12,9 @@ rules than that, the sorted urls are swept once a block. No row is shuffled, so
 a host that owns a third of all urls is no burden to any single task.
 
 Nulls: a null url, or one without ``://``, has an empty host and path and fits no
-rule. A rule without host is void. Repeated rows are judged each. Other columns
-of the input are not looked at.
+rule. A rule without host is void. Repeated rows are judged each; without rows or
+rules there are no judgements or none but ``allow``. Of rules with equal host and
+path, block wins. A very long url is one row. Other columns are not looked at.
 """
 
 from __future__ import annotations
