@@ -15,7 +15,7 @@ Nulls: a null or empty text has the bias alone; rows without label or doc_id are
 not learned from. Repeated rows and texts are learned from and scored each. Without any
 labelled row every score is 0. An empty table gives an empty result; a very long
 text is a slice of its own. Learning takes the rows in order of a hash of their
-id, rows of equal id in any order. Labels, lang, source and doc_id are no features;
+id, then of id, text and label, so rows that tie are equal. Labels, lang, source and doc_id are no features;
 other columns are not looked at.
 """
 
