@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -217,36 +218,34 @@ def search(index: DataFrame, block: tuple[list[bytes], list[list[str]]], slop: i
     return index.mapInArrow(run, FOUND)
 
 
-def passes(docs: DataFrame, benchmark: DataFrame, window: int, slop: int, segment_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """The index, and what all blocks of windows find in it, both written."""
+def passes(docs: DataFrame, benchmark: DataFrame, window: int, slop: int, segment_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The index, and what each block of windows finds in it, all written."""
     windows = windows_of(benchmark, window)
     index = build_index(docs, None, segment_bytes, window)
     found = [materialize(search(index, b, slop), "hits") for b in blocks_of(windows)] or [materialize(index.sparkSession.createDataFrame([], FOUND), "hits")]
     discard(windows)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return index, every
+    return index, found
 
 
 def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, segment_bytes: int = SEGMENT_BYTES) -> tuple[DataFrame, DataFrame]:
     """(doc_id, mark, n_words of every row of ``docs``; doc_id, mark, n_words, n_hit, items of those with hits, once each)."""
     index, found = passes(docs, benchmark, window, slop, segment_bytes)
     # Repeated rows give equal sets of hits; a document has one set a block of windows at most.
-    hits = found.groupBy("doc_id", "mark", "n_words").agg(
+    hits = reduce(DataFrame.unionByName, found).groupBy("doc_id", "mark", "n_words").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("hits")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
     sizes = index.select(F.explode(F.arrays_zip("doc_ids", "marks", "sizes")).alias("x")).select(F.col("x.doc_ids").alias("doc_id"), F.col("x.marks").alias("mark"), F.col("x.sizes").cast("long").alias("n_words"))
     out = materialize(sizes, "sizes"), materialize(hits, "found")
-    discard(index)
+    discard(index, *found)
     return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, slop: int = 0, window: int = WINDOW, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """doc_id, item_id, starts: how many places begin a window of the item, each of its words at most ``slop`` words from its
     place. Repeated rows count each."""
-    _, found = passes(docs, benchmark, window, slop, segment_bytes)
-    rows = found.select("doc_id", F.explode(F.arrays_zip("items", "starts")).alias("x")).select("doc_id", F.col("x.items").alias("item_id"), F.col("x.starts").alias("n"))
+    index, found = passes(docs, benchmark, window, slop, segment_bytes)
+    discard(index)
+    rows = reduce(DataFrame.unionByName, found).select("doc_id", F.explode(F.arrays_zip("items", "starts")).alias("x")).select("doc_id", F.col("x.items").alias("item_id"), F.col("x.starts").alias("n"))
     return rows.groupBy("doc_id", "item_id").agg(F.sum("n").alias("starts"))
 
 

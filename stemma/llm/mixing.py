@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -80,7 +80,9 @@ def seeded(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     rows = per.join(found, F.col("__source").eqNullSafe(F.col("__own")))
     off = lambda i: F.abs(F.floor("__rate") * F.col("source_size") + F.col(f"s{i}") - F.col("target"))
     best = F.least(*[F.struct(off(i).alias("off"), F.lit(i).alias("seed")) for i in range(SEEDS)])
-    return materialize(rows.select("__source", "source_size", "target", "__rate", best["seed"].alias("__seed")), "seeds")
+    out = materialize(rows.select("__source", "source_size", "target", "__rate", best["seed"].alias("__seed")), "seeds")
+    discard(per)
+    return out
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -101,6 +103,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     source = docs["source"]
     sizes = materialize(docs.select(docs["doc_id"].alias("doc_id"), source.alias("source"), word_count(docs["text"]).alias("size")), "sizes")
     per = seeded(sizes, weights, share, most)
+    discard(sizes)
     per = per.select(*[F.col(c).alias(f"__mix_{c}") for c in per.columns])
     joined = docs.join(per, source.eqNullSafe(F.col("__mix___source")), "left")
     number = copies(docs["doc_id"], F.col("__mix___rate"), F.col("__mix___seed"))

@@ -277,20 +277,25 @@ def drop_copies(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFram
     What goes is a written table of ids and hashes of texts. A bounded bitmap of it
     tells which rows have to meet it in a join, so most texts are not shuffled.
     """
-    every = classes(docs, k, percent).where("root is not null")
+    found = classes(docs, k, percent)
+    every = found.where("root is not null")
     least = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = every.where(~least).select("doc_id", "mark")
     again = every.where(least).groupBy("root").agg(F.min("mark").alias("stays"), F.count("*").alias("n")).where("n > 1").select("root", "stays")
     again = materialize(again, "again")
     if not again.limit(1).count():
-        return without(docs, materialize(gone, "gone"))
+        gone = materialize(gone, "gone")
+        discard(found, again)
+        return without(docs, gone)
     # Rows of equal doc_id in one component: the smallest hash of a text stays, once.
     kept = every.where(least).join(again, "root")
     gone = gone.union(kept.where("mark <> stays").select("doc_id", "mark"))
     once = materialize(kept.where("mark = stays").select("doc_id", "mark").distinct(), "once")
     repeated = docs.join(once.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__mark")))
     first = repeated.select(*[docs[c] for c in docs.columns], "__id", "__mark").dropDuplicates(["__id", "__mark"]).drop("__id", "__mark")
-    return without(docs, materialize(gone.union(once), "gone")).union(first)
+    gone = materialize(gone.union(once), "gone")
+    discard(found, again)
+    return without(docs, gone).union(first)
 
 
 #: Every pair that shares a shingle is counted: for small tables only. doc_ids are taken to be different.
