@@ -220,12 +220,12 @@ def _rollup_query(policy: str) -> None:
 {step('reg', 'coalesce(c.v, 0)', "LEFT JOIN nat c ON c.uid = a.child_id WHERE a.parent_id = 'region:1'")},
 mine AS (SELECT child_id FROM act WHERE parent_id = 'region:1'),
 own AS (SELECT child_id FROM act WHERE parent_id IN (SELECT child_id FROM mine))
-SELECT uid AS entity_id, n AS child_count, round(v, 2) AS value FROM reg UNION ALL SELECT uid, n, round(v, 2) FROM nat WHERE uid IN (SELECT child_id FROM mine) UNION ALL SELECT uid, n, round(v, 2) FROM cust WHERE uid IN (SELECT child_id FROM own)"""
+SELECT uid AS entity_id, n AS child_count, round(v, 4) AS value FROM reg UNION ALL SELECT uid, n, round(v, 4) FROM nat WHERE uid IN (SELECT child_id FROM mine) UNION ALL SELECT uid, n, round(v, 4) FROM cust WHERE uid IN (SELECT child_id FROM own)"""
 
     @query(f"a3_rollup_tree_{policy}", tree)
     @_t("hierarchy_edges", "observations")
     def _(h, o):
-        return metrics.rollup_tree(h, o, "total", "region:1", NOW, [policy]).select("entity_id", "child_count", F.round(policy, 2).alias("value"))
+        return metrics.rollup_tree(h, o, "total", "region:1", NOW, [policy]).select("entity_id", "child_count", F.round(policy, 4).alias("value"))
 
 
 for _p in ("sum", "avg", "max", "min", "count", "latest"):
