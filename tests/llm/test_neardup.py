@@ -1,7 +1,9 @@
 """Near duplicates against brute force: all pairs of full sets."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 from oracle import SF
 from pyspark.sql import functions as F
@@ -120,3 +122,38 @@ def test_without_under_clashing_names(spark):
     gone = spark.createDataFrame(rows[1:2] + rows[3:4], docs.schema).select("doc_id", F.xxhash64("text").alias("mark"))
     got = without(docs, gone)
     assert got.schema == docs.schema and sorted(map(tuple, got.collect()), key=str) == sorted(rows[:1] + rows[2:3] + rows[4:], key=str)
+
+
+def test_small_sets_always_meet():
+    rng = random.Random(8)
+    pairs = []
+    for n in range(2, neardup.SMALL + 1):
+        for _ in range(400):
+            words = rng.sample(range(1, 2**62), n + 8)
+            gone = rng.randint(0, n - 1)
+            new = rng.randint(0, 4)
+            a, b = set(words[:n]), set(words[gone : n + new]) if rng.random() < 0.5 else set(words[: n - gone] + words[n : n + new])
+            if a != b and b and len(b) <= neardup.SMALL and 100 * len(a & b) >= 80 * len(a | b):
+                pairs.append((a, b))
+    assert len(pairs) > 500 and {len(a) for a, _ in pairs} >= set(range(4, neardup.SMALL + 1))
+    sets = [np.array(sorted(s), np.uint64) for p in pairs for s in p]
+    found = neardup.small_buckets(sets, 80)
+    assert all(set(found[2 * i].tolist()) & set(found[2 * i + 1].tolist()) for i in range(len(pairs)))
+    assert neardup.small_buckets([np.arange(n, dtype=np.uint64) for n in (0, 1, 2, 20)], 80) == {}
+
+
+def test_many_small_texts(spark):
+    rng = random.Random(9)
+    base = [[f"w{rng.randint(0, 300)}" for _ in range(rng.randint(1, 22))] for _ in range(150)]
+    texts = [*base, *base[:20]]
+    for w in base:
+        for _ in range(3):
+            own = list(w)
+            if rng.random() < 0.5:
+                own.append(f"x{rng.randint(0, 5)}")
+            else:
+                own[rng.choice((0, -1))] = f"y{rng.randint(0, 5)}"
+            texts.append(own)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in neardup.report(docs).collect()) == brute(rows, 2)
