@@ -71,7 +71,9 @@ def test_ftrl_against_loop():
     assert model.weights(np.arange(10)) == pytest.approx([w(i) for i in range(10)])
 
 
-def test_marginals_against_all_paths():
+@pytest.mark.parametrize("stride", [quality.STRIDE, 1, 2])
+def test_marginals_against_all_paths(monkeypatch, stride):
+    monkeypatch.setattr(quality, "STRIDE", stride)
     rng = np.random.default_rng(4)
     first = np.array([0, 3, 3, 4, 9])
     scores, switch = rng.normal(size=9), rng.normal(size=(2, 2))
@@ -88,6 +90,24 @@ def test_marginals_against_all_paths():
     assert bad == pytest.approx(want) and pairs == pytest.approx(edges) and total == pytest.approx(logs)
 
 
+def test_marginals_of_a_very_long_text():
+    rng = np.random.default_rng(6)
+    scores, switch = rng.normal(size=3 * quality.STRIDE + 5), rng.normal(size=(2, 2))
+    first = np.array([0, 7, len(scores)])
+    bad = quality.marginals(scores, first, switch)[0]
+    for a, b in zip(first[:-1], first[1:]):
+        states = [np.array([0.0, scores[a]])]
+        for t in range(a + 1, b):
+            states.append(np.array([0.0, scores[t]]) + np.logaddexp(states[-1][0] + switch[0], states[-1][1] + switch[1]))
+        ahead, want = np.zeros(2), []
+        for t in range(b - 1, a - 1, -1):
+            both = states[t - a] + ahead
+            want.append(math.exp(both[1] - np.logaddexp(*both)))
+            ahead = np.logaddexp(switch[:, 0] + ahead[0], switch[:, 1] + scores[t] + ahead[1])
+        assert bad[a:b] == pytest.approx(want[::-1])
+    assert quality.apply_model({"w": rng.normal(size=3 * quality.NAMES + 1).tolist(), "switch": [1, 0, 0, 1], "curve": [-3, -1, 0, 2]}, pa.array(["a line\n" * 400_000])).shape == (1,)
+
+
 def test_line_features_do_not_cross_texts():
     texts = ["one two\n\nTHREE!! THREE!!\n", None, "", "x | y | z", "a a a a\nb"]
     x, size, first = quality.line_features(pa.array(texts))
