@@ -9,7 +9,8 @@ middle (two-sided), and serial correlation (two-sided). The smallest p-value,
 times three, is the candidate's. Over all candidates of the table a weighted
 Benjamini-Hochberg procedure with weights in proportion to length rejects
 structured strings at the false-discovery rate ``FDR``; what is not rejected
-looks random and becomes a span of kind ``random``, unless a base span overlaps it.
+looks random and becomes a span of kind ``random``. Where base spans cover part of
+a run, what is left of it on either side is a candidate if it is long enough itself.
 P-values are rounded up to twentieths of a power of ten, so the global step needs
 a count for each of at most 801 bins, not a sorted list.
 
@@ -36,7 +37,8 @@ ASSIGN = (
 )
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "(?<![0-9a-f])[0-9a-f]{24,}"
-CANDIDATE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CANDIDATE = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 
 KINDS = ("assign", "access", "hex", "random")
 FDR = 0.05
@@ -137,6 +139,21 @@ def battery(rows: DataFrame, array: str) -> DataFrame:
     return rows
 
 
+def _left(run: Column, covers: Column) -> Column:
+    """The pieces of a run (start, end, token) that the covers, in order of start, leave."""
+
+    def piece(a, b):
+        b = F.greatest(a, b)
+        return F.array(F.struct(a.alias("start"), b.alias("end"), F.substring(run["token"], a - run["start"] + 1, b - a).alias("token")))
+
+    def step(acc, c):
+        return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], F.least(c["start"], run["end"]))).alias("out"))
+
+    none = F.expr("CAST(array() AS array<struct<start:int,end:int,token:string>>)")
+    cut = F.aggregate(covers, F.struct(run["start"].alias("at"), none.alias("out")), step, lambda acc: F.concat(acc["out"], piece(acc["at"], run["end"])))
+    return F.when(F.size(covers) == 0, F.array(run)).otherwise(cut)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, assign, access, hex (spans) and candidates with the bin of their p-value over length; one pass over the texts."""
     spare = F.translate(F.coalesce("text", F.lit("")), "\u0001\u0002", "\u0003\u0003")
@@ -144,7 +161,8 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", _spans("clean", ASSIGN, 2, 6).alias("assign"), _spans("clean", ACCESS).alias("access"), _spans("clean", HEX).alias("hex"), _spans("clean", CANDIDATE).alias("found"))
     bare = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     base = F.concat("assign", "access", "hex")
-    open_ = F.filter("found", lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    left = F.flatten(F.transform("found", lambda x: _left(x, F.array_sort(F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))))
+    open_ = F.filter(left, lambda x: (x["end"] - x["start"] >= LEAST) & x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]"))
     rows = rows.select("doc_id", bare("assign").alias("assign"), bare("access").alias("access"), bare("hex").alias("hex"), open_.alias("found"))
 
     rows = battery(rows, "found")
