@@ -4,8 +4,9 @@ A host's labels are turned round and each is closed by a zero byte, so all
 subdomains of a rule's host share the rule's key as a prefix: the rule covers an
 interval of keys. Urls are sorted by key within each partition and swept once
 against the sorted rules; a stack keeps the rules whose intervals are open,
-nested by construction. The stack's rules are then held against the path, and
-the longest rule wins (by characters; then the longer host; then block).
+nested by construction. Of each host on the stack the longest fitting path is
+looked up by the lengths that its paths have, so a host may have any number of
+path rules, and the longest rule wins (by characters; then the longer host; then block).
 
 Rules are sent to the executors in blocks of at most ``MAX_RULES``; with more
 rules than that, the sorted urls are swept once a block. No row is shuffled, so
@@ -45,10 +46,13 @@ def host_key(host: str) -> bytes:
 
 def _sweep(rules: list[tuple[str, str, str]]):
     """rules: (host, path, verdict). Returns the function for mapInArrow over rows sorted by __key."""
-    at_key: dict[bytes, list] = {}
+    at_key: dict[bytes, tuple[str, dict[str, str]]] = {}
     for host, path, verdict in rules:
         if host:
-            at_key.setdefault(host_key(host), []).append((host, path, verdict))
+            paths = at_key.setdefault(host_key(host), (host, {}))[1]
+            if paths.get(path) != "block":
+                paths[path] = verdict
+    sizes = {k: sorted({len(x) for x in paths}, reverse=True) for k, (_, paths) in at_key.items()}
     order = sorted(at_key)
 
     def rank(rule):
@@ -70,10 +74,10 @@ def _sweep(rules: list[tuple[str, str, str]]):
                     stack.pop()
                 best = None
                 for k in stack:
-                    for rule in at_key[k]:
-                        fits = hosts[i] == rule[0] or hosts[i].endswith("." + rule[0])
-                        if fits and paths[i].startswith(rule[1]) and (best is None or rank(rule) > rank(best)):
-                            best = rule
+                    host, known = at_key[k]
+                    path = next((paths[i][:n] for n in sizes[k] if paths[i][:n] in known), None)
+                    if path is not None and (best is None or rank((host, path, known[path])) > rank(best)):
+                        best = host, path, known[path]
                 if best and (named[i] is None or rank(best) > rank((*named[i].split("\0"), verdicts[i]))):
                     named[i], verdicts[i] = f"{best[0]}\0{best[1]}", best[2]
             yield pa.RecordBatch.from_arrays(
