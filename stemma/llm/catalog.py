@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, language, media, mixing, neardup, quality, secrets, toxicity, urlrules
+from . import bpe, decontaminate, katz, language, media, mixing, neardup, quality, secrets, toxicity, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(vocabulary), "rb") as f:
+        found = bpe.Vocabulary.read(f.read(), public_tokenizers.PATTERN)
+    return bpe.report(table(spark, sf_dir, "documents"), found)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -91,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": op8_url_filters,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
+        "op11_byte_bpe": op11_byte_bpe,
     }
 
 
