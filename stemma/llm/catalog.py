@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, katz, language, media, mixing, neardup, quality, secrets, toxicity, urlrules
+from . import bpe, decontaminate, katz, language, media, mixing, negatives, neardup, quality, secrets, toxicity, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_
     return bpe.report(table(spark, sf_dir, "documents"), found)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -100,8 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
         "op11_byte_bpe": op11_byte_bpe,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_near_dedup": neardup.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op8_url_filters": urlrules.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op4_minhash_near_dedup": neardup.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op8_url_filters": urlrules.ORACLE, "op10_mixing": mixing.ORACLE, "op12_hard_negatives": negatives.ORACLE}
