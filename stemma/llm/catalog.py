@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, katz, language, media, mixing, negatives, neardup, quality, secrets, toxicity, urlrules
+from . import bpe, decontaminate, katz, language, media, mixing, negatives, neardup, quality, ranked, secrets, toxicity, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -105,8 +109,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": op10_mixing,
         "op11_byte_bpe": op11_byte_bpe,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_near_dedup": neardup.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op8_url_filters": urlrules.ORACLE, "op10_mixing": mixing.ORACLE, "op12_hard_negatives": negatives.ORACLE}
+    return {"op4_minhash_near_dedup": neardup.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op8_url_filters": urlrules.ORACLE, "op10_mixing": mixing.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_ranked_search": ranked.ORACLE}
