@@ -1017,6 +1017,9 @@ def _(ev):
     return rules.evidence_of(log).drop("updated_at")
 
 
+from . import extended  # noqa: E402, F401  (registers more queries by the decorator above)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -49,6 +49,9 @@ UNION ALL SELECT 1000000000 + o_orderkey, 'total', 'order:' || CAST(o_orderkey A
     "event_log": """
 SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'entity.created' WHEN 'click' THEN 'entity.renamed' WHEN 'purchase' THEN 'name.added' WHEN 'error' THEN 'entity.deprecated' ELSE 'entity.archived' END AS event_type,
   'session:' || CAST(user_id AS STRING) AS subject_entity, CASE event_id % 3 WHEN 0 THEN 'session' WHEN 1 THEN 'module' ELSE 'unheard-of' END AS entity_type, 'Name ' || CAST(event_id AS STRING) AS new_value, ts FROM {events}""",
+    "state_requests": """
+SELECT 'order:' || CAST(o_orderkey AS STRING) AS request_id, 'customer:' || CAST(o_custkey AS STRING) AS entity_id, o_orderdate AS asked_at FROM {orders}
+UNION ALL SELECT DISTINCT 'shipped:' || CAST(l_suppkey AS STRING) || ':' || CAST(CAST(l_shipdate AS DATE) AS STRING), 'supplier:' || CAST(l_suppkey AS STRING), l_shipdate FROM {lineitem}""",
     "lineage": """
 SELECT p_partkey AS seq, 'part:' || CAST(p_partkey AS STRING) AS entity_id, 'part:' || CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING) AS related_id,
   CASE p_partkey % 4 WHEN 0 THEN 'derived_from' WHEN 1 THEN 'split_from' WHEN 2 THEN 'derived_from' ELSE 'merged_into' END AS lineage_type FROM {part} WHERE p_partkey >= 1

@@ -73,3 +73,38 @@ def numbered(rows: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     out = placed.withColumn("__range", F.shiftright("__at", 33)).join(F.broadcast(starts), "__range")
     return out.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__range", "__start")
+
+
+def running(rows: DataFrame, order: list[str], values: list[str]) -> DataFrame:
+    """``rows`` with before_<value> for each of the values (longs or doubles): the sum over all rows that come earlier in the order.
+
+    Rows are dealt by ranges of the order and sorted there, so that a key with a third of all rows is spread; sums within a range
+    are made as it streams by, and one row a range brings the sums of those before it. The order must be that of distinct rows.
+    """
+    rows = rows.select(*rows.columns, *[F.lit(0).cast(rows.schema[v].dataType).alias(f"before_{v}") for v in values], F.lit(0).alias("__range"))
+    names = rows.columns
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, sums = TaskContext.get().partitionId(), dict.fromkeys(values)
+        for batch in batches:
+            columns = dict(zip(names, batch.columns))
+            for v in values:
+                own = columns[v].to_numpy(zero_copy_only=False)
+                if sums[v] is None:
+                    sums[v] = own.dtype.type(0)
+                upto = own.cumsum() + sums[v]
+                columns[f"before_{v}"] = pa.array(upto - own, columns[v].type)
+                sums[v] = upto[-1] if len(upto) else sums[v]
+            columns["__range"] = pa.array([task] * batch.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    placed = checkpointed(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, rows.schema))
+    sizes = placed.groupBy("__range").agg(*[F.sum(v).alias(f"__{v}") for v in values])
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__range", *[F.coalesce(F.sum(f"__{v}").over(earlier), F.lit(0)).alias(f"__{v}") for v in values])
+    out = placed.join(F.broadcast(starts), "__range")
+    return out.withColumns({f"before_{v}": F.col(f"before_{v}") + F.col(f"__{v}") for v in values}).drop("__range", *[f"__{v}" for v in values])
