@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof
-from .catalog import _t, query
+from ..operators import asof, forest
+from .catalog import ACT, _t, query
+from .derived import NOW
 
 # States at a time per row
 
@@ -40,3 +41,45 @@ def _(r, n):
 @_t("state_requests", "hierarchy_edges")
 def _(r, h):
     return asof.parents_at(r.withColumnRenamed("asked_at", "at"), h)
+
+
+# Trees at once
+
+_ACTIVE = f"act AS (SELECT * FROM hierarchy_edges WHERE {ACT(NOW)})"
+_POLICIES = {"sum": "sum(s)", "avg": "avg(a)", "max": "max(x)", "min": "min(m)", "count": "count(*)::DOUBLE", "latest": "arg_max(l, seq)"}
+
+
+def _level(name: str, below: str, where: str) -> str:
+    """The parents of one level, from the rolled values (s, a, x, m, l) of the level below."""
+    values = ", ".join(f"coalesce(b.{v}, 0) AS {v}" for v in "saxml")
+    over = "sum(s) AS s, avg(a) AS a, max(x) AS x, min(m) AS m, arg_max(l, seq) AS l"
+    return f"{name} AS (SELECT parent_id AS uid, count(*) AS n, {over} FROM (SELECT h.parent_id, h.seq, {values} FROM act AS h LEFT JOIN {below} AS b ON b.uid = h.child_id WHERE h.parent_id LIKE '{where}') GROUP BY 1)"
+
+
+@query("a3_rollup_forest", f"""WITH {_ACTIVE}, leaf AS (SELECT entity_id AS uid, v AS s, v AS a, v AS x, v AS m, v AS l FROM (SELECT entity_id, arg_max(value, seq) AS v FROM observations WHERE metric_id = 'total' GROUP BY 1)),
+{_level("cust", "leaf", "customer:%")}, {_level("nat", "cust", "nation:%")}, {_level("reg", "nat", "region:%")}
+SELECT uid AS entity_id, n AS child_count, round(s, 4) AS sum, round(a, 4) AS avg, round(x, 4) AS max, round(m, 4) AS min, n::DOUBLE AS count, round(l, 4) AS latest FROM (SELECT * FROM cust UNION ALL SELECT * FROM nat UNION ALL SELECT * FROM reg)""")
+@_t("hierarchy_edges", "observations")
+def _(h, o):
+    """For every node with children at once, all policies."""
+    out = forest.rollup_forest(h, o, "total", NOW)
+    return out.select("entity_id", "child_count", *[F.round(p, 4).alias(p) for p in _POLICIES])
+
+
+_BELOW = f"{_ACTIVE}, below AS (SELECT parent_id AS root, child_id AS node FROM act UNION SELECT root, child_id FROM below JOIN act ON parent_id = node)"
+
+
+@query("a4_forest_sizes", f"RECURSIVE {_BELOW} SELECT root AS node, count(*) AS size FROM below GROUP BY 1")
+@_t("hierarchy_edges")
+def _(h):
+    return forest.subtree_sizes(h, NOW).where("size > 0")
+
+
+@query("g11_tree_numbers", f"""RECURSIVE {_BELOW}, nodes AS (SELECT child_id AS node, parent_id AS parent, seq FROM act UNION ALL SELECT DISTINCT parent_id, NULL, NULL FROM act WHERE parent_id NOT IN (SELECT child_id FROM act)),
+sized AS (SELECT n.node, n.parent, n.seq, 1 + coalesce(b.size, 0) AS size FROM nodes AS n LEFT JOIN (SELECT root, count(*) AS size FROM below GROUP BY 1) AS b ON b.root = n.node),
+offs AS (SELECT *, 1 + coalesce(sum(size) OVER (PARTITION BY parent ORDER BY seq, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM sized),
+up AS (SELECT node AS root, node FROM nodes UNION ALL SELECT root, node FROM below)
+SELECT u.node, count(*) - 1 AS depth, any_value(o2.size)::BIGINT AS size, sum(o.off)::BIGINT AS pre, (sum(o.off) - count(*) + any_value(o2.size))::BIGINT AS post FROM up AS u JOIN offs AS o ON o.node = u.root JOIN offs AS o2 ON o2.node = u.node GROUP BY 1""")
+@_t("hierarchy_edges")
+def _(h):
+    return forest.tour(forest.forest(h, NOW)).select("node", "depth", "size", "pre", "post")
