@@ -29,8 +29,9 @@ STEPS = {
 DIMENSIONS = ("function", "material", "pattern", "scope", "security")
 
 
-def condition(field: str | Column, operator: str, value) -> Column:
-    """A condition as a Column; null is equal to null, ordered with nothing; an unknown operator never holds."""
+def condition(field: str | Column, operator: str, value, listed: bool = False) -> Column:
+    """A condition as a Column; null is equal to null, ordered with nothing; an unknown operator never holds. ``contains`` looks for
+    an item where the field is an array (``listed``), and for a part of the text otherwise."""
     c = F.col(field) if isinstance(field, str) else field
     v = value if isinstance(value, (list, tuple)) else F.lit(value)
     if operator == "eq":
@@ -41,20 +42,24 @@ def condition(field: str | Column, operator: str, value) -> Column:
         some = [x for x in v if x is not None]
         held = F.coalesce(c.isin(some), F.lit(False)) | (c.isNull() & F.lit(None in v))
         return held if operator == "in" else ~held
-    made = {"gt": c > v, "lt": c < v, "gte": c >= v, "lte": c <= v, "contains": F.array_contains(c, v) if operator == "contains_item" else c.cast("string").contains(v)}.get(operator, F.lit(False))
+    if operator == "contains":
+        made = F.array_contains(c, v) if listed else c.cast("string").contains(F.lit(value).cast("string"))
+    else:
+        made = {"gt": c > v, "lt": c < v, "gte": c >= v, "lte": c <= v}.get(operator, F.lit(False))
     return F.coalesce(made, F.lit(False))
 
 
-def holds(policy: dict) -> Column:
-    """All conditions; a disabled policy never, one without conditions always."""
+def holds(policy: dict, arrays: frozenset[str] = frozenset()) -> Column:
+    """All conditions; a disabled policy never, one without conditions always. arrays: the fields that are arrays."""
     if not policy.get("enabled", True):
         return F.lit(False)
-    return reduce(lambda a, b: a & b, [condition(*c) for c in policy.get("conditions", [])], F.lit(True))
+    return reduce(lambda a, b: a & b, [condition(*c, listed=c[0] in arrays) for c in policy.get("conditions", [])], F.lit(True))
 
 
 def evaluate_policies(entities: DataFrame, policies: list[dict]) -> DataFrame:
     """uid, policy_id, action, priority, place: the policies that hold of each entity, by priority; one pass over the entities."""
-    fits = lambda p: holds(p) & (F.lit(True) if not p.get("scope") else F.col("entity_type") == p["scope"])
+    arrays = frozenset(f.name for f in entities.schema if f.dataType.typeName() == "array")
+    fits = lambda p: holds(p, arrays) & (F.lit(True) if not p.get("scope") else F.col("entity_type") == p["scope"])
     made = [F.when(fits(p), F.struct((-F.lit(p.get("priority", 0))).alias("neg"), F.lit(i).alias("seq"), F.lit(p["policy_id"]).alias("policy_id"), F.lit(p["action"]).alias("action"))) for i, p in enumerate(policies)]
     found = F.array_sort(F.filter(F.array(*made), lambda x: x.isNotNull()))
     rows = entities.select("uid", F.posexplode(found).alias("place", "x"))
@@ -252,14 +257,61 @@ def evidence_of(evidence: DataFrame) -> DataFrame:
     return rows.select("revision_id", "evidence_count", F.col("x.evidence_type").alias("last_type"), F.col("x.description").alias("last_description"), F.col("x.ts").alias("updated_at"))
 
 
-def fold_revisions(steps: DataFrame) -> DataFrame:
-    """A revision's steps are one row's array while they are folded: revisions have few steps. revision_id, status, accepted, refused: ordered steps (revision_id, seq, status) folded; a step that isn't allowed changes nothing."""
-    allowed = F.create_map(*[x for k, v in STEPS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]).cast("array<string>"))])
+#: Steps of a revision are first folded in ranges of this many seqs, then ranges in groups of ``FAN``.
+SPAN, FAN = 1 << 14, 1 << 8
 
-    def step(acc, x):
-        ok = F.array_contains(allowed[acc["status"]], x["status"])
-        return F.struct(F.when(ok, x["status"]).otherwise(acc["status"]).alias("status"), (acc["accepted"] + ok.cast("int")).alias("accepted"), (acc["refused"] + (~ok).cast("int")).alias("refused"))
 
-    start = F.struct(F.lit("detected").alias("status"), F.lit(0).alias("accepted"), F.lit(0).alias("refused"))
-    rows = steps.groupBy("revision_id").agg(F.array_sort(F.collect_list(F.struct("seq", "status"))).alias("steps"))
-    return rows.select("revision_id", F.aggregate("steps", start, step).alias("x")).select("revision_id", "x.*")
+def fold_revisions(steps: DataFrame, span: int = SPAN, fan: int = FAN) -> DataFrame:
+    """revision_id, status, accepted, refused: ordered steps (revision_id, seq, status) folded from ``detected`` on; a step that
+    isn't allowed, or to an unknown status, changes nothing and is refused.
+
+    A range of steps is a function of the status before it: for each of the statuses, the one after it and how many steps were
+    accepted and refused. Functions of adjoining ranges compose, so a revision of any length is folded in ranges of bounded size,
+    in as many rounds as its seqs have digits.
+    """
+    states = list(STEPS)
+    number = F.create_map(*[x for i, s in enumerate(states) for x in (F.lit(s), F.lit(i))])
+    allowed = F.array(*[F.lit(sum(1 << states.index(t) for t in STEPS[s])) for s in states])
+    kind = "array<struct<s:int,a:long,r:long>>"
+    still = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("r")) for i in range(len(states))]).cast(kind)
+
+    def step(acc, x):
+        return F.transform(acc, lambda f: F.when(F.coalesce(F.get(allowed, f["s"]).bitwiseAND(F.call_function("shiftleft", F.lit(1), x["to"])) != 0, F.lit(False)),
+                                                 F.struct(x["to"].alias("s"), (f["a"] + 1).alias("a"), f["r"].alias("r"))).otherwise(F.struct(f["s"].alias("s"), f["a"].alias("a"), (f["r"] + 1).alias("r"))))
+
+    def then(acc, x):
+        return F.transform(acc, lambda f: F.struct(x["f"][f["s"]]["s"].alias("s"), (f["a"] + x["f"][f["s"]]["a"]).alias("a"), (f["r"] + x["f"][f["s"]]["r"]).alias("r")))
+
+    rows = steps.select("revision_id", "seq", F.try_element_at(number, F.col("status")).alias("to"))
+    spans = rows.groupBy("revision_id", F.expr(f"seq div {span}").alias("b")).agg(F.array_sort(F.collect_list(F.struct("seq", "to"))).alias("x"))
+    spans = checkpointed(spans.select("revision_id", "b", F.aggregate("x", still, step).alias("f")))
+    while (most := spans.agg(F.max(F.abs("b"))).first()[0]) is not None and most > 0:
+        wider = spans.groupBy("revision_id", F.expr(f"b div {fan}").alias("wide")).agg(F.array_sort(F.collect_list(F.struct("b", "f"))).alias("x"))
+        new = checkpointed(wider.select("revision_id", F.col("wide").alias("b"), F.aggregate("x", still, then).alias("f")))
+        forget(spans)
+        spans = new
+    first = F.get("f", 0)  # of the status that revisions begin with
+    names = F.array(*[F.lit(s) for s in states])
+    return spans.select("revision_id", names[first["s"]].alias("status"), first["a"].cast("int").alias("accepted"), first["r"].cast("int").alias("refused"))
+
+
+def route_by_table(artifacts: DataFrame, rules: DataFrame, fallback: str = "intake/") -> DataFrame:
+    """As ``route``, with the rules as a table: place, rule_id, target and the five dimensions, null where a rule doesn't ask for one.
+
+    Of the 32 sets of dimensions only those that rules use are tried: a distinct combination of an artifact's dimensions comes
+    once for each, with the values of these dimensions as the key of one equi-join; of what it finds the smallest place wins.
+    Artifacts meet the resolved combinations, not the rules, so neither table's size multiplies the other's.
+    """
+    mask = reduce(lambda a, b: a + b, [F.when(F.col(d).isNotNull(), 1 << i).otherwise(0) for i, d in enumerate(DIMENSIONS)])
+    key = F.to_json(F.struct(*DIMENSIONS))
+    index = rules.groupBy(mask.alias("mask"), key.alias("key")).agg(F.min(F.struct("place", "rule_id", "target")).alias("rule"))
+    index = checkpointed(index)
+    used = [r["mask"] for r in index.select("mask").distinct().collect()]  # 32 at most
+    combinations = checkpointed(artifacts.select(*DIMENSIONS).distinct().withColumn("own", mask))
+    asked = F.filter(F.array(*[F.lit(m) for m in used]).cast("array<int>"), lambda m: m.bitwiseAND(F.col("own")) == m)
+    tried = combinations.select(*DIMENSIONS, F.explode(asked).alias("mask"))
+    only = F.to_json(F.struct(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.col(d)).alias(d) for i, d in enumerate(DIMENSIONS)]))
+    found = tried.withColumn("key", only).join(index, ["mask", "key"]).groupBy(*DIMENSIONS).agg(F.min("rule").alias("__rule"))
+    found = found.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], "__rule")
+    same = reduce(lambda a, b: a & b, [F.col(d).eqNullSafe(F.col(f"__{d}")) for d in DIMENSIONS])
+    return artifacts.join(found, same, "left").select(*artifacts.columns, "__rule.rule_id", F.coalesce("__rule.target", F.lit(fallback)).alias("target"))

@@ -66,6 +66,13 @@ SELECT 'part:' || CAST(p_partkey AS STRING) AS artifact_id,
   CASE p_partkey % 4 WHEN 0 THEN 'daemon' WHEN 1 THEN 'cli' WHEN 2 THEN 'api' ELSE 'config-file' END AS pattern,
   CASE p_partkey % 3 WHEN 0 THEN 'personal' WHEN 1 THEN 'organ' ELSE 'system' END AS scope,
   CASE WHEN p_partkey % 23 = 0 THEN 'secret' WHEN p_partkey % 29 = 0 THEN 'sovereign' ELSE 'public' END AS security FROM {part}""",
+    "rule_table": """
+SELECT CAST(p_partkey AS BIGINT) AS place, p_partkey * 10 AS rule_id, 'shelf-' || CAST(p_partkey AS STRING) || '/' AS target,
+  CASE WHEN p_partkey % 2 = 1 THEN CASE CAST(floor(p_partkey / 3) AS BIGINT) % 6 WHEN 0 THEN 'sort' WHEN 1 THEN 'validate' WHEN 2 THEN 'classify' WHEN 3 THEN 'store' WHEN 4 THEN 'govern' ELSE 'dream' END END AS function,
+  CASE WHEN CAST(floor(p_partkey / 2) AS BIGINT) % 3 > 0 THEN CASE CAST(floor(p_partkey / 5) AS BIGINT) % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'repo' WHEN 2 THEN 'credential' WHEN 3 THEN 'document' ELSE 'atom' END END AS material,
+  CASE WHEN CAST(floor(p_partkey / 4) AS BIGINT) % 2 = 1 THEN CASE CAST(floor(p_partkey / 7) AS BIGINT) % 3 WHEN 0 THEN 'daemon' WHEN 1 THEN 'cli' ELSE 'api' END END AS pattern,
+  CASE WHEN p_partkey % 11 > 2 THEN CASE p_partkey % 3 WHEN 0 THEN 'personal' WHEN 1 THEN 'organ' ELSE 'system' END END AS scope,
+  CASE WHEN p_partkey % 13 > 4 THEN CASE WHEN p_partkey % 7 = 0 THEN 'sovereign' ELSE 'public' END END AS security FROM {part} WHERE p_partkey % 11 > 2 OR p_partkey % 13 > 4""",
     "signals": """
 SELECT event_id AS seq, CASE WHEN event_id % 10 = 9 THEN '' ELSE 'session:' || CAST(user_id AS STRING) END AS entity_id,
   CASE event_id % 8 WHEN 0 THEN 'file_modified' WHEN 1 THEN 'git_commit' WHEN 2 THEN 'git_branch_created' WHEN 3 THEN 'edge_added' WHEN 4 THEN 'content_drift' WHEN 5 THEN 'metric_spike' WHEN 6 THEN 'promotion_changed' ELSE 'unheard_of' END AS signal_type,

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, forest
-from .catalog import ACT, _t, query
+from ..operators import asof, forest, rules
+from .catalog import ACT, FALLBACK, _t, query
 from .derived import NOW
 
 # States at a time per row
@@ -83,3 +83,15 @@ SELECT u.node, count(*) - 1 AS depth, any_value(o2.size)::BIGINT AS size, sum(o.
 @_t("hierarchy_edges")
 def _(h):
     return forest.tour(forest.forest(h, NOW)).select("node", "depth", "size", "pre", "post")
+
+
+# Rules and policies as tables
+
+_DIMS = " AND ".join(f"(r.{d} IS NULL OR r.{d} = a.{d})" for d in rules.DIMENSIONS)
+
+
+@query("j9_rule_table", f"""WITH m AS (SELECT a.artifact_id, arg_min(struct_pack(rule_id := r.rule_id, target := r.target), r.place) AS x FROM artifacts AS a JOIN rule_table AS r ON {_DIMS} GROUP BY 1)
+SELECT artifact_id, x.rule_id AS rule_id, coalesce(x.target, '{FALLBACK}') AS target FROM artifacts LEFT JOIN m USING (artifact_id)""")
+@_t("artifacts", "rule_table")
+def _(a, r):
+    return rules.route_by_table(a, r, FALLBACK).select("artifact_id", "rule_id", "target")
