@@ -96,7 +96,7 @@ def relocate(edges: DataFrame, moves: DataFrame, at: str, form: str = "store") -
 
 
 def merge(entities: DataFrame, edges: DataFrame, groups: DataFrame, at: str, form: str = "store") -> dict[str, DataFrame]:
-    """groups: seq, source_uid, successor. Returns entities, edges, opened (new edges), lineage and result (counts by successor).
+    """groups: seq, source_uid, successor. Returns entities, edges, opened (new edges), lineage (seq: its turn) and result (counts by successor).
 
     Children of every source move to the successor. A successor takes its first source's type. New edges follow the order of
     the sources: of each its children's, then its parents', as their edges were appended.
@@ -114,9 +114,9 @@ def merge(entities: DataFrame, edges: DataFrame, groups: DataFrame, at: str, for
     closed = _close(closed, heirs.select(F.col("source_uid").alias("child_id")), "child_id", at)
     new = known.groupBy(F.col("successor").alias("uid")).agg(F.min_by("entity_type", "seq").alias("entity_type"), F.min("seq").alias("seq"))
     changed = set_status(create(entities, new), known.select(F.col("source_uid").alias("uid")), "deprecated" if form == "store" else "merged")
-    line = known.select(F.col("source_uid").alias("entity_id"), F.col("successor").alias("related_id"), F.lit("merged_into").alias("lineage_type"))
+    line = known.select((F.col("seq") * 2 + 1).alias("seq"), F.col("source_uid").alias("entity_id"), F.col("successor").alias("related_id"), F.lit("merged_into").alias("lineage_type"))
     if form == "ctx":
-        line = line.unionByName(known.select(F.col("successor").alias("entity_id"), F.col("source_uid").alias("related_id"), F.lit("derived_from").alias("lineage_type")))
+        line = line.unionByName(known.select((F.col("seq") * 2).alias("seq"), F.col("successor").alias("entity_id"), F.col("source_uid").alias("related_id"), F.lit("derived_from").alias("lineage_type")))
     records = 2 if form == "ctx" else 1
     result = known.groupBy("successor").agg(F.count("*").alias("sources")).join(moved.groupBy("successor").agg(F.count("*").alias("edges")), "successor", "left")
     result = result.select("successor", "sources", (F.col("sources") * records).alias("lineage_records"), F.coalesce("edges", F.lit(0)).alias("edges_closed"), F.coalesce("edges", F.lit(0)).alias("edges_created"))
@@ -125,7 +125,7 @@ def merge(entities: DataFrame, edges: DataFrame, groups: DataFrame, at: str, for
 
 
 def split(entities: DataFrame, edges: DataFrame, specs: DataFrame, at: str, form: str = "store", retire: bool = True) -> dict[str, DataFrame]:
-    """specs: source_uid, descendant. Descendants take the source's type and, in the store form, its parents; an empty name is left out."""
+    """specs: source_uid, descendant, and seq if lineage is to follow that order. Descendants take the source's type and, in the store form, its parents; an empty name is left out."""
     known = specs.where("descendant <> ''").join(entities.select(F.col("uid").alias("source_uid"), "entity_type"), "source_uid")
     active = edges.where(is_active(at))
     opened = active.join(known.select(F.col("source_uid").alias("child_id"), "descendant"), "child_id").select("parent_id", F.col("descendant").alias("child_id"), F.col("child_id").alias("__source"), F.col("seq").alias("__edge"))
@@ -137,7 +137,8 @@ def split(entities: DataFrame, edges: DataFrame, specs: DataFrame, at: str, form
     elif retire:
         changed = set_status(changed, sources, "deprecated")
         edges = _close(edges, sources.select(F.col("uid").alias("child_id")), "child_id", at)
-    line = known.select(F.col("descendant").alias("entity_id"), F.col("source_uid").alias("related_id"), F.lit("split_from").alias("lineage_type"))
+    turn = [c for c in ("seq",) if c in specs.columns]
+    line = known.select(*turn, F.col("descendant").alias("entity_id"), F.col("source_uid").alias("related_id"), F.lit("split_from").alias("lineage_type"))
     result = known.groupBy("source_uid").agg(F.count("*").alias("descendants")).join(opened.groupBy(F.col("__source").alias("source_uid")).agg(F.count("*").alias("edges")), "source_uid", "left")
     result = result.select("source_uid", "descendants", F.coalesce("edges", F.lit(0)).alias("edges_created"))
     new = opened.withColumn("__child", F.col("child_id"))
@@ -145,8 +146,8 @@ def split(entities: DataFrame, edges: DataFrame, specs: DataFrame, at: str, form
 
 
 def deprecate(entities: DataFrame, uids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """uids: uid, successor (may be null). Returns entities and supersedes lineage."""
-    line = uids.where("successor is not null").select(F.col("successor").alias("entity_id"), F.col("uid").alias("related_id"), F.lit("supersedes").alias("lineage_type"))
+    """uids: uid, successor (may be null), and seq if lineage is to follow that order. Returns entities and supersedes lineage."""
+    line = uids.where("successor is not null").select(*[c for c in ("seq",) if c in uids.columns], F.col("successor").alias("entity_id"), F.col("uid").alias("related_id"), F.lit("supersedes").alias("lineage_type"))
     return set_status(entities, uids, "deprecated"), line
 
 

@@ -232,10 +232,10 @@ for _p in ("sum", "avg", "max", "min", "count", "latest"):
     _rollup_query(_p)
 
 
-@query("a4_subtree_size", f"WITH act AS (SELECT * FROM hierarchy_edges WHERE {ACT(NOW)}) SELECT parent_id AS root, (SELECT count(*) FROM (SELECT b.child_id FROM act b WHERE b.parent_id = a.parent_id UNION SELECT d.child_id FROM act b JOIN act d ON d.parent_id = b.child_id WHERE b.parent_id = a.parent_id)) AS size FROM (SELECT DISTINCT parent_id FROM act WHERE parent_id LIKE 'nation:%') a")
+@query("a4_subtree_size", f"RECURSIVE act AS (SELECT * FROM hierarchy_edges WHERE {ACT(NOW)}), below AS (SELECT parent_id AS root, child_id AS node FROM act UNION SELECT root, child_id FROM below JOIN act ON parent_id = node) SELECT root, count(*) AS size FROM below GROUP BY 1")
 @_t("hierarchy_edges")
 def _(h):
-    roots = temporal.as_of(h, NOW).where("parent_id like 'nation:%'").select(F.col("parent_id").alias("root"))
+    roots = temporal.as_of(h, NOW).select(F.col("parent_id").alias("root"))
     return graph.macro_descent(h, roots, NOW).groupBy("root").agg(F.countDistinct("node").alias("size"))
 
 
@@ -334,11 +334,11 @@ def _(n):
     return n.select("seq", fn.slugify(F.col("display_name")).alias("slug"))
 
 
-@query("c9_anomaly", "SELECT seq, least(1.0::DOUBLE, abs(value - 50.0::DOUBLE) / 60.0::DOUBLE) AS confidence FROM observations WHERE metric_id <> 'total' AND (value < 20 OR value > 80)")
+@query("c9_anomaly", "SELECT seq, least(1.0::DOUBLE, abs(value - 50.0::DOUBLE) / 60.0::DOUBLE) AS confidence FROM observations WHERE value < 20 OR value > 80")
 @_t("observations")
 def _(o):
     c = fn.anomaly_confidence(F.col("value"), F.lit(20.0), F.lit(80.0))
-    return o.where("metric_id <> 'total'").select("seq", c.alias("confidence")).where("confidence is not null")
+    return o.select("seq", c.alias("confidence")).where("confidence is not null")
 
 
 @query("c10_constraints", "SELECT p_partkey, CASE WHEN p_brand NOT IN ('Brand#11', 'Brand#12', 'Brand#13') THEN 'allowed_values' WHEN p_size < 10 THEN 'min_value' WHEN p_size > 40 THEN 'max_value' END AS broken FROM part", raw=True)
@@ -483,13 +483,13 @@ def _(ev):
 _RECOVERED = """b AS (SELECT subject_entity AS uid, max(seq) AS born, arg_max(entity_type, seq) AS kind FROM event_log WHERE event_type = 'entity.created' GROUP BY 1),
 lf AS (SELECT subject_entity AS uid, max(seq) AS died, arg_max(event_type, seq) AS last_event FROM event_log WHERE event_type IN ('entity.deprecated', 'entity.archived') GROUP BY 1),
 r AS (SELECT uid, CASE WHEN kind IN ('session', 'module') THEN kind ELSE 'repo' END AS entity_type, CASE WHEN died > born THEN substr(last_event, 8) ELSE 'active' END AS lifecycle_status FROM b LEFT JOIN lf USING (uid)),
-e AS (SELECT uid, entity_type, lifecycle_status FROM entities WHERE entity_type = 'session' AND uid NOT LIKE '%7')"""
+e AS (SELECT uid, entity_type, lifecycle_status FROM recovery_expected)"""
 
 
 @query("t7_verify", f"WITH {_RECOVERED} SELECT uid, CASE WHEN r.entity_type IS NULL THEN 'missing' ELSE 'extra' END AS problem, NULL::VARCHAR AS recovered, NULL::VARCHAR AS expected FROM r FULL JOIN e USING (uid) WHERE r.entity_type IS NULL OR e.entity_type IS NULL UNION ALL SELECT uid, 'lifecycle_status', r.lifecycle_status, e.lifecycle_status FROM r JOIN e USING (uid) WHERE r.lifecycle_status <> e.lifecycle_status UNION ALL SELECT uid, 'entity_type', r.entity_type, e.entity_type FROM r JOIN e USING (uid) WHERE r.entity_type <> e.entity_type")
-@_t("event_log", "entities")
+@_t("event_log", "recovery_expected")
 def _(ev, e):
-    return state.verify_recovery(state.recover(ev, cap=0), e.where("entity_type = 'session' and uid not like '%7'"))
+    return state.verify_recovery(state.recover(ev, cap=0), e)
 
 
 _SNAP = " UNION ALL ".join(f"SELECT entity_id, '{f}' AS field, {a} AS old, {b} AS new FROM snapshot_before a FULL JOIN snapshot_after b USING (entity_id) WHERE a.{f} IS DISTINCT FROM b.{f}" for f, a, b in (("size", "a.size::VARCHAR", "b.size::VARCHAR"), ("kind", "a.kind", "b.kind")))
@@ -598,16 +598,16 @@ def _(ev):
 # Extensions: rolling, delta, ratio and distribution metrics
 
 
-@query("ext_rolling", "SELECT seq, round(avg(value) OVER (PARTITION BY metric_id, entity_id ORDER BY CAST(epoch(date_trunc('second', ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW), 4) AS rolling FROM observations WHERE metric_id <> 'total'")
+@query("ext_rolling", "SELECT seq, round(avg(value) OVER (PARTITION BY metric_id, entity_id ORDER BY CAST(epoch(date_trunc('second', ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW), 4) AS rolling FROM observations")
 @_t("observations")
 def _(o):
-    return metrics.rolling(o.where("metric_id <> 'total'"), 86400).select("seq", F.round("rolling", 4).alias("rolling"))
+    return metrics.rolling(o, 86400).select("seq", F.round("rolling", 4).alias("rolling"))
 
 
-@query("ext_delta", "SELECT seq, round(value - lag(value) OVER (PARTITION BY metric_id, entity_id ORDER BY seq), 4) AS delta FROM observations WHERE metric_id <> 'total'")
+@query("ext_delta", "SELECT seq, round(value - lag(value) OVER (PARTITION BY metric_id, entity_id ORDER BY seq), 4) AS delta FROM observations")
 @_t("observations")
 def _(o):
-    return metrics.delta(o.where("metric_id <> 'total'")).select("seq", F.round("delta", 4).alias("delta"))
+    return metrics.delta(o).select("seq", F.round("delta", 4).alias("delta"))
 
 
 @query("ext_ratio", "WITH l AS (SELECT entity_id, metric_id, arg_max(value, seq) AS v FROM observations WHERE metric_id IN ('purchase', 'view') GROUP BY 1, 2) SELECT entity_id, round(max(CASE WHEN metric_id = 'purchase' THEN v END) / nullif(max(CASE WHEN metric_id = 'view' THEN v END), 0), 4) AS ratio FROM l GROUP BY 1")
@@ -822,11 +822,11 @@ def _place(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
 
 
-@query("s8_latest_after_appends", "SELECT metric_id, entity_id, arg_max(value, (CASE seq % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END) * 10000000000 + seq) AS value FROM observations WHERE metric_id <> 'total' GROUP BY 1, 2")
+@query("s8_latest_after_appends", "SELECT metric_id, entity_id, arg_max(value, (CASE seq % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END) * 10000000000 + seq) AS value FROM observations GROUP BY 1, 2")
 @_t("observations")
 def _(o):
     """The last value by metric and entity of a log that three appends of different sizes made."""
-    log, rows = Store(o.sparkSession, _place(o.sparkSession)), o.where("metric_id <> 'total'").withColumnRenamed("ts", "timestamp")
+    log, rows = Store(o.sparkSession, _place(o.sparkSession)), o.withColumnRenamed("ts", "timestamp")
     for part in ("seq % 5 = 0", "seq % 5 > 1", "seq % 5 = 1"):
         log.append("observations", rows.where(part))
     return metrics.latest(log.observations())

@@ -56,6 +56,8 @@ UNION ALL SELECT DISTINCT 'shipped:' || CAST(l_suppkey AS STRING) || ':' || CAST
 SELECT p_partkey AS seq, 'part:' || CAST(p_partkey AS STRING) AS entity_id, 'part:' || CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING) AS related_id,
   CASE p_partkey % 4 WHEN 0 THEN 'derived_from' WHEN 1 THEN 'split_from' WHEN 2 THEN 'derived_from' ELSE 'merged_into' END AS lineage_type FROM {part} WHERE p_partkey >= 1
 UNION ALL SELECT 100000000 + p_partkey, 'part:' || CAST(p_partkey + 1 AS STRING), 'part:' || CAST(p_partkey AS STRING), 'supersedes' FROM {part} WHERE p_partkey % 8 = 3""",
+    "recovery_expected": """
+SELECT DISTINCT 'session:' || CAST(CASE WHEN user_id % 10 = 7 THEN -user_id ELSE user_id END AS STRING) AS uid, CASE WHEN user_id % 6 = 0 THEN 'module' ELSE 'session' END AS entity_type, CASE WHEN user_id % 4 = 0 THEN 'archived' ELSE 'active' END AS lifecycle_status FROM {events}""",
     "snapshot_before": "SELECT 'part:' || CAST(p_partkey AS STRING) AS entity_id, p_size AS size, p_retailprice AS price, p_type AS kind FROM {part} WHERE p_partkey % 17 <> 0",
     "snapshot_after": """SELECT 'part:' || CAST(p_partkey AS STRING) AS entity_id, CASE WHEN p_partkey % 11 = 0 THEN p_size + 1 ELSE p_size END AS size,
   CASE WHEN p_partkey % 11 = 0 THEN p_retailprice + 10 ELSE p_retailprice END AS price, CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_type END AS kind FROM {part} WHERE p_partkey % 13 <> 0""",

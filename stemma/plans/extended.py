@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, forest, rules
-from .catalog import ACT, FALLBACK, _t, query
-from .derived import NOW
+from ..operators import asof, forest, graph, rules
+from ..registry import open_store
+from .catalog import ACT, FALLBACK, _place, _registry, _t, query
+from .derived import NOW, derived
 
 # States at a time per row
 
@@ -95,3 +96,56 @@ SELECT artifact_id, x.rule_id AS rule_id, coalesce(x.target, '{FALLBACK}') AS ta
 @_t("artifacts", "rule_table")
 def _(a, r):
     return rules.route_by_table(a, r, FALLBACK).select("artifact_id", "rule_id", "target")
+
+
+# What a registry logs and keeps
+
+
+def _merges(spark, sf_dir):
+    """Nations into their regions' successors, in descending order of their keys, so that neither text nor number is the order."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    uid = F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string"))
+    return n.select((100 - F.col("n_nationkey")).cast("bigint").alias("seq"), uid.alias("source_uid"), F.concat(F.lit("merged:"), F.col("n_regionkey").cast("string")).alias("successor"))
+
+
+@query("m15_first_predecessor", "SELECT 'merged:' || n_regionkey::VARCHAR AS node, 'nation:' || max(n_nationkey)::VARCHAR AS ancestor FROM nation GROUP BY n_regionkey", raw=True)
+def _(spark, sf_dir):
+    """After merges, a successor's ancestry leads to its first source."""
+    merged = _registry(spark, sf_dir).merge(_merges(spark, sf_dir), "ctx")
+    return graph.trace_ancestry(merged.lineage, max_depth=1).where("node like 'merged:%'").select("node", "ancestor")
+
+
+@query("m11_lineage_order", """WITH old AS (SELECT max(seq) AS top FROM lineage), new AS (
+SELECT 'merged:' || n_regionkey::VARCHAR AS entity_id, 'nation:' || n_nationkey::VARCHAR AS related_id, 'derived_from' AS lineage_type, (100 - n_nationkey) * 2 AS turn FROM nation
+UNION ALL SELECT 'nation:' || n_nationkey::VARCHAR, 'merged:' || n_regionkey::VARCHAR, 'merged_into', (100 - n_nationkey) * 2 + 1 FROM nation)
+SELECT seq, entity_id, related_id, lineage_type FROM lineage UNION ALL SELECT top + row_number() OVER (ORDER BY turn), entity_id, related_id, lineage_type FROM new, old""")
+def _(spark, sf_dir):
+    return _registry(spark, sf_dir).merge(_merges(spark, sf_dir), "ctx").lineage.select("seq", "entity_id", "related_id", "lineage_type")
+
+
+@query("v7_variable_events", """WITH done AS (SELECT 100000000 + c_custkey AS seq, 'level' AS key, 'customer:' || c_custkey::VARCHAR AS entity_id, c_mktsegment AS value FROM customer)
+SELECT (SELECT max(seq) FROM event_log) + row_number() OVER (ORDER BY seq) AS seq, entity_id AS subject_entity, key AS changed_property, value AS new_value FROM done""")
+def _(spark, sf_dir):
+    """A set a customer, and as many of constants that are refused and so leave no event."""
+    c, r = spark.read.parquet(f"{sf_dir}/customer.parquet"), _registry(spark, sf_dir)
+    uid, none = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")), F.lit(None).cast("string")
+    sets = c.select((100_000_000 + F.col("c_custkey")).cast("bigint").alias("seq"), F.lit("level").alias("key"), F.lit("module").alias("scope"), uid.alias("entity_id"), F.col("c_mktsegment").alias("value"), F.lit("runtime").alias("mutability"))
+    held = r.variables.where("mutability = 'constant'").select("key", "scope", "entity_id").distinct()
+    again = held.select((F.lit(200_000_000) + F.monotonically_increasing_id() % 1_000_000).alias("seq"), "key", "scope", "entity_id", F.lit("late").alias("value"), F.lit("runtime").alias("mutability"))
+    after = r.set_variables(sets.unionByName(again))
+    return after.events.where("event_type = 'variable.set'").select("seq", "subject_entity", "changed_property", "new_value")
+
+
+@query("t5_names_from_payloads", "SELECT 'customer:' || c_custkey::VARCHAR AS uid, 'module' AS entity_type, c_name AS display_name, 1 AS name_count FROM customer", raw=True)
+def _(spark, sf_dir):
+    """A log in the form that stores keep, a creation's name and type in its payload, recovered after it was opened, saved and opened again."""
+    from ..operators import state
+    from ..sources.store import Store
+
+    path, c = _place(spark), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    payload = F.struct(F.lit("module").alias("entity_type"), F.col("c_name").alias("display_name"), F.struct(F.lit(1).alias("deep")).alias("more"))
+    log = c.select(F.col("c_custkey").cast("bigint").alias("seq"), F.lit("entity.created").alias("event_type"), F.lit("system").alias("source"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("subject_entity"), payload.alias("payload"), F.lit("2001-01-01T00:00:00").alias("timestamp"))
+    Store(spark, path).append("events", log)
+    again = _place(spark)
+    open_store(spark, path, NOW).save(again)
+    return state.recover(open_store(spark, again, NOW).events, cap=0).select("uid", "entity_type", "display_name", F.col("name_count").cast("int").alias("name_count"))

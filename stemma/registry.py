@@ -26,11 +26,13 @@ class Registry:
     events: DataFrame
     variables: DataFrame
     at: str
+    metrics: DataFrame | None = None
+    versions: DataFrame | None = None
 
-    def _logged(self, event_type: str, subjects: DataFrame, value: str | None = None, kind: str | None = None, **tables: DataFrame) -> Registry:
+    def _logged(self, event_type: str, subjects: DataFrame, value: str | None = None, kind: str | None = None, more: tuple[str, ...] = (), **tables: DataFrame) -> Registry:
         text = lambda c: F.col(c) if c else F.lit(None).cast("string")
         turn = F.col("seq") if "seq" in subjects.columns else F.lit(0)
-        rows = subjects.select(F.lit(event_type).alias("event_type"), F.col("uid").alias("subject_entity"), text(kind).alias("entity_type"), text(value).alias("new_value"), turn.cast("bigint").alias("__turn"))
+        rows = subjects.select(F.lit(event_type).alias("event_type"), F.col("uid").alias("subject_entity"), text(kind).alias("entity_type"), text(value).alias("new_value"), turn.cast("bigint").alias("__turn"), *more)
         rows = mutate.after(self.events, rows, ["__turn", "subject_entity", "new_value"]).withColumn("ts", at_literal(self.at)).drop("__turn")
         return replace(self, events=self.events.unionByName(rows, allowMissingColumns=True), **tables)
 
@@ -71,7 +73,9 @@ class Registry:
         return self._with_lineage(line)._logged("entity.deprecated", uids, entities=after)
 
     def _with_lineage(self, rows: DataFrame) -> Registry:
-        new = mutate.after(self.lineage, rows.drop("seq"), ["entity_id", "related_id", "lineage_type"])
+        """Appended in order of the rows' own seq, where they have one."""
+        turn = F.col("seq") if "seq" in rows.columns else F.lit(0)
+        new = mutate.after(self.lineage, rows.withColumn("__turn", turn).drop("seq"), ["__turn", "entity_id", "related_id", "lineage_type"]).drop("__turn")
         return replace(self, lineage=self.lineage.unionByName(new, allowMissingColumns=True))
 
     def add_lineage(self, rows: DataFrame) -> Registry:
@@ -82,7 +86,20 @@ class Registry:
         return replace(self, observations=self.observations.unionByName(rows))
 
     def set_variables(self, log: DataFrame) -> Registry:
-        return replace(self, variables=rules.set_variables(self.variables.unionByName(log)))
+        """Sets that are not refused are logged, in order of seq."""
+        whole = self.variables.unionByName(log, allowMissingColumns=True)
+        done = log.join(rules.refused_sets(whole).select("seq"), "seq", "left_anti").withColumn("uid", F.coalesce("entity_id", F.lit("")))
+        details = done.withColumn("changed_property", F.col("key")).withColumn("payload", F.to_json(F.struct("scope", "mutability")))
+        return self._logged("variable.set", details, "value", None, ("changed_property", "payload"), variables=rules.set_variables(whole))
+
+    def register_metrics(self, rows: DataFrame) -> Registry:
+        """rows: metric_id and what else describes a metric; they replace those of equal id."""
+        return replace(self, metrics=rows if self.metrics is None else mutate.upsert(self.metrics, rows, "metric_id"))
+
+    def add_versions(self, rows: DataFrame) -> Registry:
+        """rows as ``sources.store.create_versions`` makes them, appended in order of time and identifier."""
+        start = rows.limit(0).withColumn("seq", F.lit(0).cast("bigint")) if self.versions is None else self.versions
+        return replace(self, versions=start.unionByName(mutate.after(start, rows, ["timestamp", "version_id"]), allowMissingColumns=True))
 
     def resolve(self, wanted: DataFrame, entity_type: str | None = None) -> DataFrame:
         return resolve.resolve(wanted, self.entities, self.names, self.at, entity_type)
@@ -103,14 +120,27 @@ class Registry:
         """Writes all tables as a store: keyed and listed files anew, logs rewritten in order of seq."""
         store = Store(self.entities.sparkSession, path)
         text = lambda df, *names: df.withColumns({c: F.date_format(c, _ISO) for c in names})
-        store.save_keyed("entities", self.entities.drop("seq"), "uid")
+        store.save_keyed("entities", _objects(self.entities.drop("seq")), "uid")
         store.save_names(text(self.names, "valid_from", "valid_to"))
-        store.save_edges(text(self.hierarchy, "valid_from", "valid_to"), text(self.relations, "valid_from", "valid_to"))
-        store.rewrite("lineage", self.lineage)
-        store.rewrite("observations", text(self.observations, "ts").withColumnRenamed("ts", "timestamp"))
-        events = self.events.withColumn("payload", F.to_json(F.struct("entity_type"))).drop("entity_type")
+        store.save_edges(text(_objects(self.hierarchy), "valid_from", "valid_to"), text(_objects(self.relations), "valid_from", "valid_to"))
+        store.rewrite("lineage", _objects(self.lineage))
+        store.rewrite("observations", text(_objects(self.observations), "ts").withColumnRenamed("ts", "timestamp"))
+        # What a creation says of its entity is in the payload, as an object.
+        own = F.to_json(F.struct("entity_type", F.when(F.col("event_type") == "entity.created", F.col("new_value")).alias("display_name")))
+        kept = F.col("payload") if "payload" in self.events.columns else F.lit(None).cast("string")
+        events = _objects(self.events.withColumn("payload", F.coalesce(kept, own))).drop("entity_type")
         store.rewrite("events", text(events, "ts").withColumnRenamed("ts", "timestamp"))
         store.save_listed("variables", self.variables)
+        if self.metrics is not None:
+            store.save_keyed("metrics", _objects(self.metrics), "metric_id")
+        if self.versions is not None:
+            store.rewrite("versions", _objects(self.versions))
+
+
+def _objects(df: DataFrame) -> DataFrame:
+    """Columns that hold JSON as text, written as what they say."""
+    text = [f.name for f in df.schema if f.name in ("payload", "metadata", "details") and f.dataType.typeName() == "string"]
+    return df.withColumns({c: F.try_parse_json(c) for c in text})
 
 
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -118,12 +148,16 @@ _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 def open_store(spark: SparkSession, path: str, at: str) -> Registry:
     """The registry that a store holds, empty tables where files are missing. Entities are in order of uid, as they are saved;
-    variables are set one after the other, constraints and constants being checked; a time that isn't one is null."""
+    variables are set one after the other, constraints and constants being checked; a time that isn't one is null. The name that a
+    creation gives is its payload's, where the event has no new value."""
     store = Store(spark, path)
     times = lambda df, *names: df.withColumns({c: F.expr(f"try_cast({c} as timestamp_ntz)") for c in names})
     logged = lambda df: times(df, "timestamp").withColumnRenamed("timestamp", "ts")
     window = ("valid_from", "valid_to")
+    events = logged(store.events()).withColumn("entity_type", F.get_json_object("payload", "$.entity_type"))
+    named = F.when((F.col("event_type") == "entity.created") & (F.coalesce("new_value", F.lit("")) == ""), F.get_json_object("payload", "$.display_name"))
     return Registry(
         numbered(store.entities(), ["uid"]), times(store.names(), *window), times(store.hierarchy_edges(), *window), times(store.relation_edges(), *window),
-        store.lineage(), logged(store.observations()), logged(store.events()).withColumn("entity_type", F.get_json_object("payload", "$.entity_type")), rules.set_variables(store.variables()), at,
+        store.lineage(), logged(store.observations()), events.withColumn("new_value", F.coalesce(named, "new_value")), rules.set_variables(store.variables()), at,
+        store.metrics(), store.versions(),
     )

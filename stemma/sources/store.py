@@ -170,13 +170,15 @@ class Store:
     def save_listed(self, table: str, rows: DataFrame) -> None:
         """Rewrites a listed table as one JSON list in order of seq: one small file by its format."""
         own = [c for c in rows.columns if c != "seq"]
-        listed = rows.select(F.struct("seq", F.struct(*own).alias("v")).alias("x")).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("a"))
-        listed.select(F.to_json("a").alias("value")).coalesce(1).write.mode("overwrite").text(self.at(table))
+        listed = rows.select(F.struct("seq", F.to_json(F.struct(*own)).alias("v")).alias("x")).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("a"))
+        listed.select(F.concat(F.lit("["), F.array_join("a", ","), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(self.at(table))
 
     def save_keyed(self, table: str, rows: DataFrame, key: str) -> None:
         """Rewrites a keyed table as one JSON object with ascending keys: one small file by its format."""
-        listed = rows.select(F.struct(F.col(key).alias("k"), F.struct(*rows.columns).alias("v")).alias("x")).agg(F.map_from_entries(F.array_sort(F.collect_list("x"))).alias("m"))
-        listed.select(F.to_json("m").alias("value")).coalesce(1).write.mode("overwrite").text(self.at(table))
+        listed = rows.select(F.struct(F.col(key).alias("k"), F.to_json(F.struct(*rows.columns)).alias("v")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("a"))
+        quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
+        each = F.transform("a", lambda x: F.concat(quoted(x["k"]), F.lit(":"), x["v"]))
+        listed.select(F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(self.at(table))
 
 
 def versions_by_entity(versions: DataFrame, uid: str) -> DataFrame:
