@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, forest, graph, rules
+from ..operators import asof, forest, graph, reach, rules
 from ..registry import open_store
 from .catalog import ACT, FALLBACK, _place, _registry, _t, query
 from .derived import NOW, derived
@@ -149,3 +149,30 @@ def _(spark, sf_dir):
     again = _place(spark)
     open_store(spark, path, NOW).save(again)
     return state.recover(open_store(spark, again, NOW).events, cap=0).select("uid", "entity_type", "display_name", F.col("name_count").cast("int").alias("name_count"))
+
+
+# Reachability from every node at once
+
+_DEPENDS = f"dep AS (SELECT DISTINCT source_id AS src, target_id AS dst FROM depends_edges WHERE {ACT(NOW)} AND source_id <> target_id)"
+_FAR = "far AS (SELECT root, node, min(depth) AS depth FROM walk WHERE root <> node GROUP BY 1, 2)"
+
+
+def _walk(forward: bool) -> str:
+    a, b = ("src", "dst") if forward else ("dst", "src")
+    return f"RECURSIVE {_DEPENDS}, walk AS (SELECT {a} AS root, {b} AS node, 1 AS depth FROM dep UNION SELECT root, {b}, depth + 1 FROM walk JOIN dep ON {a} = node WHERE depth < 60), {_FAR}"
+
+
+def _all_parts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("root"))
+
+
+@query("g3_reach_counts", f"{_walk(True)} SELECT 'part:' || p_partkey::VARCHAR AS root, coalesce(reached, 0) AS reached, coalesce(farthest, 0) AS farthest FROM part LEFT JOIN (SELECT root, count(*) AS reached, max(depth) AS farthest FROM far GROUP BY 1) ON root = 'part:' || p_partkey::VARCHAR")
+def _(spark, sf_dir):
+    """Of every part, how many it depends on, and how far."""
+    return reach.counts(*reach.dependencies(derived(spark, sf_dir, "depends_edges"), _all_parts(spark, sf_dir), NOW))
+
+
+@query("g4_dependents_depths", f"{_walk(False)} SELECT root, node, depth FROM far")
+def _(spark, sf_dir):
+    """Of every part, the parts that depend on it, and how far."""
+    return reach.pairs(*reach.dependencies(derived(spark, sf_dir, "depends_edges"), _all_parts(spark, sf_dir), NOW, reverse=True))
