@@ -75,6 +75,13 @@ SELECT CAST(p_partkey AS BIGINT) AS place, p_partkey * 10 AS rule_id, 'shelf-' |
   CASE WHEN CAST(floor(p_partkey / 4) AS BIGINT) % 2 = 1 THEN CASE CAST(floor(p_partkey / 7) AS BIGINT) % 3 WHEN 0 THEN 'daemon' WHEN 1 THEN 'cli' ELSE 'api' END END AS pattern,
   CASE WHEN p_partkey % 11 > 2 THEN CASE p_partkey % 3 WHEN 0 THEN 'personal' WHEN 1 THEN 'organ' ELSE 'system' END END AS scope,
   CASE WHEN p_partkey % 13 > 4 THEN CASE WHEN p_partkey % 7 = 0 THEN 'sovereign' ELSE 'public' END END AS security FROM {part} WHERE p_partkey % 11 > 2 OR p_partkey % 13 > 4""",
+    "policy_table": """
+SELECT 'pol:' || CAST(p_partkey AS STRING) AS policy_id, 'note' AS action, CAST(p_partkey % 5 AS INT) AS priority, CASE p_partkey % 4 WHEN 0 THEN 'module' WHEN 1 THEN 'repo' END AS scope, p_partkey % 10 <> 9 AS enabled FROM {part}""",
+    "policy_conditions": """
+SELECT 'pol:' || CAST(p_partkey AS STRING) AS policy_id, 0 AS k, 'balance' AS field, 'gt' AS operator, CAST(p_partkey * 37 % 11000 - 1000 AS DOUBLE) AS number, CAST(NULL AS STRING) AS text FROM {part}
+UNION ALL SELECT 'pol:' || CAST(p_partkey AS STRING), 1, 'balance', 'lt', CAST(p_partkey * 37 % 11000 - 900 + p_partkey % 7 * 40 AS DOUBLE), CAST(NULL AS STRING) FROM {part}
+UNION ALL SELECT 'pol:' || CAST(p_partkey AS STRING), 2, 'segment', 'in', CAST(NULL AS DOUBLE), 'BUILDING,MACHINERY,AUTOMOBILE' FROM {part} WHERE p_partkey % 3 = 0
+UNION ALL SELECT 'pol:' || CAST(p_partkey AS STRING), 3, 'nation', 'ne', CAST(p_partkey % 25 AS DOUBLE), CAST(NULL AS STRING) FROM {part} WHERE p_partkey % 5 = 0""",
     "signals": """
 SELECT event_id AS seq, CASE WHEN event_id % 10 = 9 THEN '' ELSE 'session:' || CAST(user_id AS STRING) END AS entity_id,
   CASE event_id % 8 WHEN 0 THEN 'file_modified' WHEN 1 THEN 'git_commit' WHEN 2 THEN 'git_branch_created' WHEN 3 THEN 'edge_added' WHEN 4 THEN 'content_drift' WHEN 5 THEN 'metric_spike' WHEN 6 THEN 'promotion_changed' ELSE 'unheard_of' END AS signal_type,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, forest, graph, reach, rules
+from ..operators import asof, forest, graph, policytable, reach, rules
 from ..registry import open_store
 from .catalog import ACT, FALLBACK, _place, _registry, _t, query
 from .derived import NOW, derived
@@ -98,6 +98,23 @@ def _(a, r):
     return rules.route_by_table(a, r, FALLBACK).select("artifact_id", "rule_id", "target")
 
 
+@query("p2_policy_table", """WITH f AS (SELECT 'customer:' || c_custkey::VARCHAR AS uid, c_acctbal AS b, c_mktsegment AS s, c_nationkey AS n FROM customer),
+ok AS (SELECT f.uid, c.policy_id, count(*) AS held FROM policy_conditions AS c JOIN f ON CASE c.field || c.operator WHEN 'balancegt' THEN b > c.number WHEN 'balancelt' THEN b < c.number WHEN 'segmentin' THEN list_contains(string_split(c.text, ','), s) ELSE n <> c.number END GROUP BY 1, 2),
+total AS (SELECT policy_id, count(*) AS asked FROM policy_conditions GROUP BY 1)
+SELECT uid, policy_id, action, priority FROM ok JOIN total USING (policy_id) JOIN policy_table USING (policy_id) WHERE held = asked AND enabled AND (scope IS NULL OR scope = 'module')""")
+def _(spark, sf_dir):
+    """A policy a part, with bounds of balances, segments and nations, and all customers."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    uid, none = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")), F.lit(None)
+    fact = lambda field, n, t: c.select(uid.alias("uid"), F.lit(field).alias("field"), n.cast("double").alias("number"), t.cast("string").alias("text"))
+    facts = fact("balance", F.col("c_acctbal"), none).union(fact("nation", F.col("c_nationkey"), none)).union(fact("segment", none, F.col("c_mktsegment")))
+    conditions = derived(spark, sf_dir, "policy_conditions")
+    listed = F.col("operator") == "in"
+    conditions = conditions.withColumn("items", F.when(listed, F.split("text", ","))).withColumn("text", F.when(~listed, F.col("text")))
+    entities = derived(spark, sf_dir, "entities").where("entity_type = 'module'").join(c.select(uid.alias("uid")), "uid", "left_semi")
+    return policytable.match(entities, facts, derived(spark, sf_dir, "policy_table"), conditions)
+
+
 # What a registry logs and keeps
 
 

@@ -49,3 +49,28 @@ def test_contains_by_type(spark):
     got = {r.policy_id for r in rules.evaluate_policies(df, made).collect()}
     assert got == {"tags-d", "tags-abc", "title-a"}
     assert df.select(rules.condition(F.col("tags"), "contains", "d", listed=True)).first()[0]
+
+
+def test_policy_table_is_compiled_policies(spark):
+    from stemma.operators import policytable
+
+    rng = random.Random(8)
+    ents = [(f"e{i}", rng.choice(["repo", "module"]), rng.choice([None, *map(float, range(20))]), rng.choice([None, "a", "b", "ab", "c"])) for i in range(120)]
+    e = spark.createDataFrame(ents, "uid string, entity_type string, size double, title string")
+    facts = e.select("uid", F.lit("size").alias("field"), F.col("size").alias("number"), F.lit(None).cast("string").alias("text")).union(e.select("uid", F.lit("title"), F.lit(None).cast("double"), "title"))
+
+    def made():
+        field = rng.choice(["size", "size", "title"])
+        if field == "size":
+            return field, rng.choice(["gt", "lt", "gte", "lte", "eq", "ne"]), float(rng.randrange(-2, 23))
+        op = rng.choice(["eq", "ne", "in", "not_in", "contains", "unheard"])
+        return field, op, rng.sample(["a", "b", "zz", None], 2) if op in ("in", "not_in") else rng.choice(["a", "b", "c"])
+
+    policies = [{"policy_id": f"p{i}", "action": "x", "priority": i % 4, "scope": rng.choice([None, None, "repo"]), "enabled": rng.random() > 0.1, "conditions": [made() for _ in range(rng.randrange(4))]} for i in range(80)]
+    policies.append({"policy_id": "null", "action": "x", "priority": 1, "scope": None, "enabled": True, "conditions": [("size", "eq", None)]})
+    p = spark.createDataFrame([(p["policy_id"], p["action"], p["priority"], p["scope"], p["enabled"]) for p in policies], "policy_id string, action string, priority int, scope string, enabled boolean")
+    split = lambda v: (v, None, None) if isinstance(v, float) else (None, None, v) if isinstance(v, list) else (None, v, None)
+    c = spark.createDataFrame([(p["policy_id"], k, f, op, *split(v)) for p in policies for k, (f, op, v) in enumerate(p["conditions"])], "policy_id string, k int, field string, operator string, number double, text string, items array<string>")
+    want = {(r.uid, r.policy_id, r.priority) for r in rules.evaluate_policies(e, policies).collect()}
+    got = [(r.uid, r.policy_id, r.priority) for r in policytable.match(e, facts, p, c).collect()]
+    assert len(want) > 500 and len(got) == len(set(got)) and set(got) == want
