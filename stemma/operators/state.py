@@ -45,21 +45,35 @@ def recover(events: DataFrame, up_to: str | None = None, cap: int = REPLAY_CAP)
     The last creation resets type and status; a status counts only after a creation; the name is the last primary one.
     Closed forms of the fold: conditional aggregates, with a partial step.
     """
-    rows = replayed(events, up_to, cap).where(F.col("subject_entity").isNotNull() & (F.col("subject_entity") != ""))
+    return recovered(recovery_parts(replayed(events, up_to, cap)))
+
+
+#: What recovery keeps of an entity. Each part is the last of its kind by seq, or a count, so parts of any split of a log merge.
+PARTS = "born long, entity_type string, last_seq long, status string, named_seq long, display_name string, name_count long"
+
+
+def recovery_parts(events: DataFrame) -> DataFrame:
+    """uid and ``PARTS``: conditional aggregates, with a partial step."""
+    rows = events.where(F.col("subject_entity").isNotNull() & (F.col("subject_entity") != ""))
     kind, seq = F.col("event_type"), F.col("seq")
     created = kind == "entity.created"
     status = F.create_map(*[F.lit(x) for kv in LIFECYCLE.items() for x in kv])
     known = F.when(F.col("entity_type").isin(*TYPES), F.col("entity_type")).otherwise("repo")
     named = F.coalesce(F.col("new_value"), F.lit("")) != ""
     life = kind.isin(*LIFECYCLE)
-    out = rows.groupBy(F.col("subject_entity").alias("uid")).agg(
+    primary = named & kind.isin("entity.created", "entity.renamed")
+    return rows.groupBy(F.col("subject_entity").alias("uid")).agg(
         F.max(F.when(created, seq)).alias("born"), F.max_by(F.when(created, known), F.when(created, seq)).alias("entity_type"),
-        F.max_by(F.when(life, F.struct(seq.alias("seq"), F.try_element_at(status, kind).alias("status"))), F.when(life, seq)).alias("last"),
-        F.max_by(F.when(named, F.col("new_value")), F.when(named & kind.isin("entity.created", "entity.renamed"), seq)).alias("display_name"),
+        F.max(F.when(life, seq)).alias("last_seq"), F.max_by(F.when(life, F.try_element_at(status, kind)), F.when(life, seq)).alias("status"),
+        F.max(F.when(primary, seq)).alias("named_seq"), F.max_by(F.when(primary, F.col("new_value")), F.when(primary, seq)).alias("display_name"),
         F.count(F.when(named & kind.isin("entity.created", "entity.renamed", "name.added"), 1)).alias("name_count"),
     )
-    now = F.when(F.col("last.seq") > F.col("born"), F.col("last.status")).otherwise("active")
-    return out.where("born is not null").select("uid", "entity_type", now.alias("lifecycle_status"), "display_name", "name_count")
+
+
+def recovered(parts: DataFrame) -> DataFrame:
+    """The entities that parts (uid and ``PARTS``) make; those never created are none."""
+    now = F.when(F.col("last_seq") > F.col("born"), F.col("status")).otherwise("active")
+    return parts.where("born is not null").select("uid", "entity_type", now.alias("lifecycle_status"), "display_name", "name_count")
 
 
 def verify_recovery(recovered: DataFrame, expected: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, forest, graph, policytable, reach, rules
 from ..registry import open_store
+from ..streaming import recovery
 from .catalog import ACT, FALLBACK, _place, _registry, _t, query
 from .derived import NOW, derived
 
@@ -193,3 +194,21 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Of every part, the parts that depend on it, and how far."""
     return reach.pairs(*reach.dependencies(derived(spark, sf_dir, "depends_edges"), _all_parts(spark, sf_dir), NOW, reverse=True))
+
+
+@query("t5_recover_stream", """WITH born AS (SELECT subject_entity AS uid, max(seq) AS born, arg_max(entity_type, seq) AS kind FROM event_log WHERE event_type = 'entity.created' GROUP BY 1),
+life AS (SELECT subject_entity AS uid, max(seq) AS died, arg_max(event_type, seq) AS last_event FROM event_log WHERE event_type IN ('entity.deprecated', 'entity.archived') GROUP BY 1),
+nm AS (SELECT subject_entity AS uid, arg_max(new_value, seq) AS display_name FROM event_log WHERE event_type IN ('entity.created', 'entity.renamed') GROUP BY 1),
+ct AS (SELECT subject_entity AS uid, count(*) AS n FROM event_log WHERE event_type IN ('entity.created', 'entity.renamed', 'name.added') GROUP BY 1)
+SELECT uid, CASE WHEN kind IN ('session', 'module') THEN kind ELSE 'repo' END AS entity_type, CASE WHEN died > born THEN substr(last_event, 8) ELSE 'active' END AS lifecycle_status, display_name, n AS name_count
+FROM born LEFT JOIN life USING (uid) LEFT JOIN nm USING (uid) LEFT JOIN ct USING (uid)""")
+def _(spark, sf_dir):
+    """The log's first third as a snapshot, the rest as a stream of several batches."""
+    from ..operators import state
+
+    path, ev = _place(spark), derived(spark, sf_dir, "event_log")
+    snapshot = state.recovery_parts(ev.where("seq % 3 = 0"))
+    ev.where("seq % 3 <> 0").select("seq", "event_type", "subject_entity", "entity_type", "new_value").repartition(4).write.parquet(f"{path}/log")
+    stream = spark.readStream.schema("seq long, event_type string, subject_entity string, entity_type string, new_value string").option("maxFilesPerTrigger", 2).parquet(f"{path}/log")
+    recovery.recover_stream(stream, f"{path}/out", f"{path}/check", snapshot).awaitTermination()
+    return recovery.recovered_so_far(spark, f"{path}/out", snapshot)
