@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, forest, graph, policytable, reach, rules
+from ..operators import asof, forest, graph, metrics, policytable, reach, rules
 from ..registry import open_store
+from ..sources import sealed
 from ..streaming import recovery
 from .catalog import ACT, FALLBACK, _place, _registry, _t, query
 from .derived import NOW, derived
@@ -212,3 +213,40 @@ def _(spark, sf_dir):
     stream = spark.readStream.schema("seq long, event_type string, subject_entity string, entity_type string, new_value string").option("maxFilesPerTrigger", 2).parquet(f"{path}/log")
     recovery.recover_stream(stream, f"{path}/out", f"{path}/check", snapshot).awaitTermination()
     return recovery.recovered_so_far(spark, f"{path}/out", snapshot)
+
+
+# Sealed logs
+
+
+def _sealed_observations(spark, sf_dir):
+    """The observations in three appends, of which the first two are then one segment."""
+    log, o = sealed.observation_log(spark, _place(spark)), derived(spark, sf_dir, "observations").select("seq", "metric_id", "entity_id", "value", "ts")
+    for part in ("seq % 3 = 0", "seq % 3 = 1"):
+        log.append(o.where(part))
+    log.compact()
+    log.append(o.where("seq % 3 = 2"))
+    return log
+
+
+@query("f4_sealed_range", "SELECT seq, entity_id, value FROM observations WHERE metric_id = 'total' AND ts >= TIMESTAMP '1996-01-01 00:00:00' AND ts <= TIMESTAMP '1998-06-01 00:00:00' ORDER BY seq DESC LIMIT 1000")
+def _(spark, sf_dir):
+    since, until = "1996-01-01 00:00:00", "1998-06-01 00:00:00"
+    return metrics.query(_sealed_observations(spark, sf_dir).read(since=since, until=until), "total", None, since, until, 1000).select("seq", "entity_id", "value")
+
+
+@query("w2_sealed_latest", "SELECT metric_id, entity_id, arg_max(value, seq) AS value FROM observations GROUP BY 1, 2")
+def _(spark, sf_dir):
+    return metrics.latest(_sealed_observations(spark, sf_dir).read())
+
+
+@query("f7_version_postings", """WITH v AS (SELECT event_id AS seq, 'sv_' || event_id::VARCHAR AS version_id, unnest(['session:' || user_id::VARCHAR, 'session:' || (user_id + 1)::VARCHAR]) AS entity_id FROM events)
+SELECT DISTINCT entity_id, seq, version_id FROM v WHERE entity_id IN (SELECT 'session:' || user_id::VARCHAR FROM events WHERE event_type = 'signup')""", raw=True)
+def _(spark, sf_dir):
+    """The versions that touch each session that signed up, by postings that two appends kept up."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    uid = lambda c: F.concat(F.lit("session:"), c.cast("string"))
+    versions = ev.select(F.col("event_id").cast("long").alias("seq"), F.concat(F.lit("sv_"), F.col("event_id").cast("string")).alias("version_id"), F.array(uid(F.col("user_id")), uid(F.col("user_id") + 1)).alias("affected_entities"))
+    log = sealed.version_postings(spark, _place(spark))
+    sealed.post(log, versions.where("seq % 2 = 0"))
+    sealed.post(log, versions.where("seq % 2 = 1"))
+    return sealed.versions_of(log, ev.where("event_type = 'signup'").select(uid(F.col("user_id")).alias("entity_id")))
