@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, forest, graph, metrics, policytable, reach, rules
+from ..functions import text as fn
+from ..operators import asof, forest, graph, metrics, mutate, policytable, reach, rules, state, temporal
 from ..registry import open_store
 from ..sources import sealed
 from ..streaming import recovery
-from .catalog import ACT, FALLBACK, _place, _registry, _t, query
+from .catalog import ACT, FALLBACK, _moves, _place, _registry, _t, query
 from .derived import NOW, derived
 
 # States at a time per row
@@ -158,7 +159,6 @@ def _(spark, sf_dir):
 @query("t5_names_from_payloads", "SELECT 'customer:' || c_custkey::VARCHAR AS uid, 'module' AS entity_type, c_name AS display_name, 1 AS name_count FROM customer", raw=True)
 def _(spark, sf_dir):
     """A log in the form that stores keep, a creation's name and type in its payload, recovered after it was opened, saved and opened again."""
-    from ..operators import state
     from ..sources.store import Store
 
     path, c = _place(spark), spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -205,8 +205,6 @@ SELECT uid, CASE WHEN kind IN ('session', 'module') THEN kind ELSE 'repo' END AS
 FROM born LEFT JOIN life USING (uid) LEFT JOIN nm USING (uid) LEFT JOIN ct USING (uid)""")
 def _(spark, sf_dir):
     """The log's first third as a snapshot, the rest as a stream of several batches."""
-    from ..operators import state
-
     path, ev = _place(spark), derived(spark, sf_dir, "event_log")
     snapshot = state.recovery_parts(ev.where("seq % 3 = 0"))
     ev.where("seq % 3 <> 0").select("seq", "event_type", "subject_entity", "entity_type", "new_value").repartition(4).write.parquet(f"{path}/log")
@@ -250,3 +248,95 @@ def _(spark, sf_dir):
     sealed.post(log, versions.where("seq % 2 = 0"))
     sealed.post(log, versions.where("seq % 2 = 1"))
     return sealed.versions_of(log, ev.where("event_type = 'signup'").select(uid(F.col("user_id")).alias("entity_id")))
+
+
+# Scalars, mutations and views that other queries don't show
+
+
+def _base32_sql(value: str, length: int) -> str:
+    return f"array_to_string(list_transform(range({length - 1}, -1, -1), lambda i: substr('{fn.CROCKFORD}', ((({value}) >> (5 * i)::INT) & 31)::INT + 1, 1)), '')"
+
+
+_MILLIS = 1_000_000_000_000
+
+
+def _ulid_sql(key: str) -> str:
+    half = lambda a: f"('0x' || substr(sha256({key}), {a}, 10))::BIGINT"
+    return " || ".join([_base32_sql(f"{_MILLIS}::BIGINT", 10), _base32_sql(half(1), 8), _base32_sql(half(11), 8)])
+
+
+@query("c2_base32", f"SELECT seq, {_base32_sql('seq', 10)} AS code FROM event_log")
+@_t("event_log")
+def _(ev):
+    return ev.select("seq", fn.base32(F.col("seq"), 10).alias("code"))
+
+
+@query("c4_entity_uids", f"SELECT uid, 'ent_' || CASE entity_type WHEN 'module' THEN 'mod' WHEN 'document' THEN 'doc' WHEN 'session' THEN 'sess' ELSE entity_type END || '_' || {_ulid_sql('uid')} AS own FROM entities")
+@_t("entities")
+def _(e):
+    return e.select("uid", fn.entity_uid(F.col("entity_type"), F.lit(_MILLIS), F.col("uid")).alias("own"))
+
+
+@query("j1_children", f"SELECT parent_id, child_id, seq FROM hierarchy_edges WHERE {ACT(NOW)} AND parent_id IN (SELECT uid FROM entities WHERE entity_type = 'repo')")
+@_t("hierarchy_edges", "entities")
+def _(h, e):
+    return temporal.children_of(h, NOW, e.where("entity_type = 'repo'").select(F.col("uid").alias("parent_id"))).select("parent_id", "child_id", "seq")
+
+
+@query("w6_rotated_parents", "SELECT seq, child_id, CAST(lead(valid_from) OVER (PARTITION BY child_id ORDER BY seq) AS VARCHAR) AS valid_to FROM hierarchy_edges")
+@_t("hierarchy_edges")
+def _(h):
+    return temporal.rotate_parent(h.drop("valid_to")).select("seq", "child_id", F.col("valid_to").cast("string").alias("valid_to"))
+
+
+@query("m8_relocate_ctx", f"""WITH mv AS (SELECT 'customer:' || c_custkey AS child_id, 'nation:' || ((c_nationkey + 7) % 25) AS new_parent FROM customer WHERE c_custkey % 13 = 0),
+last AS (SELECT child_id, arg_max(parent_id, seq) AS parent_id FROM hierarchy_edges WHERE {ACT(NOW)} AND child_id IN (SELECT child_id FROM mv) GROUP BY 1),
+hit AS (SELECT min(seq) AS seq FROM hierarchy_edges JOIN last USING (child_id, parent_id) WHERE {ACT(NOW)} GROUP BY child_id)
+SELECT parent_id, child_id, CASE WHEN seq IN (SELECT seq FROM hit) THEN '{NOW}' ELSE CAST(valid_to AS VARCHAR) END AS valid_to FROM hierarchy_edges UNION ALL SELECT new_parent, child_id, NULL FROM mv""")
+def _(spark, sf_dir):
+    edges = mutate.relocate(derived(spark, sf_dir, "hierarchy_edges"), _moves(spark, sf_dir), NOW, "ctx")
+    return edges.select("parent_id", "child_id", F.col("valid_to").cast("string").alias("valid_to"))
+
+
+def _pairs(spark, sf_dir):
+    key = F.col("s_suppkey")
+    uid = lambda k: F.concat(F.lit("supplier:"), k.cast("string"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(key.cast("long").alias("seq"), uid(key).alias("uid"), F.when(key % 2 == 0, uid(key + 1)).alias("successor"))
+
+
+@query("m14_deprecate", """SELECT 'entity' AS part, uid AS a, CASE WHEN uid LIKE 'supplier:%' THEN 'deprecated' ELSE lifecycle_status END AS b, 0 AS turn FROM entities
+UNION ALL SELECT 'lineage', 'supplier:' || (s_suppkey + 1)::VARCHAR, 'supplier:' || s_suppkey::VARCHAR, row_number() OVER (ORDER BY s_suppkey) FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT 'event', 'supplier:' || s_suppkey::VARCHAR, 'entity.deprecated', row_number() OVER (ORDER BY s_suppkey) FROM supplier""")
+def _(spark, sf_dir):
+    """All suppliers, every other one with a successor: entities, lineage and events, the last two as numbered after what was there."""
+    r = _registry(spark, sf_dir)
+    after = r.deprecate(_pairs(spark, sf_dir))
+    top = lambda df: df.agg(F.max("seq")).first()[0]
+    last_line, last_event = top(r.lineage), top(r.events)
+    entities = after.entities.select(F.lit("entity").alias("part"), F.col("uid").alias("a"), F.col("lifecycle_status").alias("b"), F.lit(0).cast("long").alias("turn"))
+    lines = after.lineage.where(F.col("seq") > last_line).select(F.lit("lineage"), "entity_id", "related_id", F.col("seq") - last_line)
+    return entities.union(lines).union(after.events.where(F.col("seq") > last_event).select(F.lit("event"), "subject_entity", "event_type", F.col("seq") - last_event))
+
+
+@query("m4_add_alias", f"SELECT entity_id, display_name, is_primary, CAST(valid_from AS VARCHAR) AS valid_from FROM names UNION ALL SELECT 'supplier:' || s_suppkey::VARCHAR, 'Also ' || s_name, false, '{NOW}' FROM supplier")
+def _(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    aliases = s.select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.concat(F.lit("Also "), F.col("s_name")).alias("display_name"))
+    return _registry(spark, sf_dir).add_alias(aliases).names.select("entity_id", "display_name", "is_primary", F.col("valid_from").cast("string").alias("valid_from"))
+
+
+@query("m17_observe", "SELECT metric_id, entity_id, arg_max(value, seq) AS value FROM (SELECT seq, metric_id, entity_id, value FROM observations UNION ALL SELECT 5000000000 + o_orderkey, 'total', 'order:' || o_orderkey::VARCHAR, o_totalprice * 2 FROM orders) GROUP BY 1, 2")
+def _(spark, sf_dir):
+    """The latest values after one more observation of every order."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    more = o.select((F.lit(5_000_000_000) + F.col("o_orderkey")).alias("seq"), F.lit("total").alias("metric_id"), F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("entity_id"), (F.col("o_totalprice") * 2).alias("value"), F.col("o_orderdate").alias("ts"))
+    return metrics.latest(_registry(spark, sf_dir).observe(more).observations)
+
+
+@query("x4_map_diff", """WITH a AS (SELECT entity_id, kind, size::VARCHAR AS size FROM snapshot_before), b AS (SELECT entity_id, kind, size::VARCHAR AS size FROM snapshot_after)
+SELECT entity_id, 'kind' AS field, a.kind AS old, b.kind AS new FROM a FULL JOIN b USING (entity_id) WHERE a.kind IS DISTINCT FROM b.kind UNION ALL SELECT entity_id, 'size', a.size, b.size FROM a FULL JOIN b USING (entity_id) WHERE a.size IS DISTINCT FROM b.size""")
+@_t("snapshot_before", "snapshot_after")
+def _(a, b):
+    """Properties as maps, whose keys need not be the same on both sides."""
+    held = lambda df: df.select("entity_id", F.map_filter(F.create_map(F.lit("kind"), F.col("kind"), F.lit("size"), F.col("size").cast("string")), lambda _, v: v.isNotNull()).alias("m"))
+    return state.compare_maps(held(a), held(b), "m")
