@@ -113,36 +113,35 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
 ORACLE = r"""
 WITH sizes AS MATERIALIZED (
-  SELECT doc_id, source, coalesce(source, '') || CASE WHEN source IS NULL THEN '0' ELSE '1' END AS s, coalesce(doc_id::VARCHAR, '') AS d, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
-), per AS (
-  SELECT s, any_value(source) AS source, sum(size)::BIGINT AS source_size,
-         CASE (row_number() OVER (ORDER BY any_value(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
-  FROM sizes GROUP BY s
-), leveled AS (
-  SELECT *, 2 * source_size AS cap,
-         (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE
-           - coalesce(sum(2 * source_size) OVER before, 0)::DOUBLE)
-         / ((sum(w) OVER ()) - coalesce(sum(w) OVER before, 0))::DOUBLE AS level
-  FROM per
-  WINDOW before AS (ORDER BY (2 * source_size)::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), goal AS (
-  SELECT s, source_size,
-         CASE WHEN cap::DOUBLE <= w * level THEN cap::DOUBLE ELSE w * max(level) OVER () END AS target
-  FROM leveled
+  SELECT doc_id, source, coalesce(source, '') || CASE WHEN source IS NULL THEN '0' ELSE '1' END AS s, coalesce(doc_id::VARCHAR, '') AS d,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents
+), per AS MATERIALIZED (
+  SELECT s, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY s
+), weighted AS MATERIALIZED (
+  SELECT s, source, source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM per
+), turned AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY (2 * source_size)::DOUBLE / w, source NULLS LAST) AS turn FROM weighted
+), leveled AS MATERIALIZED (
+  SELECT a.s, a.source_size, a.w, 2 * a.source_size AS cap,
+         (1.5::DOUBLE * (SELECT sum(source_size) FROM turned)::DOUBLE - coalesce((SELECT sum(2 * b.source_size) FROM turned AS b WHERE b.turn < a.turn), 0)::DOUBLE)
+         / ((SELECT sum(w) FROM turned) - coalesce((SELECT sum(b.w) FROM turned AS b WHERE b.turn < a.turn), 0))::DOUBLE AS level
+  FROM turned AS a
+), goal AS MATERIALIZED (
+  SELECT s, source_size, CASE WHEN cap::DOUBLE <= w * level THEN cap::DOUBLE ELSE w * (SELECT max(level) FROM leveled) END AS target FROM leveled
 ), rated AS MATERIALIZED (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0 END AS rate FROM goal
-), digest AS MATERIALIZED (
-  SELECT d, h, sha256(d || ':mix' || h::VARCHAR) AS x FROM (SELECT DISTINCT d FROM sizes), range(2) t(h)
+  SELECT s, source_size, target, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0 END AS rate FROM goal
+), ids AS MATERIALIZED (
+  SELECT DISTINCT d, unnest(range(16)) AS k FROM sizes
 ), draw AS MATERIALIZED (
-  SELECT d, (h * 8 + j)::BIGINT AS k, ('0x' || substr(x, (j * 8 + 1)::INTEGER, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM digest, range(8) t(j)
-), total AS (
-  SELECT r.s, w.k, abs(floor(any_value(r.rate)) * any_value(r.source_size) + sum(CASE WHEN w.u < r.rate - floor(r.rate) THEN z.size ELSE 0 END) - any_value(r.target)) AS off
-  FROM sizes z JOIN rated r ON z.s = r.s JOIN draw w ON w.d = z.d
-  GROUP BY r.s, w.k
-), seed AS (
-  SELECT s, k FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY off, k) AS n FROM total) WHERE n = 1
+  SELECT d, k, ('0x' || substr(sha256(d || ':mix' || (k // 8)::VARCHAR), ((k % 8) * 8 + 1)::INTEGER, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM ids
+), drawn AS MATERIALIZED (
+  SELECT z.s, w.k, sum(CASE WHEN w.u < r.rate - floor(r.rate) THEN z.size ELSE 0 END) AS extra
+  FROM sizes AS z JOIN rated AS r ON z.s = r.s JOIN draw AS w ON w.d = z.d GROUP BY z.s, w.k
+), seed AS MATERIALIZED (
+  SELECT d.s, min(struct_pack(off := abs(floor(r.rate) * r.source_size + d.extra - r.target), k := d.k)).k AS k FROM drawn AS d JOIN rated AS r ON d.s = r.s GROUP BY d.s
 )
 SELECT z.doc_id, z.size, r.source_size, r.target,
        (z.size * (floor(r.rate) + CASE WHEN w.u < r.rate - floor(r.rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM sizes z JOIN rated r ON z.s = r.s JOIN seed e ON e.s = r.s JOIN draw w ON w.d = z.d AND w.k = e.k
+FROM sizes AS z JOIN rated AS r ON z.s = r.s JOIN seed AS e ON e.s = r.s JOIN draw AS w ON w.d = z.d AND w.k = e.k
 """
