@@ -62,12 +62,12 @@ def _level(name: str, below: str, where: str) -> str:
 
 @query("a3_rollup_forest", f"""WITH {_ACTIVE}, leaf AS (SELECT entity_id AS uid, v AS s, v AS a, v AS x, v AS m, v AS l FROM (SELECT entity_id, arg_max(value, seq) AS v FROM observations WHERE metric_id = 'total' GROUP BY 1)),
 {_level("cust", "leaf", "customer:%")}, {_level("nat", "cust", "nation:%")}, {_level("reg", "nat", "region:%")}
-SELECT uid AS entity_id, n AS child_count, round(s, 4) AS sum, round(a, 4) AS avg, round(x, 4) AS max, round(m, 4) AS min, n::DOUBLE AS count, round(l, 4) AS latest FROM (SELECT * FROM cust UNION ALL SELECT * FROM nat UNION ALL SELECT * FROM reg)""")
+SELECT uid AS entity_id, n AS child_count, round(s, 4) AS sum, round(a, 6) AS avg, round(x, 4) AS max, round(m, 4) AS min, n::DOUBLE AS count, round(l, 4) AS latest FROM (SELECT * FROM cust UNION ALL SELECT * FROM nat UNION ALL SELECT * FROM reg)""")
 @_t("hierarchy_edges", "observations")
 def _(h, o):
     """For every node with children at once, all policies."""
     out = forest.rollup_forest(h, o, "total", NOW)
-    return out.select("entity_id", "child_count", *[F.round(p, 4).alias(p) for p in _POLICIES])
+    return out.select("entity_id", "child_count", *[F.round(p, 6 if p == "avg" else 4).alias(p) for p in _POLICIES])
 
 
 _BELOW = f"{_ACTIVE}, below AS (SELECT parent_id AS root, child_id AS node FROM act UNION SELECT root, child_id FROM below JOIN act ON parent_id = node)"
