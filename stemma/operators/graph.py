@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, forget
+from ..session import checkpointed, forget, numbered
 from .temporal import as_of, last_by, parent_of
 
 
@@ -158,6 +158,11 @@ def clusters(relations: DataFrame, at: str, relation_type: str | None = None, le
     return out.select("component", "size", "cohesion", "members")
 
 
+def ordered_clusters(found: DataFrame) -> DataFrame:
+    """Clusters with place, from 1: the most cohesive first, equal ones in order of their components."""
+    return numbered(found.withColumn("__least", -F.col("cohesion")), ["__least", "component"], "place").drop("__least")
+
+
 def cluster_inferences(found: DataFrame) -> DataFrame:
     """inference_type, component, entity_ids, score, description of each cluster."""
     text = F.format_string("Cluster of %d entities with %.2f cohesion", "size", "cohesion")

@@ -9,7 +9,7 @@ from ..operators import asof, forest, graph, metrics, mutate, policytable, reach
 from ..registry import open_store
 from ..sources import sealed
 from ..streaming import recovery
-from .catalog import ACT, FALLBACK, _moves, _place, _registry, _t, query
+from .catalog import _CLUSTERS, ACT, FALLBACK, _moves, _place, _registry, _t, query
 from .derived import NOW, derived
 
 # States at a time per row
@@ -340,3 +340,10 @@ def _(a, b):
     """Properties as maps, whose keys need not be the same on both sides."""
     held = lambda df: df.select("entity_id", F.map_filter(F.create_map(F.lit("kind"), F.col("kind"), F.lit("size"), F.col("size").cast("string")), lambda _, v: v.isNotNull()).alias("m"))
     return state.compare_maps(held(a), held(b), "m")
+
+
+@query("o2_clusters_in_order", _CLUSTERS.replace("SELECT s.component, s.n AS size,", "SELECT s.component, row_number() OVER (ORDER BY p / (n * (n - 1) / 2) DESC, s.component) AS place, s.n AS size,"))
+@_t("depends_edges")
+def _(r):
+    """Clusters, the most cohesive first."""
+    return graph.ordered_clusters(graph.clusters(r, NOW)).select("component", "size", F.round("cohesion", 6).alias("cohesion"), "place")
