@@ -2,13 +2,17 @@
 
 A text is split by the pattern of the vocabulary. The pieces of about ``BLOCK_BYTES``
 of texts make a block: its distinct pieces, and for every piece of its texts the
-number of that distinct one. Over all blocks the distinct pieces are encoded once: a
+number of that distinct one. Distinct pieces are encoded, not their occurrences: a
 piece's bytes are the parts to begin with, and an ``aggregate`` folds over them, at
 each step joining the leftmost neighbours whose bytes have the lowest rank, until
 none have one. Ranks come from a literal: an array of small maps by checksum, as
-Spark looks a key up in a map by going through it. Ids go back to the blocks, one
-message a block and distinct piece, so that a frequent piece burdens no task and no
-occurrence is shuffled. Decoding looks ids up in a literal array of pieces.
+Spark looks a key up in a map by going through it.
+
+The pieces that the most blocks hold, at most ``SHARED``, are encoded once and
+broadcast; those that a block holds besides, seldom found elsewhere, are encoded in
+the block. Only distinct pieces are ever shuffled, to be counted; ids and texts stay
+where they are, so a frequent piece burdens no task. Decoding concatenates the ids'
+pieces.
 
 Pieces of more than ``LONG`` bytes (base64, unbroken scripts) don't enter the fold,
 which takes time in proportion to the square of a piece's length; a heap of pairs
@@ -24,23 +28,28 @@ doesn't have, decode to nothing; a null list of ids decodes to an empty text.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .shared import discard, materialize
+from .textops import pack, unpack
 
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 LONG = 256
-WORDS_A_TASK = 20_000
+#: The most pieces that are broadcast: at most 2^18 pieces of at most ``LONG`` bytes each, whatever the input.
+SHARED = 1 << 18
+WORDS_A_TASK = 5_000
 BUCKETS = 1 << 14
 NONE = 1 << 30
 PLACE_BITS = 9
@@ -70,7 +79,7 @@ def java_pattern(pattern: str) -> str:
 
 
 class Vocabulary:
-    """Ranks by bytes, and the literals that hold them."""
+    """Ranks by bytes, and the literal that holds them."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, pattern
@@ -88,13 +97,6 @@ class Vocabulary:
             buckets[zlib.crc32(name.encode()) % BUCKETS][name] = rank
         return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
-    def by_id(self, shown) -> Column:
-        """array<string>: ``shown(id, piece)`` at the place of every id, a literal once constants are folded."""
-        names = [""] * (max(self.ranks.values(), default=-1) + 1)
-        for piece, rank in self.ranks.items():
-            names[rank] = shown(rank, piece)
-        return F.from_json(F.lit(json.dumps(names)), "array<string>")
-
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
@@ -166,104 +168,188 @@ def heap_merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-BLOCK = "block bigint, doc_ids array<bigint>, sizes array<int>, numbers array<int>, words array<string>"
+def ranges(bounds: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` pieces or bytes each, from where they begin and end."""
+    at = 0
+    while at < len(bounds) - 1:
+        upto = min(max(int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1, at + 1), len(bounds) - 1)
+        yield at, upto
+        at = upto
+
+
+BLOCK = "doc_ids array<bigint>, ends array<int>, numbers binary, words array<string>"
 
 
 def blocks_of(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A written table of blocks. Words are distinct pieces whose characters are the pieces' bytes."""
+    """A written table of blocks. Words are distinct pieces whose characters are the pieces' bytes, frequent ones first; numbers
+    are those of the texts' pieces, packed, and ends the places in them where texts end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+        held, size = [], 0
 
         def block() -> pa.RecordBatch:
-            nonlocal made
             found = pa.Table.from_batches(held).combine_chunks()
-            pieces = found.column("pieces").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.string()))
+            pieces = found.column("pieces").combine_chunks()
             flat = pieces.flatten().dictionary_encode()
-            words = pa.array([w.decode("latin-1") for w in flat.dictionary.cast(pa.binary()).to_pylist()], pa.string())
-            sizes = np.diff(pieces.offsets.to_numpy()).astype(np.int32)
-            row = [pa.array([(task << 32) + made], pa.int64()), *[pa.array([x], pa.list_(k)) for x, k in ((found.column("doc_id").to_numpy(zero_copy_only=False) if not found.column("doc_id").null_count else found.column("doc_id").to_pylist(), pa.int64()), (sizes, pa.int32()))]]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (flat.indices, words)]
-            made += 1
-            return pa.RecordBatch.from_arrays(row + lists, names=[x.split()[0] for x in BLOCK.split(", ")])
+            order = np.argsort(-np.bincount(flat.indices.to_numpy(), minlength=len(flat.dictionary)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            words = pa.array([w.decode("latin-1") for w in flat.dictionary.take(pa.array(order)).cast(pa.binary()).to_pylist()], pa.string())
+            bounds = pieces.offsets.to_numpy().astype(np.int64)
+            bounds -= bounds[0]
+            packed, ends, done = [], [], 0
+            for a, b in ranges(bounds):
+                data, sizes = pack(rank[flat.indices.to_numpy()[bounds[a] : bounds[b]]])
+                ends.append(done + np.concatenate(([0], np.cumsum(sizes)))[bounds[a + 1 : b + 1] - bounds[a]])
+                packed.append(data.tobytes())
+                done += len(data)
+            columns = [pa.ListArray.from_arrays(pa.array([0, found.num_rows], pa.int32()), found.column("doc_id").combine_chunks()), pa.array([np.concatenate(ends)], pa.list_(pa.int32())), pa.array([b"".join(packed)], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
         for batch in batches:
-            n = batch.column(1).nbytes
-            if held and size + n > block_bytes:
-                yield block()
-                held, size = [], 0
-            held.append(batch)
-            size += n
+            lists = batch.column(1)
+            if not len(lists) or not len(lists.values):
+                held.append(batch)
+                continue
+            text = lists.values
+            bytes_to = np.frombuffer(text.buffers()[1], np.int32)[text.offset + lists.offsets.to_numpy()]
+            for a, b in ranges(bytes_to.astype(np.int64), block_bytes):
+                n = int(bytes_to[b] - bytes_to[a])
+                if held and size + n > block_bytes:
+                    yield block()
+                    held, size = [], 0
+                held.append(batch.slice(a, b - a))
+                size += n
         if held:
             yield block()
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     pieces = F.regexp_extract_all(F.coalesce(docs["text"], F.lit("")), F.lit(java_pattern(pattern)), 0)
     return materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), pieces.alias("pieces")).mapInArrow(run, BLOCK), "blocks")
 
 
-def dictionary_of(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """A written table of word, ids: all distinct words of the blocks."""
-    words = materialize(blocks.select(F.explode("words").alias("word")).distinct(), "words")
+def shared_words(blocks: DataFrame, vocabulary: Vocabulary, most: int = SHARED) -> pa.Table:
+    """word, ids of at most ``most`` short words: those that the most blocks hold, and at least two."""
+    counted = blocks.select(F.explode("words").alias("word")).where(F.length("word") <= LONG).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    counted = materialize(counted.withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "words")
+    room, least = most, None
+    for r in sorted(counted.groupBy("class").count().collect(), key=lambda r: -r["class"]):  # some hundred classes
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["class"]
+    held = counted.where(F.lit(False) if least is None else F.col("class") >= least).select("word")
+    # Dealt out anew, as the few bytes of the words say little of the time they take.
+    dealt = held.repartition(max(1, held.count() // WORDS_A_TASK))
+    out = materialize(dealt.select("word", let(vocabulary.rank_map(), lambda literal: fold(F.col("word"), literal)).alias("ids")), "shared")
+    found = out.toArrow()
+    discard(counted, out)
+    return found
+
+
+def ragged(parts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, first places and lengths of several arrays of lists, one after the other."""
+    values, first, long, at = [], [], [], 0
+    for x in parts:
+        offsets = x.offsets.to_numpy().astype(np.int64)
+        own = x.values.to_numpy()[offsets[0] : offsets[-1]] if len(x) else np.zeros(0, np.int32)
+        values.append(own)
+        first.append(offsets[:-1] - offsets[0] + at if len(x) else np.zeros(0, np.int64))
+        long.append(np.diff(offsets))
+        at += len(own)
+    return np.concatenate(values), np.concatenate(first), np.concatenate(long)
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = BLOCK_BYTES, shared: int = SHARED, then: tuple[Callable[[pa.RecordBatch], pa.RecordBatch], str] | None = None) -> DataFrame:
+    """doc_id, ids of every row of ``docs`` (doc_id, text); or what ``then``, a function of batches of these and the schema of its
+    result, makes of them in the same task."""
+    finish, schema = then or (lambda batch: batch, "doc_id bigint, ids array<int>")
+    blocks = blocks_of(docs, vocabulary.pattern, block_bytes)
+    found = shared_words(blocks, vocabulary, shared)
+    sent = docs.sparkSession.sparkContext.broadcast((found.column("word").combine_chunks(), found.column("ids").combine_chunks()))
     ranks = vocabulary.ranks
 
-    def heaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [heap_merged(w.encode("latin-1"), ranks) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+    def apart(words: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Of a block's words: their places among the shared ones, those that are left, and the long ones."""
+        known = pa.compute.index_in(words, value_set=sent.value[0])
+        rest = words.filter(known.is_null())
+        short = pa.compute.less_equal(pa.compute.utf8_length(rest), LONG)
+        return known, rest.filter(short), rest.filter(pa.compute.invert(short))
 
-    # Dealt out anew, as the few bytes of the words say little of the time they take.
-    dealt = words.repartition(max(1, words.count() // WORDS_A_TASK))
-    short = dealt.where(F.length("word") <= LONG).select("word", let(vocabulary.rank_map(), lambda literal: fold(F.col("word"), literal)).alias("ids"))
-    long = words.where(F.length("word") > LONG).mapInArrow(heaps, "word string, ids array<int>")
-    out = materialize(short.union(long), "dictionary")
-    discard(words)
-    return out
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, ends, words, rest = (batch.column(c)[i].values for c in (0, 1, 3, 4))
+                numbers = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
+                known, short, long = apart(words)
+                # Where each word's ids stand: of the shared ones, then of this block's short and long ones.
+                values, first, size = ragged([sent.value[1], rest, pa.array([heap_merged(w.encode("latin-1"), ranks) for w in long.to_pylist()], pa.list_(pa.int32()))])
+                place = known.fill_null(-1).to_numpy().astype(np.int64)
+                others = np.flatnonzero(place < 0)
+                is_long = pa.compute.utf8_length(words.take(pa.array(others))).to_numpy() > LONG
+                n = len(sent.value[0])
+                place[others[~is_long]] = n + np.arange(len(short))
+                place[others[is_long]] = n + len(short) + np.arange(len(long))
+                first, size = first[place], size[place]
+                bounds = np.concatenate(([0], ends.to_numpy()))
+                for a, b in ranges(bounds):  # some texts at a time, so that memory stays bounded
+                    mine = unpack(numbers[bounds[a] : bounds[b]])
+                    # A text ends after the piece whose last byte is there.
+                    before = np.concatenate(([0], np.cumsum(numbers[bounds[a] : bounds[b]] < 128)))[bounds[a : b + 1] - bounds[a]]
+                    many = size[mine]
+                    upto = np.concatenate(([0], np.cumsum(many)))
+                    own = values[np.repeat(first[mine] - upto[:-1], many) + np.arange(int(upto[-1]))]
+                    yield finish(pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(upto[before], pa.int32()), pa.array(own, pa.int32()))], names=["doc_id", "ids"]))
+                pa.default_memory_pool().release_unused()
+
+    # The shared words as a literal, too, so that what is left of a block's is found and folded without leaving the JVM.
+    literal = F.from_json(F.lit(json.dumps(found.column("word").to_pylist())), "array<string>")
+    rest = F.filter(F.array_except("words", literal), lambda w: F.length(w) <= LONG)
+    folded = let(vocabulary.rank_map(), lambda ranked: F.transform(rest, lambda w: fold(w, ranked)))
+    return blocks.select("doc_ids", "ends", "numbers", "words", folded.alias("rest")).mapInArrow(assemble, schema)
+
+
+def pieces_of(vocabulary: Vocabulary) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from ids to the bytes of their pieces, one after the other; ids that are not in the vocabulary have none."""
+    names = [b""] * (max(vocabulary.ranks.values(), default=-1) + 1)
+    for piece, rank in vocabulary.ranks.items():
+        names[rank] = piece
+    pieces, bounds = np.frombuffer(b"".join(names), np.uint8), np.cumsum([0, *map(len, names)])
+
+    def of(ids: np.ndarray) -> np.ndarray:
+        ids = ids[(ids >= 0) & (ids < len(bounds) - 1)]
+        n = bounds[ids + 1] - bounds[ids]
+        ends = np.cumsum(n)
+        return pieces[np.repeat(bounds[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+    return of
+
+
+def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``rows`` with ids (array<int>) and decoded (binary) beside their other columns. Cast to a string, decoded is the text, if
+    the ids are those of a whole text. A column named decoded is replaced."""
+    of = pieces_of(vocabulary)
+    others = [c for c in rows.columns if c != "decoded"]
+    schema = StructType([*(rows.schema[c] for c in others), StructField("decoded", BinaryType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [of(x.values.drop_null().to_numpy()).tobytes() if x.is_valid else b"" for x in part.column(part.schema.get_field_index("ids"))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, ids of every row of ``docs`` (doc_id, text)."""
-    blocks = blocks_of(docs, vocabulary.pattern, block_bytes)
-    words = dictionary_of(blocks, vocabulary)
-    messages = blocks.select("block", F.posexplode("words").alias("number", "word")).join(words, "word").select("block", "number", "ids")
-
-    def assemble(key, ids: pa.Table, texts: pa.Table) -> pa.Table:
-        order = np.argsort(ids.column("number").to_numpy())
-        lists = ids.column("ids").combine_chunks()
-        starts, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-        first, long = starts[:-1][order], np.diff(starts)[order]
-        row = {c: texts.column(c).combine_chunks().flatten() for c in ("doc_ids", "sizes", "numbers")}
-        sizes, numbers = row["sizes"].to_numpy(), row["numbers"].to_numpy()
-        out, at = [], 0
-        bounds = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-        while at < len(sizes):  # some documents at a time, so that memory stays bounded
-            upto = min(max(int(np.searchsorted(bounds, bounds[at] + (1 << 20), "right")) - 1, at + 1), len(sizes))
-            mine = numbers[bounds[at] : bounds[upto]]
-            n = long[mine]
-            ends = np.cumsum(n)
-            values = flat[np.repeat(first[mine] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-            offsets = np.concatenate(([0], ends))[bounds[at : upto + 1] - bounds[at]]
-            out.append(pa.RecordBatch.from_arrays([row["doc_ids"].slice(at, upto - at), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], names=["doc_id", "ids"]))
-            at = upto
-        return pa.Table.from_batches(out)
-
-    texts = blocks.select(F.col("block").alias("own"), "doc_ids", "sizes", "numbers")
-    return messages.groupBy("block").cogroup(texts.groupBy("own")).applyInArrow(assemble, "doc_id bigint, ids array<int>")
-
-
-def joined(ids: Column, shown: Column) -> Column:
-    """The binary of all ``shown`` hexadecimal strings of the ids, one after the other."""
-    return F.unhex(F.array_join(F.transform(F.coalesce(ids, F.array().cast("array<int>")), lambda i: F.get(shown, i)), ""))
-
-
-def decode(ids: Column, vocabulary: Vocabulary) -> Column:
-    """The bytes of a list of ids. Cast to a string they are the text, if the ids are those of a whole text."""
-    return joined(ids, vocabulary.by_id(lambda _, piece: piece.hex()))
+    return rows.select(*others).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The digest columns of the contract of op11."""
-    words = vocabulary.by_id(lambda rank, _: rank.to_bytes(4, "little").hex())
-    return encode(docs, vocabulary).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined(F.col("ids"), words), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
-    )
+    """The digest columns of the contract of op11, made where the ids are."""
+    of = pieces_of(vocabulary)
+
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = [x.values.to_numpy() for x in batch.column(1)]
+        sums = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists], [hashlib.sha256(of(x).tobytes()).hexdigest() for x in lists]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, lists), pa.int64()), *map(pa.array, sums)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode(docs, vocabulary, then=(digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"))

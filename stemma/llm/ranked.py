@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import among, bitmap, discard, materialize
-from .textops import ALNUM, LOWER, buffers, slices, words
+from .textops import ALNUM, LOWER, buffers, pack, slices, unpack, words
 
 SEGMENT_BYTES = 8 << 20
 BLOCK = 128
@@ -65,28 +65,6 @@ def impact(tf: np.ndarray, size: np.ndarray, n: int, total: int) -> np.ndarray:
     return (1_000_000_000 * tf) // (1000 * tf + 8 * m)
 
 
-def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of seven bits, the lowest first, the last one of a value below 128; and how many bytes each value takes."""
-    sizes = np.ones(len(values), np.int64)
-    for bits in (7, 14, 21, 28):
-        sizes += values >= 1 << bits
-    ends = np.cumsum(sizes)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for i in range(int(sizes.max(initial=0))):
-        has = sizes > i
-        out[(ends - sizes)[has] + i] = ((values[has] >> (7 * i)) & 127) | np.where(sizes[has] > i + 1, 128, 0)
-    return out, sizes
-
-
-def unpack(data: np.ndarray) -> np.ndarray:
-    if not len(data):
-        return np.zeros(0, np.int64)
-    last = np.flatnonzero(data < 128)
-    first = np.concatenate(([0], last[:-1] + 1))
-    place = np.arange(len(data)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), first)
-
-
 def postings(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct terms of some texts, then code, document and count of every posting in that order, and the texts' sizes."""
     data, offsets = buffers(column)

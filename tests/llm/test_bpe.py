@@ -34,15 +34,16 @@ def test_query(spark, plain):
     assert len(got) == len(want) and set(got) == want
 
 
-def test_hard_texts(spark, vocabulary, plain):
+@pytest.mark.parametrize("shared", [0, 40, 1 << 18])
+def test_hard_texts(spark, vocabulary, plain, shared):
     """White space of every kind, contractions, letters and numbers of new and old scripts, long pieces, null, empty and repeated rows."""
     rng = random.Random(5)
     odd = [*"'stllab12!? \n\t\r\x85  　é漢字кнаا١²Ⅷ😀́​", chr(0x1C89), chr(0x10D40), chr(0x31350), chr(0x888), chr(0xE000), chr(0x10FFFF)]
     rows = [(i, "".join(rng.choice(odd) for _ in range(rng.randint(0, 60)))) for i in range(400)]
     rows += [(1000, None), (1001, ""), (1002, "a" * 3000), (1003, "Ab9+/xQ" * 700), (1004, " " * 4000 + "x"), (1005, "漢字" * 400), (1006, "the cat's"), (1006, "the cat's"), (None, "no id")]
     docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, ids int").repartition(3)
-    got = bpe.encode(docs, vocabulary, block_bytes=2000)
-    back = got.select("doc_id", "ids", bpe.decode(F.col("ids"), vocabulary).cast("string").alias("text")).collect()
+    got = bpe.encode(docs, vocabulary, block_bytes=2000, shared=shared)
+    back = bpe.decode(got, vocabulary).select("doc_id", "ids", F.col("decoded").cast("string").alias("text")).collect()
     assert sorted(((r.doc_id, list(r.ids), r.text) for r in back), key=repr) == sorted(((i, plain(t or ""), t or "") for i, t in rows), key=repr)
 
 
@@ -53,8 +54,8 @@ def test_heap_is_fold(spark, vocabulary, plain):
 
 
 def test_decode_odd(spark, vocabulary):
-    df = spark.createDataFrame([([0, 1],), ([],), (None,), ([60000, None, 0],)], "ids array<int>")
-    assert [bytes(r[0]) for r in df.select(bpe.decode(F.col("ids"), vocabulary)).collect()] == [b'!"', b"", b"", b"!"]
+    df = spark.createDataFrame([(1, [0, 1], "x"), (2, [], "x"), (3, None, "x"), (4, [60000, None, 0, -1], "x")], "k int, ids array<int>, decoded string")
+    assert sorted((r.k, bytes(r.decoded)) for r in bpe.decode(df, vocabulary).collect()) == [(1, b'!"'), (2, b""), (3, b""), (4, b"!")]
 
 
 def test_empty(spark, vocabulary):

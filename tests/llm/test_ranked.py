@@ -10,6 +10,7 @@ import pytest
 from oracle import SF, assert_same
 
 from stemma.llm import catalog, ranked
+from stemma.llm.textops import pack, unpack
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -76,8 +77,8 @@ def test_empty(spark):
 
 def test_bytes():
     values = np.array([0, 1, 127, 128, 16383, 16384, 2**21, 2**28 - 1, 2**28, 2**31])
-    data, sizes = ranked.pack(values)
-    assert list(ranked.unpack(data)) == list(values) and sizes.sum() == len(data)
+    data, sizes = pack(values)
+    assert list(unpack(data)) == list(values) and sizes.sum() == len(data)
 
 
 def test_blocks_are_skipped():
@@ -90,7 +91,7 @@ def test_blocks_are_skipped():
     rows = []
     for d, tf in ((docs, np.ones(n, np.int64)), (np.array([2500]), np.array([9]))):
         blocks = np.arange(0, len(d), 128)
-        data, long = ranked.pack(np.stack([np.diff(d, prepend=0), tf], axis=1).ravel())
+        data, long = pack(np.stack([np.diff(d, prepend=0), tf], axis=1).ravel())
         begin = np.concatenate(([0], np.cumsum(long)[1::2][:-1]))
         rows.append({"firsts": d[blocks], "lasts": d[np.append(blocks[1:], len(d)) - 1], "most": np.maximum.reduceat(ranked.impact(tf, sizes[d], n, 100 * n), blocks), "starts": begin[blocks], "bytes": data.tobytes()})
     lists = ranked.Lists(pa.Table.from_pylist([{k: v if isinstance(v, bytes) else v.tolist() for k, v in r.items()} for r in rows]), sizes, n, 100 * n)
