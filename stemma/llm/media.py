@@ -13,7 +13,8 @@ grow with the table.
 
 Nulls: a null text is the empty payload, stored as 64 zero bytes; a null doc_id
 stays null. Repeated rows are stored each; equal texts give equal values, as no
-value depends on anything but the text. Other columns are not looked at.
+value depends on anything but the text. Other columns are not looked at. A very
+long text is a slice of its own, stored whole. An empty table gives empty results.
 """
 
 from __future__ import annotations

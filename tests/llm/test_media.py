@@ -108,3 +108,8 @@ def test_resampled_stays_in_its_clip():
     for to in (4000, 5000, 8000, 12000):
         got, first = media.resampled(pcm, ends - sizes, ends, 8000, to)
         assert [got[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [plain_resampled(pcm[b - n : b].tolist(), to) for n, b in zip(sizes, ends)]
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert media.report(empty).count() == 0
