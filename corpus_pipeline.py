@@ -29,22 +29,28 @@ from stemma.llm.shared import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns profiles from the rows with a language and keeps texts near one of them, the prediction in ``lang``. Ties go to the
+    first language by name; without rows to learn from nothing is kept."""
     return language.keep_identified(docs, language.fit(docs, F.lit(True)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents the one of the smallest doc_id stays; of repeated rows one."""
     return neardup.drop_copies(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which a twentieth or more lies in windows of ``benchmark``; without benchmark items all stay."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, secrets in their texts replaced; texts without any are returned as they were."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as its source's target asks, with ``mix_copy``; rows of equal doc_id draw alike."""
     return mixing.mix(docs)
 
 
