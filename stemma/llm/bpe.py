@@ -124,8 +124,10 @@ def fold(piece: Column, ranks: Column) -> Column:
 
     def merged(state: Column, low: Column) -> Column:
         gone = F.lit(-1).cast("long")
-        joined = F.transform(state, lambda x, i: F.when(x == low, part(begin(low), end(low), end(F.get(state, i + 1)))).when(begin(x) == middle(low), gone).when(middle(x) == begin(low), part(begin(x), begin(low), end(low))).otherwise(x))
-        return F.array_remove(joined, gone)
+        # Compared where they stand, without shifts, as this is done for every part at every step.
+        begins, middles = F.lit((digits - 1) * digits**2).cast("long"), F.lit((digits - 1) * digits).cast("long")
+        joined = lambda next_, own: F.transform(state, lambda x, i: F.when(x == low, part(begin(low), end(low), end(F.get(state, i + 1)))).when(x.bitwiseAND(begins) == next_, gone).when(x.bitwiseAND(middles) == own, part(begin(x), begin(low), end(low))).otherwise(x))
+        return F.array_remove(let(F.shiftleft(middle(low), 2 * PLACE_BITS), lambda next_: let(F.shiftleft(begin(low), PLACE_BITS), lambda own: joined(next_, own))), gone)
 
     def step(state: Column, _: Column) -> Column:
         return let(F.array_min(state), lambda low: F.when(low >= NONE * digits**3, state).otherwise(merged(state, low)))
