@@ -4,7 +4,8 @@
 A segment holds, for its documents, the sorted terms and for each term the
 ascending list of positions (documents one after the other, a gap between), so
 every list is bounded by the segment and a frequent term burdens no single task.
-Segments with the postings of all terms are written to the shared folder; an
+Segments with the postings of all terms are written to the shared folder, in row
+groups of a few segments, so that a task holds few at a time however many it has; an
 index for known queries only may leave out other terms (``terms``).
 
 ``search`` answers phrases on each segment: beginning with its rarest term, a
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, identity, materialize, without
+from .shared import WIDE, discard, identity, materialize, without
 from .textops import ALNUM, hashed_words, slices
 
 WINDOW = 13
@@ -71,7 +72,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, segment_bytes:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(k)) for x, k in zip(row, kinds)], names=[x.split()[0] for x in INDEX.split(", ")])
 
     rows = docs.select(*identity(docs), docs["text"].alias("text"))
-    return materialize(rows.mapInArrow(run, INDEX), "postings")
+    return materialize(rows.mapInArrow(run, INDEX), "postings", options=WIDE)
 
 
 class Phrases:
