@@ -74,3 +74,22 @@ def test_policy_table_is_compiled_policies(spark):
     want = {(r.uid, r.policy_id, r.priority) for r in rules.evaluate_policies(e, policies).collect()}
     got = [(r.uid, r.policy_id, r.priority) for r in policytable.match(e, facts, p, c).collect()]
     assert len(want) > 500 and len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("size", [1, 3, 1 << 20])
+def test_policy_pairs_meet_once(spark, monkeypatch, size):
+    """Pairs are neither shuffled nor put together again after they have met, and cells of any size find the same."""
+    from stemma.operators import policytable
+
+    monkeypatch.setattr(policytable, "CELL_POLICIES", size)
+    monkeypatch.setattr(policytable, "CELL_ENTITIES", size)
+    e = spark.range(40).select(F.concat(F.lit("e"), "id").alias("uid"), F.lit("repo").alias("entity_type"), F.col("id"))
+    facts = e.select("uid", F.lit("size").alias("field"), F.col("id").cast("double").alias("number"), F.lit(None).cast("string").alias("text"))
+    p = spark.range(20).select(F.concat(F.lit("p"), "id").alias("policy_id"), F.lit("x").alias("action"), F.lit(1).alias("priority"), F.lit(None).cast("string").alias("scope"), F.lit(True).alias("enabled"))
+    bound = lambda k, op, n: spark.range(18).select(F.concat(F.lit("p"), "id").alias("policy_id"), F.lit(k).alias("k"), F.lit("size").alias("field"), F.lit(op).alias("operator"), n.cast("double").alias("number"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<string>").alias("items"))
+    got = policytable.match(e.drop("id"), facts, p, bound(0, "gt", F.col("id")).union(bound(1, "lte", F.col("id") + 5)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
+    want = {(f"e{i}", f"p{j}") for i in range(40) for j in range(20) if j >= 18 or j < i <= j + 5}
+    rows = [(r.uid, r.policy_id) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
