@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, running
 from .graph import descend
 from .temporal import as_of, at_literal, last_by
 
@@ -101,5 +101,26 @@ def ratio(obs: DataFrame, over: str, under: str) -> DataFrame:
 
 
 def distribution(obs: DataFrame, points=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Extension: exact percentiles of each metric."""
-    return obs.groupBy("metric_id").agg(*[F.percentile("value", p).alias(f"p{int(100 * p)}") for p in points])
+    """Extension: exact percentiles of each metric, between neighbours by the distance to them; nulls don't count.
+
+    Values are counted, and places in their order are running sums of the counts, so no task holds a metric's values: a task
+    has a range of them, however many rows one metric has.
+    """
+    value = F.when(F.col("value") == 0, F.lit(0.0)).otherwise(F.col("value").cast("double"))
+    counted = obs.where("value is not null").groupBy("metric_id", value.alias("value")).agg(F.count("*").alias("n"))
+    placed = checkpointed(running(counted, ["metric_id", "value"], ["n"]))
+    sizes = placed.groupBy(F.col("metric_id").alias("__metric")).agg(F.min("before_n").alias("start"), F.sum("n").alias("size"))
+    rows = placed.join(sizes, F.col("metric_id").eqNullSafe(F.col("__metric"))).withColumn("first", F.col("before_n") - F.col("start"))
+    picked = []
+    for p in points:
+        at = (F.col("size") - 1) * F.lit(float(p))
+        for name, place in (("low", F.floor(at)), ("high", F.ceil(at))):
+            picked.append(F.max(F.when((F.col("first") <= place) & (place < F.col("first") + F.col("n")), F.col("value"))).alias(f"{name}{int(100 * p)}"))
+    found = rows.groupBy("metric_id").agg(F.max("size").alias("size"), *picked)
+    out = obs.select(F.col("metric_id").alias("__metric")).distinct().join(found, F.col("metric_id").eqNullSafe(F.col("__metric")), "left")
+
+    def between(p):
+        low, high, at = F.col(f"low{int(100 * p)}"), F.col(f"high{int(100 * p)}"), (F.col("size") - 1) * F.lit(float(p))
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(f"p{int(100 * p)}")
+
+    return out.select(F.col("__metric").alias("metric_id"), *[between(p) for p in points])

@@ -190,3 +190,19 @@ def test_mutations(spark):
 def test_tension(spark):
     r = relations(spark, [(f"s{i}", "hub", None) for i in range(6)] + [("s0", "small", None)])
     assert [(x["target_id"], x["incoming"], x["severity"]) for x in state.overcoupling(r, NOW).collect()] == [("hub", 6, 0.6)]
+
+
+def test_distribution_by_counts(spark):
+    """As Spark's percentile gives them, without an aggregate that holds a metric's values."""
+    from pyspark.sql import functions as F
+
+    from stemma.operators import metrics
+
+    rows = [("hot", float(i * i % 97)) for i in range(500)] + [("one", 3.5), ("two", -1.0), ("two", None), ("two", 2.0), ("none", None), (None, 4.0), (None, float("nan")), ("zero", -0.0), ("zero", 0.0)]
+    obs = spark.createDataFrame(rows, "metric_id string, value double").repartition(5)
+    points = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+    found = metrics.distribution(obs, points)
+    assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = obs.groupBy("metric_id").agg(*[F.percentile("value", p).alias(f"p{int(100 * p)}") for p in points])
+    plain = lambda df: sorted((r.metric_id or "", *[None if x is None else repr(round(x, 9) + 0.0) for x in r[1:]]) for r in df.collect())
+    assert plain(found) == plain(want)
