@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, forget, running
-from .metrics import latest
 from .temporal import is_active, last_by
 
 
@@ -91,24 +90,29 @@ def subtree_sizes(edges: DataFrame, at: str) -> DataFrame:
 def rollup_forest(edges: DataFrame, obs: DataFrame, metric_id: str, at: str) -> DataFrame:
     """entity_id, child_count, sum, avg, max, min, count, latest of every node with children, rolled up from the leaves.
 
-    A leaf has its latest value, or 0; an inner node rolls its children's rolled values up: the sum of sums is a total over
-    leaves, the greatest and least are folded along doubled pointers, the average of averages is a total weighted by the numbers
-    of siblings on the way, and the latest is the value of the leaf that the last children lead to.
+    A leaf has its latest value, or 0; an inner node rolls its children's rolled values up. Leaves are folded into their parents
+    first, in one aggregate, so that pointers are doubled among inner nodes only: sums, greatest and least are folded upwards, the
+    average of averages is a total weighted by the numbers of siblings on the way, and the latest is the value of the leaf that
+    the last children lead to. Totals are of a node's own leaves, not differences of sums over the whole forest.
     """
-    nodes = checkpointed(forest(edges, at))
-    kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("child_count"), F.max_by("node", F.struct("seq", "node")).alias("last_child"))
-    own = latest(obs.where(F.col("metric_id") == metric_id)).select(F.col("entity_id").alias("node"), "value")
-    base = nodes.join(kids, "node", "left").join(own, "node", "left")
-    base = checkpointed(base.select("node", "parent", "seq", "child_count", "last_child", F.when(F.col("child_count").isNull(), F.coalesce("value", F.lit(0.0))).alias("leaf")))
-    parents = kids.select(F.col("node").alias("parent"), (1.0 / F.col("child_count")).alias("share"))
-    weighed = base.join(parents, "parent", "left").select("node", "parent", F.coalesce("share", F.lit(1.0)).alias("weight"), F.col("leaf").alias("high"), F.col("leaf").alias("low"))
-    folded = checkpointed(doubled(weighed, "parent", {"weight": F.col("weight") * F.col("far_weight")}, {"high": F.max, "low": F.min}))
-    lasts = doubled(base.select("node", "last_child", F.col("node").alias("end")), "last_child", {"end": F.col("far_end")})
-    ends = lasts.join(base.select(F.col("node").alias("end"), F.col("leaf").alias("latest")), "end").select("node", "latest")
-    toured = checkpointed(tour(base))
-    leaves = base.where("leaf is not null").join(folded, "node").select("node", F.col("leaf").alias("sum"), (F.col("leaf") * F.col("weight")).alias("mean"))
-    totals = subtree_totals(toured, leaves, ["sum", "mean"])
-    out = base.where("child_count is not null").select("node", "child_count").join(totals, "node").join(folded, "node").join(ends, "node")
+    up = last_by(edges.where(is_active(at)), ["child_id"], ["seq"], ["parent_id", "seq"]).select(F.col("child_id").alias("node"), F.col("parent_id").alias("parent"), "seq")
+    own = last_by(obs.where(F.col("metric_id") == metric_id), ["entity_id"], ["seq"], ["value"]).select(F.col("entity_id").alias("node"), "value")
+    inner = up.where("parent is not null").select(F.col("parent").alias("node"), F.lit(True).alias("inner")).distinct()
+    nodes = checkpointed(up.join(own, "node", "left").join(inner, "node", "left").select("node", "parent", "seq", F.coalesce("inner", F.lit(False)).alias("inner"), F.coalesce("value", F.lit(0.0)).alias("value")))
+    leaf = F.when(~F.col("inner"), F.col("value"))
+    last = F.max_by(F.struct("node", "value", "inner"), F.struct("seq", "node"))
+    kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(
+        F.count("*").alias("child_count"), last.alias("last"), F.coalesce(F.sum(leaf), F.lit(0.0)).alias("sum"), F.max(leaf).alias("high"), F.min(leaf).alias("low"),
+    )
+    base = checkpointed(kids.join(nodes.where("inner").select("node", "parent"), "node", "left"))
+    forget(nodes)
+    shares = base.select(F.col("node").alias("parent"), (1.0 / F.col("child_count")).alias("weight"))
+    weighed = base.join(shares, "parent", "left").select("node", "parent", F.coalesce("weight", F.lit(1.0)).alias("weight"), "sum", "high", "low")
+    folded = doubled(weighed, "parent", {"weight": F.col("weight") * F.col("far_weight")}, {"sum": F.sum, "high": F.max, "low": F.min})
+    means = base.join(folded.select("node", "weight"), "node").select("node", "parent", (F.col("sum") / F.col("child_count") * F.col("weight")).alias("mean"))
+    means = doubled(means, "parent", None, {"mean": F.sum})
+    ends = doubled(base.select("node", F.when(F.col("last.inner"), F.col("last.node")).alias("onward"), F.col("last.value").alias("latest")), "onward", {"latest": F.col("far_latest")})
+    out = base.select("node", "child_count").join(folded, "node").join(means, "node").join(ends, "node")
     return out.select(
         F.col("node").alias("entity_id"), "child_count", "sum", (F.col("mean") / F.col("weight")).alias("avg"), F.col("high").alias("max"), F.col("low").alias("min"),
         F.col("child_count").cast("double").alias("count"), "latest",

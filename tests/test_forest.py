@@ -76,3 +76,18 @@ def test_cycle(spark):
 
 def test_empty(spark):
     assert forest.tour(forest.forest(edges_of(spark, [("a", "b")]).limit(0), AT)).count() == 0
+
+
+def test_small_totals_beside_large_ones(spark):
+    """A tree's totals don't lose digits to the values of other trees."""
+    edges = edges_of(spark, [("a", "a1"), ("a", "a2"), ("b", "b1"), ("b", "b2"), ("b2", "b3")])
+    values = {"a1": 1e17, "a2": 3e17, "b1": 0.25, "b3": 0.5, "b2": 9.0}
+    obs = spark.createDataFrame([(i, "m", n, v) for i, (n, v) in enumerate(values.items())], "seq long, metric_id string, entity_id string, value double")
+    got = {r.entity_id: (r.sum, r.avg, r["latest"]) for r in forest.rollup_forest(edges, obs, "m", AT).collect()}
+    assert got == {"a": (4e17, 2e17, 3e17), "b": (0.75, 0.375, 0.5), "b2": (0.5, 0.5, 0.5)}
+
+
+def test_rollup_cycle(spark):
+    obs = spark.createDataFrame([], "seq long, metric_id string, entity_id string, value double")
+    with pytest.raises(ValueError, match="cycle"):
+        forest.rollup_forest(edges_of(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")]), obs, "m", AT)
