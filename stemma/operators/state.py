@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, ulid
+from ..session import checkpointed
 from .graph import depths
 from .metrics import latest
 from .resolve import slug_of
-from .temporal import as_of, at_literal, is_active, parent_of
+from .temporal import as_of, at_literal, is_active
 
 TYPES = ("organ", "repo", "module", "document", "session", "variable", "metric")
 LIFECYCLE = {"entity.deprecated": "deprecated", "entity.archived": "archived", "entity.merged": "merged", "entity.split": "split"}
@@ -120,14 +121,34 @@ def registry_changes(before: DataFrame, after: DataFrame, fields: list[str]) ->
 
 def signatures(entities: DataFrame, edges: DataFrame, relations: DataFrame, at: str) -> DataFrame:
     """uid, parent_id, child_count, outgoing, incoming, depth, fingerprint."""
-    count = lambda df, key, name: df.groupBy(F.col(key).alias("uid")).agg(F.count("*").cast("int").alias(name))
-    active, rel = edges.where(is_active(at)), as_of(relations, at)
-    depth = depths(parent_of(edges, at).select(F.col("child_id").alias("node"), F.col("parent_id").alias("parent"))).select(F.col("node").alias("uid"), "depth")
-    out = entities.select("uid").join(parent_of(edges, at).select(F.col("child_id").alias("uid"), "parent_id"), "uid", "left")
-    for df in (count(active, "parent_id", "child_count"), count(rel, "source_id", "outgoing"), count(rel, "target_id", "incoming"), depth):
-        out = out.join(df, "uid", "left")
-    out = out.na.fill(0, ["child_count", "outgoing", "incoming", "depth"])
-    return out.withColumn("fingerprint", fingerprint(*[F.col(c) for c in ("child_count", "depth", "incoming", "outgoing", "parent_id")]))
+    return signatures_at(entities, edges, relations, [at])[0]
+
+
+def signatures_at(entities: DataFrame, edges: DataFrame, relations: DataFrame, times: list[str]) -> list[DataFrame]:
+    """The signatures at each of a few times: edges and relations are read once for all of them, and an entity's counts and parents
+    are one row."""
+    places = range(len(times))
+    none, one = F.lit(None).cast("int"), F.lit(1)
+    step = lambda key, name: F.struct(F.col(key).alias("uid"), *[(F.when(is_active(at), one) if n == name else none).alias(f"{n}_{i}") for i, at in enumerate(times) for n in _SIDES])
+    held = F.expr(" or ".join(f"s.{n}_{i} is not null" for i in places for n in _SIDES))
+    steps = lambda df, *sides: df.select(F.explode(F.array(*[step(*x) for x in sides])).alias("s")).where(held).select("s.*")
+    counted = steps(edges, ("parent_id", "child_count")).union(steps(relations, ("source_id", "outgoing"), ("target_id", "incoming")))
+    counted = counted.groupBy("uid").agg(*[F.count(f"{n}_{i}").cast("int").alias(f"{n}_{i}") for i in places for n in _SIDES])
+    last = lambda at: F.max_by(F.when(is_active(at), F.col("parent_id")), F.when(is_active(at), F.col("seq")))
+    # Of nodes that aren't entities only those on the way to a root matter.
+    met = entities.select("uid").union(edges.select("parent_id")).distinct()
+    up = edges.groupBy(F.col("child_id").alias("uid")).agg(*[last(at).alias(f"parent_id_{i}") for i, at in enumerate(times)])
+    up = checkpointed(up.join(met, "uid", "left_semi"))
+    known = checkpointed(entities.select("uid").join(counted, "uid", "left").join(up, "uid", "left"))
+    out = []
+    for i in places:
+        depth = depths(up.select(F.col("uid").alias("node"), F.col(f"parent_id_{i}").alias("parent")).where("parent is not null")).select(F.col("node").alias("uid"), "depth")
+        rows = known.select("uid", F.col(f"parent_id_{i}").alias("parent_id"), *[F.col(f"{n}_{i}").alias(n) for n in _SIDES]).join(depth, "uid", "left").na.fill(0, [*_SIDES, "depth"])
+        out.append(rows.withColumn("fingerprint", fingerprint(*[F.col(c) for c in ("child_count", "depth", "incoming", "outgoing", "parent_id")])))
+    return out
+
+
+_SIDES = ("child_count", "outgoing", "incoming")
 
 
 def orphans(entities: DataFrame, edges: DataFrame, at: str) -> DataFrame:

@@ -909,7 +909,7 @@ def _(spark, sf_dir):
 @query("c14_signatures_differ", f"SELECT a.uid, a.fingerprint <> b.fingerprint AS differ FROM ({_sign(EARLY)}) a JOIN ({_sign(NOW)}) b USING (uid)")
 @_t("entities", "hierarchy_edges", "relation_edges")
 def _(e, h, r):
-    return state.signatures_differ(state.signatures(e, h, r, EARLY), state.signatures(e, h, r, NOW))
+    return state.signatures_differ(*state.signatures_at(e, h, r, [EARLY, NOW]))
 
 
 @query("c14_drift", "SELECT entity_id, false AS fingerprint_changed, a.size IS DISTINCT FROM b.size OR a.kind IS DISTINCT FROM b.kind OR a.price IS DISTINCT FROM b.price AS drift FROM snapshot_before a JOIN snapshot_after b USING (entity_id)")

@@ -206,3 +206,25 @@ def test_distribution_by_counts(spark):
     want = obs.groupBy("metric_id").agg(*[F.percentile("value", p).alias(f"p{int(100 * p)}") for p in points])
     plain = lambda df: sorted((r.metric_id or "", *[None if x is None else repr(round(x, 9) + 0.0) for x in r[1:]]) for r in df.collect())
     assert plain(found) == plain(want)
+
+
+def test_signatures_at_several_times(spark):
+    """Both times from one reading; a node that is no entity still counts on the way to the root."""
+    day = lambda m: f"2026-0{m}-01 00:00:00"
+    e = spark.createDataFrame([("a",), ("c",), ("d",), ("lone",)], "uid string")
+    h = edges(spark, [("a", "x", None), ("x", "c", None), ("c", "d", (day(1), day(3))), ("a", "d", (day(3), None)), ("c", "leaf", None)])
+    r = relations(spark, [("a", "c", (day(2), None)), ("a", "d", (day(1), day(2))), ("d", "d", None)])
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    got = state.signatures_at(e, h, r.mapInArrow(seen, r.schema), [day(1), day(4)])
+    plain = lambda df: {x.uid: (x.parent_id, x.child_count, x.outgoing, x.incoming, x.depth) for x in df.collect()}
+    assert plain(got[0]) == {"a": (None, 1, 1, 0, 0), "c": ("x", 2, 0, 0, 2), "d": ("c", 0, 1, 2, 3), "lone": (None, 0, 0, 0, 0)}
+    assert plain(got[1]) == {"a": (None, 2, 1, 0, 0), "c": ("x", 1, 0, 1, 2), "d": ("a", 0, 1, 1, 1), "lone": (None, 0, 0, 0, 0)}
+    assert read.value == 3
+    one = state.signatures(e, h, r, day(4)).select("uid", "fingerprint")
+    assert set(one.collect()) == set(got[1].select("uid", "fingerprint").collect())
