@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_uid, slugify, ulid
-from ..session import numbered
 from . import schemas as S
 
 
@@ -63,29 +62,48 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.trim("value") != "").select((F.shiftleft("__rank", 42) + F.col("__at")).alias("seq"), "value")
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of a line log; lines that aren't JSON objects, or lack a required key, are left out."""
+def json_lines(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = (), word: str = "") -> DataFrame:
+    """Rows of a line log; lines that aren't JSON objects, or lack a required key, are left out. ``word`` is part of a value that
+    all rows wanted have: lines without it, and without an escape that could spell it, aren't parsed."""
     x = F.from_json("value", schema + ", __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
-    rows = lines(spark, path).select("seq", x.alias("x")).where("x is not null and x.__bad is null").select("seq", "x.*").drop("__bad")
+    rows = lines(spark, path)
+    if word:
+        rows = rows.where(F.contains("value", F.lit(word)) | F.contains("value", F.lit("\\")))
+    # Exploded, so that filters aren't pushed below the parsing, which each of them would repeat.
+    rows = rows.select("seq", F.explode(F.array(x)).alias("x")).where("x is not null and x.__bad is null").select("seq", "x.*").drop("__bad")
     for c in required:
         rows = rows.where(F.col(c).isNotNull())
     return rows
 
 
+def _folder(spark: SparkSession, path: str) -> bool:
+    fs, where = _hadoop(spark, path)
+    return fs.getFileStatus(where).isDirectory()
+
+
+def _entries(spark: SparkSession, path: str, brackets: str) -> DataFrame:
+    """seq, value of a JSON object or list that ``Store`` has written in parts, an entry a line: each a small object or list of its
+    own. A line that holds more of it, as one that is the whole, is left as it is."""
+    opened, closed = brackets
+    text = F.when(F.startswith("value", F.lit(opened)), F.col("value")).otherwise(F.concat(F.lit(opened), F.regexp_replace("value", "^,", ""), F.lit(closed)))
+    return lines(spark, path).where(~F.col("value").isin(opened, closed)).select("seq", text.alias("value"))
+
+
 def keyed_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of one JSON object of objects, in the order of its keys' text. The format makes it one value, read in one task."""
+    """Rows of one JSON object of objects, in the order of its keys' text. A file is one value, read in one task; a folder is read by lines."""
     if not _exists(spark, path):
         return spark.createDataFrame([], f"__key string, {schema}")
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, struct<{schema}>>").alias("m"))
-    return text.select(F.explode("m").alias("__key", "x")).select("__key", "x.*")
+    text = _entries(spark, path, "{}") if _folder(spark, path) else spark.read.text(path, wholetext=True)
+    return text.select(F.from_json("value", f"map<string, struct<{schema}>>").alias("m")).select(F.explode("m").alias("__key", "x")).select("__key", "x.*")
 
 
 def listed_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of one JSON list of objects, with seq."""
+    """Rows of one JSON list of objects, with seq: places in a file, ascending numbers in a folder, which is read by lines."""
     if not _exists(spark, path):
         return spark.createDataFrame([], f"seq long, {schema}")
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{schema}>>").alias("a"))
-    return text.select(F.posexplode("a").alias("seq", "x")).select(F.col("seq").cast("bigint").alias("seq"), "x.*")
+    text = _entries(spark, path, "[]") if _folder(spark, path) else spark.read.text(path, wholetext=True).withColumn("seq", F.lit(0))
+    rows = text.select("seq", F.from_json("value", f"array<struct<{schema}>>").alias("a")).select("seq", F.posexplode("a").alias("place", "x"))
+    return rows.select((F.col("seq") + F.col("place")).cast("bigint").alias("seq"), "x.*")
 
 
 class Store:
@@ -106,7 +124,7 @@ class Store:
         return rows.withColumns({"slug": F.coalesce("slug", slugify(F.col("display_name"))), "is_primary": F.coalesce("is_primary", F.lit(True)), "source": F.coalesce("source", F.lit("system"))})
 
     def _edges(self, kind: str, *columns: str) -> DataFrame:
-        return json_lines(self.spark, self.at("edges"), S.EDGE).where(F.col("edge_type") == kind).where(" and ".join(f"{c} is not null" for c in columns[:2])).select("seq", *columns, "valid_from", "valid_to", "metadata")
+        return json_lines(self.spark, self.at("edges"), S.EDGE, word=kind).where(F.col("edge_type") == kind).where(" and ".join(f"{c} is not null" for c in columns[:2])).select("seq", *columns, "valid_from", "valid_to", "metadata")
 
     def hierarchy_edges(self) -> DataFrame:
         return self._edges("hierarchy", "parent_id", "child_id")
@@ -138,20 +156,33 @@ class Store:
         writers that take the same number one fails."""
         self._write(table, rows, self.at(table))
 
-    def _write(self, table: str, rows: DataFrame, path: str) -> None:
+    def _write(self, table: str, rows: DataFrame, path: str, order: tuple[str, ...] = ("seq",)) -> None:
         fs, where = _hadoop(self.spark, path)
         if fs.exists(where) and fs.getFileStatus(where).isFile():
             path = f"{path}.d"
             fs, where = _hadoop(self.spark, path)
         taken = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
         number = max([int(n.removeprefix("append-")) for n in taken if re.fullmatch(r"append-\d+", n)], default=0) + 1
-        ordered = rows.repartitionByRange("seq").sortWithinPartitions("seq").drop("seq") if "seq" in rows.columns else rows
+        ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("seq") if "seq" in rows.columns else rows
         ordered.select(F.to_json(F.struct(*ordered.columns)).alias("value")).write.mode("error").text(f"{path}/append-{number:08d}")
 
-    def rewrite(self, table: str, rows: DataFrame) -> None:
-        """Replaces a log by ``rows``, which may be read from it: written aside first, then moved to its place."""
+    def _write_whole(self, table: str, rows: DataFrame, order: str, line: Column, brackets: str) -> None:
+        """Replaces a table by one JSON value in parts, in order, an entry a line: the parts one after the other are the value."""
+        opened, closed = brackets
+        entries = rows.select(F.lit(False).alias("end"), F.col(order).alias("at"), line.alias("line"))
+        end = self.spark.range(1).select(F.lit(True).alias("end"), F.lit(None).cast(entries.schema["at"].dataType).alias("at"), F.lit(closed).alias("line"))
+        ordered = entries.union(end).repartitionByRange("end", "at").sortWithinPartitions("end", "at")
+        # The first range is never empty, so the first of all rows has the number 0.
+        before = F.when(F.col("first"), F.when(F.col("end"), opened).otherwise(opened + "\n")).otherwise(F.when(F.col("end"), "").otherwise(","))
+        fs, where = _hadoop(self.spark, self.at(table))
+        fs.delete(where, True)
+        ordered.withColumn("first", F.monotonically_increasing_id() == 0).select(F.concat(before, "line").alias("value")).write.text(f"{self.at(table)}/append-00000001")
+
+    def rewrite(self, table: str, rows: DataFrame, order: tuple[str, ...] = ("seq",)) -> None:
+        """Replaces a log by ``rows``, which may be read from it, in order of seq or other columns: written aside first, then moved
+        to its place. seq isn't written."""
         path = self.at(table)
-        self._write(table, rows, f"{path}.new")
+        self._write(table, rows, f"{path}.new", order)
         fs, where = _hadoop(self.spark, path)
         for old in (where, _hadoop(self.spark, f"{path}.d")[1]):
             fs.delete(old, True)
@@ -159,26 +190,22 @@ class Store:
 
     def save_names(self, names: DataFrame) -> None:
         """Rewrites the names by entity, each entity's in order of appending."""
-        self.rewrite("names", numbered(names.withColumnRenamed("seq", "__seq"), ["entity_id", "__seq"]).drop("__seq"))
+        self.rewrite("names", names, ("entity_id", "seq"))
 
     def save_edges(self, hierarchy: DataFrame, relations: DataFrame) -> None:
         """Rewrites both kinds of edges, hierarchy first, each in order of appending."""
-        one = hierarchy.withColumnsRenamed({"seq": "__seq"}).withColumn("edge_type", F.lit("hierarchy"))
-        both = one.unionByName(relations.withColumnsRenamed({"seq": "__seq"}).withColumn("edge_type", F.lit("relation")), allowMissingColumns=True)
-        self.rewrite("edges", numbered(both, ["edge_type", "__seq"]).drop("__seq"))
+        both = hierarchy.withColumn("edge_type", F.lit("hierarchy")).unionByName(relations.withColumn("edge_type", F.lit("relation")), allowMissingColumns=True)
+        self.rewrite("edges", both, ("edge_type", "seq"))
 
     def save_listed(self, table: str, rows: DataFrame) -> None:
-        """Rewrites a listed table as one JSON list in order of seq: one small file by its format."""
+        """Rewrites a listed table as one JSON list in order of seq, in parts."""
         own = [c for c in rows.columns if c != "seq"]
-        listed = rows.select(F.struct("seq", F.to_json(F.struct(*own)).alias("v")).alias("x")).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("a"))
-        listed.select(F.concat(F.lit("["), F.array_join("a", ","), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(self.at(table))
+        self._write_whole(table, rows, "seq", F.to_json(F.struct(*own)), "[]")
 
     def save_keyed(self, table: str, rows: DataFrame, key: str) -> None:
-        """Rewrites a keyed table as one JSON object with ascending keys: one small file by its format."""
-        listed = rows.select(F.struct(F.col(key).alias("k"), F.to_json(F.struct(*rows.columns)).alias("v")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("a"))
-        quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
-        each = F.transform("a", lambda x: F.concat(quoted(x["k"]), F.lit(":"), x["v"]))
-        listed.select(F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(self.at(table))
+        """Rewrites a keyed table as one JSON object with ascending keys, in parts."""
+        quoted = F.regexp_extract(F.to_json(F.array(key)), r"(?s)^\[(.*)\]$", 1)
+        self._write_whole(table, rows, key, F.concat(quoted, F.lit(":"), F.to_json(F.struct(*rows.columns))), "{}")
 
 
 def versions_by_entity(versions: DataFrame, uid: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from stemma.operators import rules, state
@@ -88,3 +89,33 @@ def test_value_changes_across_batches(spark, tmp_path):
         stream = spark.readStream.text(str(src)).select(parts[0].alias("entity_id"), parts[1].cast("long").alias("seq"), parts[2].alias("value"))
         events.value_changes(stream).writeStream.foreachBatch(lambda df, _: out.extend(map(tuple, df.collect()))).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     assert sorted(out) == [("e", "x", "z"), ("f", "y", "w")]
+
+
+@pytest.mark.parametrize("n", [0, 1, 400])
+def test_whole_values_are_written_in_parts(spark, tmp_path, n):
+    """A keyed and a listed table are one JSON value each, in order, made and read in many tasks; one line of all is read as well."""
+    s = store.Store(spark, str(tmp_path))
+    ids = [f'k"{i:04d}{{,' for i in range(n)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    s.save_keyed("entities", spark.createDataFrame([(k, "repo") for k in reversed(ids)], "uid string, entity_type string").repartition(4), "uid")
+    s.save_listed("variables", spark.createDataFrame([(i, f"k{i}", "[x") for i in range(n)], "seq long, key string, value string").repartition(4))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).rglob("part-*.txt")))
+    assert list(json.loads(read("entities.json"))) == ids and [x["key"] for x in json.loads(read("variables.json"))] == [f"k{i}" for i in range(n)]
+    assert sorted(r["uid"] for r in s.entities().collect()) == ids
+    assert [r["key"] for r in s.variables().orderBy("seq").collect()] == [f"k{i}" for i in range(n)]
+    if n == 400:
+        assert max(sum(1 for _ in p.open()) for p in (tmp_path / "entities.json").rglob("part-*.txt")) < n
+        for name, x in (("entities", {"a": {"uid": "a"}, "b": {"uid": "b"}}), ("variables", [{"key": "a"}, {"key": "b"}])):
+            (tmp_path / "old" / f"{name}.json").mkdir(parents=True)
+            (tmp_path / "old" / f"{name}.json" / "part-00000.txt").write_text(json.dumps(x) + "\n")
+        old = store.Store(spark, str(tmp_path / "old"))
+        assert sorted(r["uid"] for r in old.entities().collect()) == ["a", "b"] and [r["key"] for r in old.variables().orderBy("seq").collect()] == ["a", "b"]
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    """Filters don't repeat the parsing; a kind of edge spelt with escapes is found as well."""
+    (tmp_path / "edges.jsonl").write_text('{"edge_type": "hier\\u0061rchy", "parent_id": "a", "child_id": "b"}\n{"edge_type": "relation", "source_id": "hierarchy", "target_id": "b", "relation_type": "t"}\n{"edge_type": "hierarchy", "parent_id": "c", "child_id": "d"}\n')
+    edges = store.Store(spark, str(tmp_path)).hierarchy_edges()
+    assert sorted(r["parent_id"] for r in edges.collect()) == ["a", "c"]
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
