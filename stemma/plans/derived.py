@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 NOW, EARLY, MIDDLE = "2002-01-01 00:00:00", "1997-06-01 00:00:00", "1999-06-01 00:00:00"
@@ -101,8 +102,27 @@ def _text(name: str, literal: str, kind: str) -> str:
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame over the Parquet tables it reads."""
-    text = _text(name, r"CAST('\1' AS TIMESTAMP_NTZ)", "TIMESTAMP_NTZ")
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _NEED[name]})
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _NEED[name]}
+    if name == "state_requests":
+        return _state_requests(**tables)
+    return by_text(spark, name, tables)
+
+
+def by_text(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A derived table by its text, over the tables it names."""
+    return spark.sql(_text(name, r"CAST('\1' AS TIMESTAMP_NTZ)", "TIMESTAMP_NTZ"), **tables)
+
+
+def _state_requests(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """The rows of the text. Shipments' texts are made of a supplier's number and a time, so those are told apart and texts made of what is left.
+
+    Few shipments share both, so they are dealt first: what a task tells apart then is small. Equal ones are streamed by, not kept.
+    """
+    text = lambda kind, column: F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
+    ordered = orders.select(text("order", "o_orderkey").alias("request_id"), text("customer", "o_custkey").alias("entity_id"), F.col("o_orderdate").alias("asked_at"))
+    days = lineitem.select("l_suppkey", "l_shipdate").repartition("l_suppkey", "l_shipdate").distinct()
+    shipped = F.concat(text("shipped", "l_suppkey"), F.lit(":"), F.col("l_shipdate").cast("date").cast("string"))
+    return ordered.union(days.select(shipped, text("supplier", "l_suppkey"), "l_shipdate"))
 
 
 def oracle(sql: str) -> str:
