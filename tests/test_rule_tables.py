@@ -93,3 +93,24 @@ def test_policy_pairs_meet_once(spark, monkeypatch, size):
     want = {(f"e{i}", f"p{j}") for i in range(40) for j in range(20) if j >= 18 or j < i <= j + 5}
     rows = [(r.uid, r.policy_id) for r in got.collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+@pytest.mark.parametrize("size", [1, 3, 1 << 8])
+def test_policies_are_judged_in_lists(spark, monkeypatch, size):
+    """Entities alike in what is asked beyond the leading range, and policies that ask the same, are judged once and in lists of
+    bounded size, also where fields are missing."""
+    from stemma.operators import policytable
+
+    monkeypatch.setattr(policytable, "LIST", size)
+    ents = [(f"e{i}", ["repo", "module"][i % 2], float(i), [None, "a", "b"][i % 3]) for i in range(60)]
+    e = spark.createDataFrame(ents, "uid string, entity_type string, size double, title string")
+    facts = e.select("uid", F.lit("size").alias("field"), F.col("size").alias("number"), F.lit(None).cast("string").alias("text")).union(e.select("uid", F.lit("title"), F.lit(None).cast("double"), "title"))
+    p = spark.createDataFrame([(f"p{i}", "x", i % 4, ["repo", "", None][i % 3], True) for i in range(30)], "policy_id string, action string, priority int, scope string, enabled boolean")
+    bounds = [(f"p{i}", 0, "size", "gte", float(i), None) for i in range(30)] + [(f"p{i}", 1, "title", ["ne", "eq"][i % 2], None, "a") for i in range(0, 30, 2)]
+    c = spark.createDataFrame(bounds, "policy_id string, k int, field string, operator string, number double, text string").withColumn("items", F.lit(None).cast("array<string>"))
+    got = policytable.match(e.select("uid", "entity_type"), facts, p, c)
+    want = {(u, f"p{i}", i % 4) for u, kind, n, t in ents for i in range(30) if n >= i and (i % 2 or t != "a") and (i % 3 or kind == "repo")}
+    rows = [(r.uid, r.policy_id, r.priority) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 2 and plan.index("Generate explode") < plan.index("forall(")
