@@ -12,8 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_uid, slugify, ulid
+from ..session import tidied
 from . import schemas as S
 
+#: Logs are written as gzip, which is read from its start: a file holds at most so many lines.
+LINES = 1 << 18
+
 
 def _hadoop(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -40,7 +44,9 @@ def log_files(spark: SparkSession, path: str) -> list[str]:
                 if parts[-1].startswith(("_", ".")):
                     continue
                 number = int(parts[-2].removeprefix("append-")) if re.fullmatch(r"append-\d+", parts[-2]) else None
-                found.append(((0, status.getModificationTime(), name) if number is None else (1, number, name), name))
+                # Places in names are of any length: part-100000 follows part-99999.
+                place = re.sub(r"\d+", lambda d: d[0].zfill(20), parts[-1])
+                found.append(((0, status.getModificationTime(), name) if number is None else (1, number, place), name))
     return [name for _, name in sorted(found)]
 
 
@@ -152,8 +158,8 @@ class Store:
         return keyed_json(self.spark, self.at("metrics"), S.METRIC).drop("__key")
 
     def append(self, table: str, rows: DataFrame) -> None:
-        """Adds lines to a log, in order of seq where there is one: a new folder ``append-<n>``, its parts in that order. Of two
-        writers that take the same number one fails."""
+        """Adds lines to a log, in order of seq where there is one: a new folder ``append-<n>``, its parts, as gzip, in that order. Of
+        two writers that take the same number one fails."""
         self._write(table, rows, self.at(table))
 
     def _write(self, table: str, rows: DataFrame, path: str, order: tuple[str, ...] = ("seq",)) -> None:
@@ -164,19 +170,26 @@ class Store:
         taken = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
         number = max([int(n.removeprefix("append-")) for n in taken if re.fullmatch(r"append-\d+", n)], default=0) + 1
         ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("seq") if "seq" in rows.columns else rows
-        ordered.select(F.to_json(F.struct(*ordered.columns)).alias("value")).write.mode("error").text(f"{path}/append-{number:08d}")
+        out = ordered.select(F.to_json(F.struct(*ordered.columns)).alias("value")).write.mode("error")
+        with tidied(self.spark):
+            out.option("compression", "gzip").option("maxRecordsPerFile", LINES).text(f"{path}/append-{number:08d}")
 
     def _write_whole(self, table: str, rows: DataFrame, order: str, line: Column, brackets: str) -> None:
-        """Replaces a table by one JSON value in parts, in order, an entry a line: the parts one after the other are the value."""
+        """Replaces a table by one JSON value in parts, in order, an entry a line: the parts one after the other are the value. They
+        are written aside first, as rows may be read from the table."""
         opened, closed = brackets
         entries = rows.select(F.lit(False).alias("end"), F.col(order).alias("at"), line.alias("line"))
         end = self.spark.range(1).select(F.lit(True).alias("end"), F.lit(None).cast(entries.schema["at"].dataType).alias("at"), F.lit(closed).alias("line"))
         ordered = entries.union(end).repartitionByRange("end", "at").sortWithinPartitions("end", "at")
         # The first range is never empty, so the first of all rows has the number 0.
         before = F.when(F.col("first"), F.when(F.col("end"), opened).otherwise(opened + "\n")).otherwise(F.when(F.col("end"), "").otherwise(","))
-        fs, where = _hadoop(self.spark, self.at(table))
+        path = self.at(table)
+        parts = ordered.withColumn("first", F.monotonically_increasing_id() == 0).select(F.concat(before, "line").alias("value"))
+        with tidied(self.spark):
+            parts.write.mode("overwrite").text(f"{path}.new/append-00000001")
+        fs, where = _hadoop(self.spark, path)
         fs.delete(where, True)
-        ordered.withColumn("first", F.monotonically_increasing_id() == 0).select(F.concat(before, "line").alias("value")).write.text(f"{self.at(table)}/append-00000001")
+        fs.rename(_hadoop(self.spark, f"{path}.new")[1], where)
 
     def rewrite(self, table: str, rows: DataFrame, order: tuple[str, ...] = ("seq",)) -> None:
         """Replaces a log by ``rows``, which may be read from it, in order of seq or other columns: written aside first, then moved

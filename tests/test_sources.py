@@ -119,3 +119,24 @@ def test_lines_are_parsed_once(spark, tmp_path):
     edges = store.Store(spark, str(tmp_path)).hierarchy_edges()
     assert sorted(r["parent_id"] for r in edges.collect()) == ["a", "c"]
     assert edges._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+def test_logs_are_small_and_in_order(spark, tmp_path, monkeypatch):
+    """A log's parts are gzip, of few lines each, and more of them than their numbers' digits foresee keep their order; the shuffles
+    that led to them are gone. Tables may be written over what their rows are read from."""
+    from stemma.session import CLEANUP
+
+    monkeypatch.setattr(store, "LINES", 2)
+    s, before = store.Store(spark, str(tmp_path)), spark.conf.get(CLEANUP, None)
+    rows = spark.range(2500, numPartitions=1).select(F.col("id").alias("seq"), F.lit("m").alias("metric_id"), F.lit("e").alias("entity_id"), F.col("id").cast("double").alias("value"))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    s.append("observations", rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    parts = [p for p in tmp_path.rglob("part-*") if not p.name.startswith(".")]
+    assert len(parts) == 1250 and all(p.name.endswith(".gz") for p in parts)
+    assert [r["value"] for r in s.observations().orderBy("seq").collect()] == list(map(float, range(2500)))
+    assert spark.conf.get(CLEANUP, None) in (before, "false")
+    s.save_listed("variables", spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "seq long, key string, value string"))
+    for _ in range(2):
+        s.save_listed("variables", s.variables().select("seq", "key", "value"))
+    assert [r["key"] for r in s.variables().orderBy("seq").collect()] == ["a", "b"]
